@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash
+from . import mixing, packing, quality, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read(spark, sf_dir, "documents")).drop("mix_key")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash}
+    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op5_mix": op5_mix, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix": mixing.ORACLE}
