@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, simhash, wordpiece
+from . import htmlmain, mixing, packing, pii, quality, simhash, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,12 +32,16 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read(spark, sf_dir, "documents")).drop("mix_key")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op5_mix": op5_mix, "op6_pii": op6_pii, "op8_quality": op8_quality}
+    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
