@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, materialize, shuffle_partitions
+from .common import SPACES, WORD, materialize, range_prefix
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -21,23 +21,6 @@ def _random_key() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
 
-def range_prefix(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Add running sums over a total order without putting all rows in one task.
-
-    sums: new column name -> column to add up, this row included. Rows are range-partitioned and written; each
-    partition is summed on its own, and the partitions' totals (a row each) give what goes before it.
-    """
-    n = shuffle_partitions(df.sparkSession)
-    parts = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums])
-    inner = parts.withColumns({k: F.sum(c).over(inside) for k, c in sums.items()})
-    out = inner.join(totals, "_part").withColumns({k: F.col(k) + F.col(f"_b_{k}") for k in sums})
-    return out.drop("_part", *[f"_b_{k}" for k in sums])
-
-
 def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """(sk, source_size) -> (sk, source_size, target): shares by repeating weights, at most `most` times a source's size.
 
@@ -58,7 +41,7 @@ def source_targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, mo
     return own.join(F.broadcast(rest)).select("sk", "source_size", target.alias("target"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bucket_rows: int = 4096) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bucket_rows: int = 1024) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, size, source_size, target, taken, mix_key).
 
     size counts the words of the text. Sources rank by code point, null last; weights repeat along that rank. A source

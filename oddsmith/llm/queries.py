@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmlmain, mixing, packing, pii, quality, simhash, wordpiece
+from . import epsjoin, htmlmain, mixing, packing, pii, quality, simhash, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsjoin.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality}
+    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality, "op9_vectors": op9_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
