@@ -135,41 +135,73 @@ def fitted_threshold(scored: DataFrame, labels: DataFrame, step: float = 1 / 256
     return float("-inf") if cut == 0 else (int(rows["bin"].iloc[cut - 1]) + 1) * step
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
+def trusted_sample(label: DataFrame, most: int) -> DataFrame:
+    """doc_id of at most `most` labelled documents of good quality that aren't toxic: those with the least hash."""
+    own = label.where("quality > 0 and toxic = 0").select("doc_id")
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
-    The trusted target is the labelled documents of good quality that aren't toxic, the raw corpus is all of docs. The
-    score is the mean log ratio of a text's hashed n-grams (words, pairs of words, word shapes and pairs of them).
-    kept: the base rules pass and the score reaches the fitted threshold, the same for every document.
 
-    Null text: no words, base_failed, not kept. Null doc_id: judged without a label. Repeated rows: a row each. Empty
-    tables: no rows, and without labels the base rules decide alone. Other columns are ignored.
-    """
-    label = one_label_each(labels)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = own.join(label, "doc_id", "left").select("text", (F.coalesce("quality", F.lit(0)) > 0).__and__(F.coalesce("toxic", F.lit(1)) == 0).alias("trusted"))
-    ratio = log_ratios(ngram_counts(marked, buckets), buckets)
+def text_score(text: str | None, ratio: np.ndarray) -> float:
+    f = ngram_buckets(text, len(ratio))
+    return float(ratio[f].mean()) if len(f) else 0.0
+
 
+def fit_ratios(own: DataFrame, label: DataFrame, buckets: int, trusted_rows: int) -> np.ndarray:
+    """Log ratios per bucket. The target is a bounded sample, whose ids (8 bytes each) may be broadcast; raw counts are
+    over every document."""
+    sample = materialize(trusted_sample(label, trusted_rows), "trusted")
+    marked = own.join(F.broadcast(sample.withColumn("trusted", F.lit(True))), "doc_id", "left")
+    return log_ratios(ngram_counts(marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), buckets), buckets)
+
+
+def scores(own: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BASE.split(", ")]
         for batch in batches:
             out = pd.DataFrame([base_statistics(t) for t in batch["text"]], columns=names)
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out["score"] = [float(ratio[f].mean()) if len(f := ngram_buckets(t, buckets)) else 0.0 for t in batch["text"]]
+            out["score"] = [text_score(t, ratio) for t in batch["text"]]
             yield out
 
-    scored = materialize(own.mapInPandas(run, f"doc_id long, {BASE}, score double"), "scored")
+    return materialize(own.mapInPandas(run, f"doc_id long, {BASE}, score double"), "scored")
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = 32_768) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
+
+    The trusted target is labelled documents of good quality that aren't toxic, at most trusted_rows of them; the raw
+    corpus is all of docs. The score is the mean log ratio of a text's hashed n-grams (words, pairs of words, word
+    shapes and pairs of them). kept: the base rules pass and the score reaches the fitted threshold, which is the same
+    for every document.
+
+    Null text: no words, base_failed, not kept. Null doc_id: judged without a label. Repeated rows: a row each. Empty
+    tables: no rows, and without labels the base rules decide alone. Other columns are ignored.
+    """
+    label = one_label_each(labels)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = scores(own, fit_ratios(own, label, buckets, trusted_rows))
     least = fitted_threshold(scored, label)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(least))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:
-    """The documents that quality_verdicts keeps, with all their columns.
+def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = 32_768) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps, with all their columns; each row is judged by its own text.
 
-    Of several rows with one doc_id all go if one is rejected. Rows with a null doc_id are judged by none and go.
+    Texts aren't shuffled: once the ratios and the threshold are known, each row is judged where it is read.
     """
-    verdicts = quality_verdicts(docs, labels, **options)
-    kept = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    label = one_label_each(labels)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ratio = fit_ratios(own, label, buckets, trusted_rows)
+    least = fitted_threshold(scores(own, ratio), label)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep = [not base_statistics(t)[-1] and text_score(t, ratio) >= least for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
