@@ -118,3 +118,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are no longer referenced, now rather than at some later collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
