@@ -9,6 +9,7 @@ from itertools import chain
 import numpy as np
 
 _ENCODERS: dict = {}
+MARKS = ".,!?;:*%&#$|"
 
 
 class WordCachedEncoder:
@@ -27,6 +28,10 @@ class WordCachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        resize = getattr(self.tokenizer.model, "_resize_cache", None)
+        if resize:
+            resize(256)  # the pieces are different, so the library's own cache would only fill
         self.mark = self.tokenizer.encode("a \x01 a", add_special_tokens=False).ids[1:-1]
         only = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.joins = len(only) == 1 and self.mark[-1:] == only
@@ -58,8 +63,19 @@ class WordCachedEncoder:
         # a piece that is blank, or has white space at an end, touches a run of white space
         inner = [p for p in missing if p and not p[0].isspace() and not p[-1].isspace()]
         cache = self.cache
-        for i in range(0, len(inner), 1024):
-            cache.update(zip(inner[i : i + 1024], self._encode_pieces([" " + p for p in inner[i : i + 1024]])))
+        # letters and the marks that end a word are separate pre-tokens: "end." needs "end" only
+        bare = {p: p.rstrip(MARKS) for p in inner if p[-1] in MARKS}
+        bare = {p: b for p, b in bare.items() if b.isalpha() and (b.isascii() or (max(b) < "\u0180" and "\u0130" not in b))}
+        tails = {p[len(b) :] for p, b in bare.items()}.difference(self.tails)
+        for t, ids in zip(tails, self._encode(list(tails)) if tails else []):
+            self.tails[t] = ids
+        need = [p for p in inner if p not in bare]
+        need += {b for b in bare.values() if b not in cache}.difference(need)
+        for i in range(0, len(need), 1024):
+            cache.update(zip(need[i : i + 1024], self._encode_pieces([" " + p for p in need[i : i + 1024]])))
+        cache.update({p: cache[b] + self.tails[p[len(b) :]] for p, b in bare.items()})
+        if len(self.tails) > 50_000:
+            self.tails.clear()
         odd = [i for i, p in enumerate(first) if split[i] and (not p or p[-1].isspace())]
         if len(inner) < len(missing):
             blank = set(missing).difference(cache)
