@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import epsjoin, htmlmain, linededup, mixing, packing, pii, quality, simhash, wordpiece
+from . import epsjoin, htmlmain, linededup, mixing, packing, pii, quality, simhash, tokenfiles, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +48,12 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsjoin.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_file_index(read(spark, sf_dir, "documents"), end_id=2)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_line_dedup": op4_line_dedup, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality, "op9_vectors": op9_vectors}
+    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_line_dedup": op4_line_dedup, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality, "op9_vectors": op9_vectors, "op10_token_files": op10_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
