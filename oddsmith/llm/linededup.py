@@ -3,7 +3,8 @@
 Equal lines are found by hash. Near ones by a segment-partition join: a line is cut into max_edits + 1 disjoint
 segments; if two lines are within max_edits edits, one segment of the one is a substring of the other, at nearly the
 same place. Segments are indexed by number, length and hash; a line probes the index for its own and neighbouring
-lengths. Candidates that agree in length and letter counts are verified by a banded bit-parallel edit distance.
+lengths. Candidates that agree in length and letter counts are verified by a banded bit-parallel edit distance inside
+the join, which keeps a line as soon as one earlier line is found, so pairs are never listed.
 """
 
 from __future__ import annotations
@@ -52,30 +53,26 @@ def segment_length(n: Column, edits: int) -> Column:
 
 
 def _keys(edits: int) -> Column:
-    """Array of (key, indexed) of a line: what it is found by, and what it is looked up under.
+    """Array of (key, indexed) of a line, some null: what it is found by, and what it is looked up under.
 
-    Segment i of a line of length n starts at i * (n - k) / edits, for its segment length k. An edit before a segment
-    shifts it by at most one place, and at most as many edits lie before it as there are segments before it, so a probe
-    takes the starts within that range; shifts of both lengths are covered together.
+    Segment i of a line of length n starts at i * (n - k) / edits, for its segment length k. Up to edits - 1 edits can lie
+    on either side of an inner segment, if neither outer one is whole, so a probe takes the starts that far around; the
+    outer segments lie at the line's ends. Shifts of neighbouring lengths are covered together.
     """
     n = F.col("n")
     rows = []
     own = segment_length(n, edits)
-    for other in range(-edits, edits + 1):
+    for other in (0, -edits, edits):  # lengths between have one of these segment lengths
         k = segment_length(n + other, edits)
-        # another segment length is probed only where it differs from the line's own
         used = F.lit(True) if other == 0 else (k != own) & (k > 0)
-        if other not in (-edits, 0, edits):
-            continue  # lengths between these give one of the same two or three segment lengths
         for i in range(edits + 1):
-            start = F.floor(F.lit(i) * (n - k) / edits) if edits else F.lit(0)
+            start = F.floor(F.lit(i) * (n - k) / edits)
             reach = 0 if i in (0, edits) else edits - 1
             for shift in range(-reach, reach + 1):
                 at = start + shift
                 key = F.xxhash64(F.lit(i), k, F.substring(F.col("line"), (at + 1).cast("int"), k))
-                ok = used & (at >= 0) & (at + k <= n)
-                rows.append(F.when(ok, F.struct(key.alias("key"), F.lit(other == 0 and shift == 0).alias("indexed"))))
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+                rows.append(F.when(used & (at >= 0) & (at + k <= n), F.struct(key.alias("key"), F.lit(other == 0 and shift == 0).alias("indexed"))))
+    return F.array(*rows)
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -95,12 +92,6 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         rounds = F.sequence(F.lit(1), F.ceil(F.log2(most + 2)).cast("int") + 1)
         return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), most.alias("hi")), step, lambda s: s["lo"])
 
-    head = common(a, b, lambda s, k: F.substring(s, F.lit(1), k))
-    a1, b1 = F.substring(a, head + 1, F.length(a)), F.substring(b, head + 1, F.length(b))
-    tail = common(a1, b1, lambda s, k: F.when(k > 0, F.substring(s, -k, k)).otherwise(F.lit("")))
-    core = F.struct(F.split(F.substring(a1, F.lit(1), F.length(a1) - tail), "").alias("p"), F.split(F.substring(b1, F.lit(1), F.length(b1) - tail), "").alias("t"),
-                    (F.length(a1) - tail).alias("m"), (F.length(b1) - tail).alias("n"))
-
     def word(s: Column, e: int) -> Column:
         return F.shiftrightunsigned(s, 16 * e).bitwiseAND(full)
 
@@ -134,8 +125,24 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         short = F.when(c["n"] == 0, c["m"] <= edits).when(c["m"] == 0, c["n"] <= edits)
         return F.when(F.abs(c["m"] - c["n"]) > edits, F.lit(False)).otherwise(F.coalesce(short, verdict(c)))
 
-    # a lambda's argument is evaluated once; a plain expression would be repeated in each of its uses
-    return F.get(F.transform(F.array(core), decided), F.lit(0))
+    # each value that is used more than once is bound by a lambda, else its expression would be evaluated anew in every use
+    def let(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def without_head(s: Column) -> Column:
+        head = common(s["a"], s["b"], lambda x, k: F.substring(x, F.lit(1), k))
+        return let(F.struct(s["a"].alias("a"), s["b"].alias("b"), head.alias("k")), lambda c: without_tail(
+            F.struct(F.substring(c["a"], c["k"] + 1, F.length(c["a"])).alias("a"), F.substring(c["b"], c["k"] + 1, F.length(c["b"])).alias("b"))))
+
+    def without_tail(s: Column) -> Column:
+        last = lambda x, k: F.when(k > 0, F.substring(x, -k, k)).otherwise(F.lit(""))
+        return let(s, lambda c: let(F.struct(c["a"].alias("a"), c["b"].alias("b"), common(c["a"], c["b"], last).alias("k")), cores))
+
+    def cores(s: Column) -> Column:
+        cut = lambda x: F.substring(x, F.lit(1), F.length(x) - s["k"])
+        return let(F.struct(F.split(cut(s["a"]), "").alias("p"), F.split(cut(s["b"]), "").alias("t"), (F.length(s["a"]) - s["k"]).alias("m"), (F.length(s["b"]) - s["k"]).alias("n")), decided)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), without_head)
 
 
 def _bucketed(df: DataFrame, column: str) -> tuple[DataFrame, str]:
@@ -156,27 +163,31 @@ def removed_lines(docs: DataFrame, edits: int = 2, min_chars: int = 16, near_cha
     lines = docs.select(_id().alias("id"), F.posexplode(_lines()).alias("pos", "line")).where(F.length(F.trim(F.col("line"))) >= min_chars)
     lines = lines.withColumn("h", F.xxhash64("line"))
     distinct = lines.groupBy("h").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("line").alias("line"))
-    distinct, table = _bucketed(distinct, "h")
+    distinct, table = _bucketed(distinct.withColumn("n", F.length("line")), "h")
     release(spark)
 
-    long_lines = distinct.withColumn("n", F.length("line")).where(F.col("n") >= near_chars)
-    traits = _letter_counts(F.col("line")).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 60))
-    keyed = long_lines.select("h", traits.alias("traits"), F.explode(_keys(edits)).alias("k")).select("h", "traits", "k.*")
-    keyed = materialize(keyed, "segments")
-    probe = keyed.select("key", F.col("h").alias("a"), F.col("traits").alias("ta"))
-    index = keyed.where("indexed").select("key", F.col("h").alias("b"), F.col("traits").alias("tb"))
-    length_gap = F.expr("(shiftrightunsigned(ta, 60) - shiftrightunsigned(tb, 60)) & 15")
-    near_enough = (F.col("a") > F.col("b")) & ((length_gap <= edits) | (length_gap >= 16 - edits)) & (_counts_apart("ta", "tb") <= 2 * edits)
-    pairs = materialize(probe.hint("merge").join(index, (probe["key"] == index["key"]) & near_enough).select("a", "b").distinct(), "pairs")
+    keyed = distinct.where(F.col("n") >= near_chars).select("h", F.explode(_keys(edits)).alias("k")).where("k is not null")
+    keyed = materialize(keyed.select("k.key", "h", "k.indexed"), "segments")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bool_or("indexed").alias("any")).where("c > 1 and any")
+    shared = materialize(shared.select("key"), "shared")
+    rows = materialize(keyed.join(shared, "key").select("key", "h", "indexed"), "candidates")
     discard(keyed)
     release(spark)
 
-    texts = distinct.select("h", "first_id", "line")
-    both = pairs.join(texts.toDF("a", "a_id", "a_line"), "a").join(texts.toDF("b", "b_id", "b_line"), "b")
-    linked = both.where(within_edits(F.col("a_line"), F.col("b_line"), edits))
-    a_later = (F.col("a_id") > F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a") > F.col("b")))
-    near = linked.select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("h")).distinct().withColumn("near", F.lit(True))
-    near = materialize(near, "near")
+    # few lines share a segment with another; only their texts are read again, where they lie
+    texts = distinct.join(materialize(rows.select("h").distinct(), "involved"), "h")
+    texts = materialize(texts.select("h", "first_id", "n", "line", _letter_counts(F.col("line")).alias("counts")), "texts")
+    names = ["h", "id", "n", "line", "counts"]
+    later = rows.select("key", "h").join(texts, "h").select("key", *[F.col(c).alias(f"a_{x}") for c, x in zip(texts.columns, names)])
+    earlier = rows.where("indexed").select("key", "h").join(texts, "h").select("key", *[F.col(c).alias(f"b_{x}") for c, x in zip(texts.columns, names)])
+    order = (F.col("a_id") > F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_h") > F.col("b_h")))
+    close = order & (F.abs(F.col("a_n") - F.col("b_n")) <= edits) & (_counts_apart("a_counts", "b_counts") <= 2 * edits)
+    # both sides are written, so that the join has an exchange on each and adaptive execution can split a hot segment
+    later, earlier = materialize(later, "later"), materialize(earlier, "earlier")
+    found = later.hint("merge").join(earlier, (later["key"] == earlier["key"]) & close & within_edits(F.col("a_line"), F.col("b_line"), edits), "left_semi")
+    near = materialize(found.select(F.col("a_h").alias("h")).distinct().withColumn("near", F.lit(True)), "near")
+    for old in (rows, shared, texts, later, earlier):
+        discard(old)
     verdicts = distinct.select("h", "first_id", "last_id").join(near, "h", "left").where("near or first_id < last_id")
     verdicts = materialize(verdicts.select("h", "first_id", F.coalesce("near", F.lit(False)).alias("near")), "verdicts")
     spark.sql(f"drop table {table}")
