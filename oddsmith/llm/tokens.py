@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
@@ -12,29 +12,46 @@ _ENCODERS: dict = {}
 MARKS = ".,!?;:*%&#$|"
 
 
+class _Seen(dict):
+    """A cache whose lookups of unknown pieces give the piece back and note it."""
+
+    def __init__(self) -> None:
+        self.unknown: set[str] = set()
+
+    def __missing__(self, piece: str) -> str:
+        self.unknown.add(piece)
+        return piece
+
+
 class WordCachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; equal to Tokenizer.encode(text, add_special_tokens=False).
 
     A single space between two other characters always starts a new pre-token in the vocabularies this is made for
     (a space opens the next word or is dropped), so a text is split there, each different piece is encoded once and
-    the ids are joined. Texts with a run of white space around a space are encoded whole. The cache is
-    cut back when it holds `most` pieces, which bounds memory and changes no result.
+    the ids are joined. A piece is cut further at single line feeds and before the marks that end it, which are
+    pre-tokens of their own. Texts with a run of white space around a space are encoded whole. The cache is cut back
+    when it holds `most` pieces, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.cache: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.inner, self.opening, self.tails = _Seen(), _Seen(), {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.mark, only = ids("a \x01 a")[1:-1], ids("\x01")
+        self.joins = len(only) == 1 and self.mark[-1:] == only
+        self.feed = np.array(ids("a\na")[1:-1], dtype="<u4").tobytes()
+        if ids(" a") == ids("a"):  # spaces are dropped: words that open a text are like any others
+            self.opening = self.inner
         resize = getattr(self.tokenizer.model, "_resize_cache", None)
         if resize:
             resize(256)  # the pieces are different, so the library's own cache would only fill
-        self.mark = self.tokenizer.encode("a \x01 a", add_special_tokens=False).ids[1:-1]
-        only = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-        self.joins = len(only) == 1 and self.mark[-1:] == only
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of many pieces from few calls: they are joined by a control character whose id marks the bounds."""
@@ -48,41 +65,103 @@ class WordCachedEncoder:
         starts = [0, *ends[:-1].tolist()]
         return [raw[4 * a : 4 * (b - k)] for a, b in zip(starts, ends.tolist())]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        if len(self.cache) > self.most:
-            self.cache = {k: v for k, v in self.cache.items() if len(k) < 7}
-            if len(self.cache) > self.most // 2:
-                self.cache.clear()
-        split = [t.split(" ") for t in texts]
-        first = [parts.pop(0) for parts in split]
-        missing = list(set(chain.from_iterable(split)).difference(self.cache))
-        # a piece that is blank, or has white space at an end, touches a run of white space
-        inner = [p for p in missing if p and not p[0].isspace() and not p[-1].isspace()]
-        cache = self.cache
-        # letters and the marks that end a word are separate pre-tokens: "end." needs "end" only
-        bare = {p: p.rstrip(MARKS) for p in inner if p[-1] in MARKS}
-        bare = {p: b for p, b in bare.items() if b.isalpha() and (b.isascii() or (max(b) < "\u0180" and "\u0130" not in b))}
-        tails = {p[len(b) :] for p, b in bare.items()}.difference(self.tails)
-        for t, ids in zip(tails, self._encode(list(tails)) if tails else []):
-            self.tails[t] = ids
-        need = [p for p in inner if p not in bare]
-        need += {b for b in bare.values() if b not in cache}.difference(need)
-        for i in range(0, len(need), 1024):
-            cache.update(zip(need[i : i + 1024], self._encode_pieces([" " + p for p in need[i : i + 1024]])))
-        cache.update({p: cache[b] + self.tails[p[len(b) :]] for p, b in bare.items()})
+    def _cut(self, piece: str) -> list[tuple[str, str]]:
+        """(word, marks after it) of each part of a piece between line feeds."""
+        parts = piece.split("\n")
+        if len(parts) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
+            parts = [piece]
+        out = []
+        for p in parts:
+            if p[-1] in MARKS:
+                b = p.rstrip(MARKS)
+                if b.isalpha() and (b.isascii() or (max(b) < "ƀ" and "İ" not in b)):
+                    out.append((b, p[len(b) :]))
+                    continue
+            out.append((p, ""))
+        return out
+
+    def _learn(self) -> None:
+        """Encode the pieces that lookups have missed. Blank ones, and those with white space at an end, stay unknown."""
+        plans: list[tuple[_Seen, str, list[tuple[str, str]]]] = []
+        need: dict[int, set[str]] = {id(self.inner): set(), id(self.opening): set()}
+        tails: set[str] = set()
+        for cache in {id(c): c for c in (self.inner, self.opening)}.values():
+            for p in cache.unknown:
+                if not p or p[0].isspace() or p[-1].isspace():
+                    continue
+                cut = self._cut(p)
+                plans.append((cache, p, cut))
+                for j, (b, t) in enumerate(cut):
+                    own = cache if j == 0 else self.opening
+                    if b not in own:
+                        need[id(own)].add(b)
+                    if t and t not in self.tails:
+                        tails.add(t)
+            cache.unknown.clear()
+        words = list(need[id(self.inner)])
+        for i in range(0, len(words), 1024):
+            self.inner.update(zip(words[i : i + 1024], self._encode_pieces([" " + p for p in words[i : i + 1024]])))
+        if self.opening is not self.inner:
+            words = list(need[id(self.opening)])
+            self.opening.update(zip(words, self._encode(words)))
+        marks = list(tails)
+        self.tails.update(zip(marks, self._encode(marks)))
+        for cache, p, cut in plans:
+            if len(cut) > 1 or cut[0][1]:
+                cache[p] = self.feed.join([(cache if j == 0 else self.opening)[b] + (self.tails[t] if t else b"") for j, (b, t) in enumerate(cut)])
         if len(self.tails) > 50_000:
             self.tails.clear()
-        odd = [i for i, p in enumerate(first) if split[i] and (not p or p[-1].isspace())]
-        if len(inner) < len(missing):
-            blank = set(missing).difference(cache)
-            odd += [i for i, parts in enumerate(split) if not blank.isdisjoint(parts)]
-        whole = set(odd)
-        heads = self._encode([t if i in whole else p for i, (t, p) in enumerate(zip(texts, first))])
-        return [h if i in whole else b"".join([h, *[cache[p] for p in parts]]) for i, (h, parts) in enumerate(zip(heads, split))]
+
+    def _trim(self) -> None:
+        for cache in (self.inner, self.opening):
+            if len(cache) > self.most:
+                kept = {k: v for k, v in cache.items() if len(k) < 7}
+                cache.clear()
+                if len(kept) < self.most // 2:
+                    cache.update(kept)
+
+    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+        # millions of small objects and no cycles: the collector would only walk them again and again
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._ids([t or "" for t in texts])
+        finally:
+            if was:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        self._trim()
+        inner, opening = self.inner.__getitem__, self.opening.__getitem__
+        found: list[list] = []
+        for t in texts:
+            first, *parts = t.split(" ")
+            out = list(map(inner, parts))
+            if first or parts:
+                # a text's first word is followed by a space like any other, but has none before it
+                out.insert(0, opening(first))
+            found.append(out)
+        self._learn()
+        learned: list[bytes | None] = []
+        whole: list[int] = []
+        for i, out in enumerate(found):
+            try:
+                learned.append(b"".join(out))
+                continue
+            except TypeError:  # a piece that was unknown
+                pass
+            head, *rest = out
+            known = self.inner.get
+            row = [x if type(x) is bytes else known(x) for x in rest]
+            row.insert(0, head if type(head) is bytes else self.opening.get(head))
+            if None in row:
+                whole.append(i)
+                learned.append(None)
+            else:
+                learned.append(b"".join(row))
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            learned[i] = ids
+        return learned  # type: ignore[return-value]
 
 
 def encoder(path: str) -> WordCachedEncoder:
