@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .pii import fit_classifier
 
 # Names of elements and words of class and id values, as the HTML standard and common practice have them.
@@ -259,8 +260,10 @@ def classifier_weights(pages: DataFrame, fit_pages: int) -> np.ndarray:
 
     Uses the fit_pages pages with the least hash of page_id and url; all pages where there are no more.
     """
-    order = F.xxhash64("page_id", "url")
-    sample = pages.select("page_id", "url", "html").orderBy(order, "page_id", "url").limit(fit_pages).select("html")
+    keyed = pages.select(F.xxhash64("page_id", "url").alias("sample_key"), "html")
+    # keys alone are ordered; the pages stay where they are and meet at most fit_pages keys, which may be broadcast
+    keys = materialize(keyed.select("sample_key").orderBy("sample_key").limit(fit_pages).distinct(), "sample_keys")
+    sample = keyed.join(F.broadcast(keys), "sample_key", "left_semi").select("html")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
