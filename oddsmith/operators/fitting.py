@@ -13,6 +13,7 @@ RHO_BOX = (-0.20, 0.20)
 MAX_REFITS = 4
 MIN_TEAM_WEIGHT = 1.0
 PENALTY = 1e12
+GRADIENT = 1e-5  # the largest slope at which a fit has settled; curvatures are in the tens
 
 
 class FitWindow:
@@ -82,7 +83,7 @@ def minimise(objective, start: np.ndarray, low: float, high: float, rounds: int
         free = np.ones(len(x), bool)
         free[-1] = not ((x[-1] <= low and g[-1] > 0) or (x[-1] >= high and g[-1] < 0))
         size = np.abs(g[free]).max(initial=0.0)
-        if size < 1e-7 * max(1.0, abs(f) / 1000):
+        if size < GRADIENT:
             return x, f, True
         step = -(inverse[np.ix_(free, free)] @ g[free])
         if step @ g[free] >= 0:
@@ -100,7 +101,7 @@ def minimise(objective, start: np.ndarray, low: float, high: float, rounds: int
             t *= 0.5
         else:
             if fresh:
-                return x, f, size < 1e-4 * max(1.0, abs(f) / 1000)
+                return x, f, size < 100 * GRADIENT
             inverse, fresh = np.eye(len(x)), True
             continue
         s, d = y - x, g2 - g

@@ -115,9 +115,9 @@ def closing_book_pivot(spark, sf):
     return b.select("seq", "book", "market", *[F.round(F.get("prices", F.lit(i)), M).alias(f"d{i + 1}") for i in range(3)], r("book_sum"))
 
 
-@query(f"select league, book, market, n_books, {d('mean_book_sum')}, {d('median_book_sum')} from margins")
+@query(f"select league, book, market, n_books, round(mean_book_sum, 10) as mean_book_sum, round(median_book_sum, 10) as median_book_sum from margins")
 def book_margin_stats(spark, sf):
-    return books.book_margins(_books(spark, sf)).select(*CELL, "n_books", r("mean_book_sum"), r("median_book_sum"))
+    return books.book_margins(_books(spark, sf)).select(*CELL, "n_books", *[F.round(c, 10).alias(c) for c in ("mean_book_sum", "median_book_sum")])
 
 
 @query("select league, book, market, count(*) filter (book_sum <= 1 + 1e-9) as n_arbitrage, count(*) as n_books from books group by all")
@@ -368,9 +368,9 @@ def bh_mask(spark, sf):
     return inference.rejected(_p_values(spark, sf), "p", 0.10, ["event_type"]).select("seq", "rejected")
 
 
-@query(f"select seq, round(least(1, min(p * n / rk) over (partition by event_type order by rk desc rows unbounded preceding)), {M}) as q_value from (select *, row_number() over (partition by event_type order by p) as rk, count(*) over (partition by event_type) as n from pvals)")
+@query("select seq, least(1.0::double, min(p * n / rk) over (partition by event_type order by rk desc rows unbounded preceding)) as q_value from (select *, row_number() over (partition by event_type order by p) as rk, count(*) over (partition by event_type) as n from pvals)")
 def bh_qvalues(spark, sf):
-    return inference.adjusted_p_values(_p_values(spark, sf), "p", ["event_type"]).select("seq", r("q_value"))
+    return inference.adjusted_p_values(_p_values(spark, sf), "p", ["event_type"]).select("seq", "q_value")
 
 
 @query(f"select event_type, count(*) as n, round(corr(rx, ry), {M}) as rho from (select event_type, rank() over (partition by event_type order by x) + (count(*) over (partition by event_type, x) - 1) / 2.0::double as rx, rank() over (partition by event_type order by y) + (count(*) over (partition by event_type, y) - 1) / 2.0::double as ry from (select event_type, user_id % 17 as x, floor(value) as y from events where value is not null)) group by event_type")
@@ -410,10 +410,10 @@ def half_life(spark, sf):
     return p.select("p_size", r("x", "rate"), r(decay.rate_to_half_life(F.col("x")), "back"))
 
 
-@query("select seq, round(age, 6) as age from weighted")
+@query("select seq, round(age, 9) as age from weighted")
 def match_age(spark, sf):
     m = surrogate.matches(spark, sf).withColumn("age", decay.age_days(F.col("kickoff"), F.to_timestamp_ntz(F.lit(_AS_OF)))).where("age is not null")
-    return m.select("seq", F.round("age", 6).alias("age"))
+    return m.select("seq", F.round("age", 9).alias("age"))
 
 
 @query(f"select seq, {d('w')} from weighted")
