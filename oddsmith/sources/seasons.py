@@ -21,7 +21,7 @@ def season_files(spark: SparkSession, root: str, leagues: list[str] | None = Non
     """path, season, league, text of every file; a league filter acts on paths."""
     files = spark.read.text(f"{root}/*/*.csv", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", i)
-    out = files.select("path", part(1).alias("season"), part(2).alias("league"), F.regexp_replace("value", "^﻿+", "").alias("text"))
+    out = files.select("path", part(1).alias("season"), part(2).alias("league"), F.regexp_replace("value", "^\ufeff+", "").alias("text"))
     return out.where(F.col("league").isin(*leagues)) if leagues else out
 
 

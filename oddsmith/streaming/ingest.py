@@ -12,7 +12,7 @@ from ..sources.seasons import _cell, parse_kickoff, price_rows
 
 def stream_odds(spark: SparkSession, root: str) -> DataFrame:
     """Streaming odds. A file with a name outside the registry is skipped whole; its header is checked in its own row."""
-    files = spark.readStream.format("text").option("wholetext", "true").load(f"{root}/*/*.csv").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.readStream.format("text").option("wholetext", "true").load(f"{root}/*/*.csv").select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\ufeff+", "").alias("text"))
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", i)
     files = files.withColumns({"season": part(1), "league": part(2)})
     # the header goes along with each line, so that no stream is joined with itself

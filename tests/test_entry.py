@@ -35,7 +35,7 @@ def test_against_sql(spark, con, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     cols = sorted(got.columns)
-    keys = [c for c in cols if not pd.api.types.is_float_dtype(got[c])] or cols
+    keys = [c for c in cols if not pd.api.types.is_float_dtype(got[c])] + [c for c in cols if pd.api.types.is_float_dtype(got[c])]
     a, b = (x[cols].sort_values(keys).reset_index(drop=True) for x in (got, want))
     for c in cols:
         if pd.api.types.is_float_dtype(a[c]):
