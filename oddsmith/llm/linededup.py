@@ -233,11 +233,11 @@ def without_repeated_lines(docs: DataFrame, **options: int) -> DataFrame:
     n_chars, where there is one, follows the text.
     """
     removed = removed_lines(docs, **options)
-    rows = docs.withColumn("_id", _id()).join(removed.withColumnRenamed("id", "_id"), "_id", "left")
-    gone = F.transform("keys", lambda k: F.struct(k["hash"].alias("hash"), k["pos"].alias("pos")))
+    rows = docs.withColumn("_oddsmith_id", _id()).join(removed.toDF("_oddsmith_id", "_oddsmith_keys"), "_oddsmith_id", "left")
+    gone = F.transform("_oddsmith_keys", lambda k: F.struct(k["hash"].alias("hash"), k["pos"].alias("pos")))
     left = F.filter(_lines(), lambda x, i: ~F.array_contains(gone, F.struct(F.xxhash64(x).alias("hash"), i.alias("pos"))))
-    rows = rows.withColumn("text", F.when(F.col("keys").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    rows = rows.where(F.col("keys").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.withColumn("text", F.when(F.col("_oddsmith_keys").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    rows = rows.where(F.col("_oddsmith_keys").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_oddsmith_keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns)

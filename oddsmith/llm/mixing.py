@@ -81,18 +81,18 @@ def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     All columns stay; n_chars, where there is one, follows the text. Whole texts are shuffled once, by document.
     """
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    chosen = mixture(docs, **options).where("taken > 0").withColumn("_id", id_key)
-    chosen = materialize(chosen.groupBy("mix_key", "_id").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("_takes")), "taken")
-    same = Window.partitionBy("_id", "mix_key").orderBy(F.length("text"))
-    rows = docs.withColumn("_id", id_key).withColumn("mix_key", _random_key()).join(chosen, ["_id", "mix_key"])
-    rows = rows.withColumn("_take", F.get("_takes", F.row_number().over(same) - 1)).where("_take is not null")
-    whole, over = F.expr("_take.taken div _take.size"), F.expr("_take.taken % _take.size")
-    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(1L, (_take.taken + _take.size - 1) div _take.size)")))
-    rows = rows.withColumn("_cut", (F.col("_copy") > whole) & (over > 0))
+    chosen = mixture(docs, **options).where("taken > 0").withColumn("_oddsmith_id", id_key).withColumnRenamed("mix_key", "_oddsmith_key")
+    chosen = materialize(chosen.groupBy("_oddsmith_key", "_oddsmith_id").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("_oddsmith_takes")), "taken")
+    same = Window.partitionBy("_oddsmith_id", "_oddsmith_key").orderBy(F.length("text"))
+    rows = docs.withColumn("_oddsmith_id", id_key).withColumn("_oddsmith_key", _random_key()).join(chosen, ["_oddsmith_id", "_oddsmith_key"])
+    rows = rows.withColumn("_oddsmith_take", F.get("_oddsmith_takes", F.row_number().over(same) - 1)).where("_oddsmith_take is not null")
+    whole, over = F.expr("_oddsmith_take.taken div _oddsmith_take.size"), F.expr("_oddsmith_take.taken % _oddsmith_take.size")
+    rows = rows.withColumn("_oddsmith_copy", F.explode(F.expr("sequence(1L, (_oddsmith_take.taken + _oddsmith_take.size - 1) div _oddsmith_take.size)")))
+    rows = rows.withColumn("_oddsmith_cut", (F.col("_oddsmith_copy") > whole) & (over > 0))
     words = F.regexp_extract_all("text", F.lit(f"[{SPACES}]*{WORD}"), 0)
-    rows = rows.withColumn("text", F.when(F.col("_cut"), F.array_join(F.slice(words, F.lit(1), over.cast("int")), "")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("_oddsmith_cut"), F.array_join(F.slice(words, F.lit(1), over.cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_oddsmith_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
