@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, staking
 from ..functions.margin import METHODS
+from ..functions.special import total
 from ..schema import MATCH_KEYS
 from .books import CELL, fair_books, margined
 from .inference import diebold_mariano
@@ -56,20 +57,31 @@ def settlements(chosen: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def flat_bets(scored_books: DataFrame) -> DataFrame:
+    """Add n_bets and profit of unit stakes on a book's value selections, summed within the row's arrays."""
+    zipped = F.transform(F.arrays_zip("model", "fair", "prices"), lambda s, i: F.when(
+        staking.selected(s["model"], s["fair"]), staking.profit(F.lit(1.0), s["prices"], i == F.col("realised"))))
+    made = F.filter(zipped, lambda x: x.isNotNull())
+    return scored_books.withColumn("n_bets", F.size(made).cast("long")).withColumn("profit", total(made))
+
+
 def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int = 1, order: str = "seq") -> DataFrame:
     """One row per cell and method: n_matches, model_rps, bench_rps, rps_diff, dm_stat, dm_p, n_bets, roi, n_arbitrage.
 
-    All cells are evaluated together: one join, one explode by method, grouped aggregates.
+    All cells are evaluated together: one join, one explode by method, then a narrow row per book and method, which is
+    kept (it can be made anew from its inputs) as the means and the test both read it.
     """
-    rows = scored(forecasts, books)
     group = [*CELL, "method"]
-    means = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_matches"), F.avg("model_rps").alias("model_rps"), F.avg("bench_rps").alias("bench_rps")).where(F.col("n_matches") >= minimum_matches)
-    ordered = rows.select(*group, F.row_number().over(Window.partitionBy(*group).orderBy("kickoff", order)).alias("_o"), F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"))
+    rows = flat_bets(scored(forecasts, books)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit").persist()
+    means = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_matches"), F.avg("a").alias("model_rps"), F.avg("b").alias("bench_rps"), F.sum("n_bets").alias("n_bets"),
+        F.try_divide(F.sum("profit"), F.nullif(F.sum("n_bets"), F.lit(0))).alias("roi"),
+    ).where(F.col("n_matches") >= minimum_matches)
+    ordered = rows.select(*group, F.row_number().over(Window.partitionBy(*group).orderBy("kickoff", order)).alias("_o"), "a", "b")
     dm = diebold_mariano(ordered, group, "_o").select(*group, F.col("mean_difference").alias("rps_diff"), F.col("statistic").alias("dm_stat"), F.col("p_value").alias("dm_p"))
-    bets = settlements(selections(rows)).select(*group, "n_bets", "roi")
     keys = [k for k in ["seq", *MATCH_KEYS] if k in forecasts.columns and k in books.columns]
-    lost = books.join(forecasts.select(*keys), keys).where(F.col("book_sum") <= 1 + 1e-9).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_arbitrage"))
-    out = means.join(dm, group, "left").join(bets, group, "left").join(lost, CELL, "left")
+    lost = books.where(F.col("book_sum") <= 1 + 1e-9).join(forecasts.select(*keys), keys).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_arbitrage"))
+    out = means.join(dm, group, "left").join(lost, CELL, "left")
     return out.withColumn("n_arbitrage", F.coalesce("n_arbitrage", F.lit(0)))
 
 
