@@ -26,11 +26,11 @@ import numpy as np
 MAGIC = b"OSRC"
 HEADER = struct.Struct("<4sHHIII")
 NO_ID = -(1 << 63)
-BLOCK = 2048
-TABLE_BITS = 9
+BLOCK = 1024
+TABLE_BITS = 8
 TABLE = 1 << TABLE_BITS  # contexts of an order
 TOP, BITS = 1 << 24, 12
-REFRESH = 64  # ids between two rebuilds of the order-0 intervals
+REFRESH = 128  # ids between two rebuilds of the order-0 intervals
 ONE = 1 << BITS
 
 _x = np.arange(4096)
@@ -47,7 +47,7 @@ class _Model:
         self.base = np.arange(lanes, dtype=np.int32) * TABLE
         self.base8 = np.arange(lanes, dtype=np.int32) * 8
         self.base256 = np.arange(lanes, dtype=np.int32) * 256
-        self.id2, self.id1 = np.zeros(lanes * TABLE, np.int32), np.zeros(lanes * TABLE, np.int32)
+        self.id2, self.id1 = np.zeros(lanes * TABLE, np.uint16), np.zeros(lanes * TABLE, np.uint16)
         self.sure2, self.sure1 = np.zeros(lanes * TABLE, np.int8), np.zeros(lanes * TABLE, np.int8)
         self.rate2 = np.tile(np.arange(8, dtype=np.int32) * 450 + 200, lanes)
         self.rate1 = np.tile(np.arange(8, dtype=np.int32) * 400 + 150, lanes)
@@ -61,20 +61,21 @@ class _Model:
     def refresh(self) -> None:
         """Cumulative intervals from the counts, scaled to 2**16 with at least 1 each; the same in coder and decoder."""
         for name in ("high", "low"):
-            c = getattr(self, name).reshape(self.n, 256).astype(np.int64)
-            f = 1 + c * (65536 - 256) // c.sum(axis=1, keepdims=True)
-            f[:, 0] += 65536 - f.sum(axis=1)
+            c = getattr(self, name).reshape(self.n, 256)
+            # one rounding each of a quotient and a product: the same on any machine with IEEE doubles
+            f = (c * ((65536 - 256) / c.sum(axis=1, keepdims=True))).astype(np.int32)
+            f += 1
+            f[:, 0] += 65536 - f.sum(axis=1, dtype=np.int32)
             cum = np.zeros((self.n, 257), np.int32)
             np.cumsum(f, axis=1, out=cum[:, 1:])
             setattr(self, f"{name}_cum", cum)
-            setattr(self, f"{name}_coarse", np.ascontiguousarray(cum[:, 16:256:16]))
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Candidate of each lane and its probability in 1/4096."""
         mixed = self.last1 * np.uint32(0x85EBCA6B)
         self.at1 = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.int32) + self.base
         self.at2 = ((mixed ^ self.last2 * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS)).astype(np.int32) + self.base
-        self.c1, self.c2 = self.id1.take(self.at1), self.id2.take(self.at2)
+        self.c1, self.c2 = self.id1.take(self.at1).astype(np.int32), self.id2.take(self.at2).astype(np.int32)
         self.s1, self.s2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
         use2 = self.s2 > 0
         candidate = np.where(use2, self.c2, self.c1)
@@ -87,7 +88,8 @@ class _Model:
         self.in0 = STRETCH.take(np.minimum(standing + 64, 4095))
         w = self.weights
         total = (w[0] * self.in2 >> 16) + (w[1] * self.in1 >> 16) + (w[2] * self.in0 >> 16)
-        self.p = SQUASH.take(np.clip(total + 2048, 0, 4095))
+        total += 2048
+        self.p = SQUASH.take(np.minimum(np.maximum(total, 0), 4095))
         return candidate, self.p
 
     @staticmethod
@@ -98,18 +100,19 @@ class _Model:
         error = (hit * np.int32(ONE) - self.p) >> 2
         for w, x in zip(self.weights, (self.in2, self.in1, self.in0)):
             w += x * error >> 8
-            np.clip(w, -(1 << 19), 1 << 19, out=w)
         for table, sure, rate, at, named, s, r, v in ((self.id2, self.sure2, self.rate2, self.at2, self.c2, self.s2, self.r2, self.v2), (self.id1, self.sure1, self.rate1, self.at1, self.c1, self.s1, self.r1, self.v1)):
             right = named == ids
             rate[r] = v + ((right * np.int32(4064) + 16 - v) >> 4)
             sure[at] = np.where(right, np.minimum(s + 1, 7), np.maximum(s >> 1, 1))
             table[at] = np.where(s > 1, named, ids)
-        self.seen[self.base256 + self.slot(ids)] += 1
-        self.high[self.base256 + (ids >> 8)] += 24
-        self.low[self.base256 + (ids & 255)] += 24
+        for counts, at, more in ((self.seen, self.slot(ids), 1), (self.high, ids >> 8, 24), (self.low, ids & 255, 24)):
+            at = self.base256 + at
+            counts[at] = counts.take(at) + np.int32(more)
         self.last2, self.last1 = self.last1, ids.astype(np.uint32)
         self.step += 1
         if self.step % REFRESH == 0:
+            for w in self.weights:
+                np.clip(w, -(1 << 19), 1 << 19, out=w)
             self.refresh()
 
 
@@ -122,44 +125,52 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     filled = np.zeros(lanes, np.int64)
 
     def carry(lane: np.ndarray) -> None:
-        for i in lane.tolist():
-            k = filled[i] - 1
-            while out[i, k] == 255:
-                out[i, k] = 0
-                k -= 1
-            out[i, k] += 1
+        k = filled[lane] - 1
+        while len(lane):
+            v = out[lane, k] + np.uint8(1)  # 255 wraps to 0 and carries on
+            out[lane, k] = v
+            on = v == 0
+            lane, k = lane[on], k[on] - 1
+
+    width_of_row = out.shape[1]
+    flat = out.ravel()
+
+    def settle(over: np.ndarray, small: np.ndarray) -> None:
+        """Carry for lanes whose low ran over, then write the settled bytes of lanes whose span is small."""
+        if len(over):
+            low[over] &= 0xFFFFFFFF
+            carry(over)
+        while len(small):
+            v, k = low.take(small), filled.take(small)
+            flat[small * width_of_row + k] = v >> 24
+            filled[small] = k + 1
+            low[small] = v << 8 & 0xFFFFFFFF
+            x = span.take(small) << 8
+            span[small] = x
+            small = small[x < TOP]
 
     def narrow(active: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        r = span[active] >> bits
-        low[active] += r * start
-        span[active] = r * width
-        over = low[active] > 0xFFFFFFFF
-        if over.any():
-            lane = active[over]
-            low[lane] &= 0xFFFFFFFF
-            carry(lane)
-        while True:
-            small = active[span[active] < TOP]
-            if not len(small):
-                return
-            out[small, filled[small]] = low[small] >> 24
-            filled[small] += 1
-            low[small] = low[small] << 8 & 0xFFFFFFFF
-            span[small] <<= 8
-            active = small
+        r = span.take(active) >> bits
+        v, x = low.take(active) + r * start, r * width
+        low[active], span[active] = v, x
+        settle(active[v > 0xFFFFFFFF], active[x < TOP])
 
     for t in range(longest):
         live = int(np.searchsorted(-sizes, -t))
         own = ids[:, t].astype(np.int32)
         candidate, p = model.predict()
         hit = candidate == own
-        active = np.arange(live)
-        narrow(active, np.where(hit, 0, p)[:live], np.where(hit, p, ONE - p)[:live], BITS)
+        r = span[:live] >> BITS
+        low[:live] += r * np.where(hit, 0, p)[:live]
+        np.multiply(r, np.where(hit, p, ONE - p)[:live], out=span[:live])
+        settle(np.flatnonzero(low[:live] > 0xFFFFFFFF), np.flatnonzero(span[:live] < TOP))
         miss = np.flatnonzero(~hit[:live])
         if len(miss):
-            for cum, symbol in ((model.high_cum, own[miss] >> 8), (model.low_cum, own[miss] & 255)):
-                a = cum[miss, symbol]
-                narrow(miss, a, cum[miss, symbol + 1] - a, 16)
+            ids_missed = own.take(miss)
+            for cum, symbol in ((model.high_cum, ids_missed >> 8), (model.low_cum, ids_missed & 255)):
+                at = miss * 257 + symbol
+                a = cum.ravel().take(at)
+                narrow(miss, a, cum.ravel().take(at + 1) - a, 16)
         model.update(own, hit)
     for _ in range(4):
         out[np.arange(lanes), filled] = low >> 24
@@ -173,52 +184,58 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     model = _Model(lanes)
     wide = max(map(len, payloads), default=0) + 16
-    data = np.zeros((lanes, wide), np.int64)
+    data = np.zeros((lanes, wide), np.uint8)
     for i, p in enumerate(payloads):
         data[i, : len(p)] = np.frombuffer(p, np.uint8)
-    code = data[:, 0] << 24 | data[:, 1] << 16 | data[:, 2] << 8 | data[:, 3]
+    first = data[:, :4].astype(np.int64)
+    code = first[:, 0] << 24 | first[:, 1] << 16 | first[:, 2] << 8 | first[:, 3]
     span = np.full(lanes, 0xFFFFFFFF, np.int64)
     at = np.full(lanes, 4, np.int64)
     out = np.zeros((lanes, longest), np.int64)
 
+    flat_data = data.ravel()
+
+    def refill(small: np.ndarray) -> None:
+        while len(small):
+            k = at.take(small)
+            code[small] = code.take(small) << 8 | flat_data.take(small * wide + np.minimum(k, wide - 1)).astype(np.int64)
+            at[small] = k + 1
+            x = span.take(small) << 8
+            span[small] = x
+            small = small[x < TOP]
+
     def narrow(active: np.ndarray, start: np.ndarray, width: np.ndarray, r: np.ndarray) -> None:
-        code[active] -= r * start
-        span[active] = r * width
-        while True:
-            small = active[span[active] < TOP]
-            if not len(small):
-                return
-            code[small] = code[small] << 8 | data[small, np.minimum(at[small], wide - 1)]
-            at[small] += 1
-            span[small] <<= 8
-            active = small
-
-    steps = np.arange(1, 16, dtype=np.int32)
-
-    def symbols(cum: np.ndarray, coarse: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        r = span[miss] >> 16
-        want = np.minimum(code[miss] // r, 65535).astype(np.int32)[:, None]
-        group = np.count_nonzero(coarse[miss] <= want, axis=1) * 16
-        first = miss * 257 + group
-        flat = cum.ravel()
-        symbol = group + np.count_nonzero(flat.take(first[:, None] + steps) <= want, axis=1)
-        a = flat.take(miss * 257 + symbol)
-        narrow(miss, a, flat.take(miss * 257 + symbol + 1) - a, r)
-        return symbol.astype(np.int32)
+        code[active] = code.take(active) - r * start
+        x = r * width
+        span[active] = x
+        refill(active[x < TOP])
+
+    def symbols(cum: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        r = span.take(miss) >> 16
+        want = np.minimum(code.take(miss) // r, 65535).astype(np.int32)
+        flat, place = cum.ravel(), miss * 257
+        first = place.copy()
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):  # the last interval that starts at or below want
+            place += step * (flat.take(place + step) <= want)
+        a = flat.take(place)
+        narrow(miss, a, flat.take(place + 1) - a, r)
+        return (place - first).astype(np.int32)
 
     for t in range(longest):
         live = int(np.searchsorted(-sizes, -t))
         candidate, p = model.predict()
-        active = np.arange(live)
         r = span[:live] >> BITS
+        bound = r * p[:live]
         hit = np.zeros(lanes, bool)
-        hit[:live] = code[:live] < r * p[:live]
-        narrow(active, np.where(hit, 0, p)[:live], np.where(hit, p, ONE - p)[:live], r)
+        hit[:live] = code[:live] < bound
+        code[:live] -= np.where(hit[:live], 0, bound)
+        span[:live] = np.where(hit[:live], bound, r * (ONE - p[:live]))
+        refill(np.flatnonzero(span[:live] < TOP))
         own = np.where(hit, candidate, 0)
         miss = np.flatnonzero(~hit[:live])
         if len(miss):
-            own[miss] = symbols(model.high_cum, model.high_coarse, miss) << 8
-            own[miss] |= symbols(model.low_cum, model.low_coarse, miss)
+            own[miss] = symbols(model.high_cum, miss) << 8
+            own[miss] |= symbols(model.low_cum, miss)
         # a lane that has ended sees what the coder saw there: zeros
         hit[live:] = candidate[live:] == 0
         out[:live, t] = own[:live]

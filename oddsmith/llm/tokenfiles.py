@@ -18,7 +18,7 @@ VOCABULARY = "byte_bpe_50k.json"
 SEGMENTS = "part int, place int, n_docs long, n_ids long, image binary"
 
 
-def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, block: int = BLOCK, segment_ids: int = 2_000_000) -> DataFrame:
+def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, block: int = BLOCK, segment_ids: int = 3_000_000) -> DataFrame:
     """Segments of about segment_ids ids: part and place order them, image is the segment's bytes, as in a file.
 
     Documents are range-partitioned and sorted by doc_id (nulls first, ties by text); each partition is encoded in one
