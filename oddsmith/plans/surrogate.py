@@ -40,8 +40,14 @@ def _match_columns() -> dict[str, Column]:
     }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the input has fewer splits than those, as a small file has; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))
     return orders.select(*[c.alias(n) for n, c in _match_columns().items()])
 
 
