@@ -15,22 +15,24 @@ from .common import connected_components, discard, materialize
 BITS = 64
 
 
-def text_fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the hashes of the word shingles."""
+def shingle_digests(text: str | None, shingle: int = 4) -> bytes:
+    """8 bytes for each word shingle in turn; one for a text of fewer words, none for a text without."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return digest(joined, 42) if n else b""
     ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
     starts = [0, *[e + 1 for e in ends[: n - shingle]]]
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
-    return majority(np.frombuffer(raw, np.uint8).reshape(-1, 8))
+    return b"".join([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :])])
+
+
+def text_fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned 64-bit fingerprint: a bit is 1 if set in over half the hashes of the word shingles."""
+    return majority(np.frombuffer(shingle_digests(text, shingle), np.uint8).reshape(-1, 8))
 
 
 def majority(digests: np.ndarray) -> int:
