@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 INTERVAL = "point double, low double, high double, n long"
+CHUNK = 1 << 20  # values drawn at a time, which bounds memory
 
 
 def _schema(by: list[str], df: DataFrame) -> str:
@@ -25,15 +26,23 @@ def stationary_interval(values: np.ndarray, seed: int, n_resamples: int = 10_000
     n = len(values)
     if n < 2:
         raise ValueError("two values at least")
-    rng = np.random.default_rng(seed)
-    jump_to = rng.integers(0, n, size=(n_resamples, n))
-    jumps = rng.random((n_resamples, n)) < min(1.0, 1.0 / block_length)
-    jumps[:, 0] = True
-    # a place is its block's start plus the distance from it
+    # draws come in one order, all places before all jumps, so results don't depend on the chunks: one generator
+    # passes over the places to get to the jumps, the other draws them again
+    rng, later = np.random.default_rng(seed), np.random.default_rng(seed)
+    chunks = [min(rows, n_resamples - i) for rows in [max(1, CHUNK // n)] for i in range(0, n_resamples, rows)]
+    for m in chunks:
+        later.integers(0, n, size=(m, n))
     steps = np.arange(n)
-    since = np.maximum.accumulate(np.where(jumps, steps, -1), axis=1)
-    at = (np.take_along_axis(jump_to, since, axis=1) + steps - since) % n
-    return float(values.mean()), *_ends(values[at].mean(axis=1), level)
+    means = []
+    for m in chunks:
+        jump_to = rng.integers(0, n, size=(m, n))
+        jumps = later.random((m, n)) < min(1.0, 1.0 / block_length)
+        jumps[:, 0] = True
+        # a place is its block's start plus the distance from it
+        since = np.maximum.accumulate(np.where(jumps, steps, -1), axis=1)
+        at = (np.take_along_axis(jump_to, since, axis=1) + steps - since) % n
+        means.append(values[at].mean(axis=1))
+    return float(values.mean()), *_ends(np.concatenate(means), level)
 
 
 def stationary_bootstrap(df: DataFrame, by: list[str], order: list[str], value: str, seed: int, n_resamples: int = 2000, block_length: float = 20.0, level: float = 0.95) -> DataFrame:

@@ -643,7 +643,7 @@ def _interval(df: DataFrame, by: list[str]) -> DataFrame:
 @query()
 def stationary_bootstrap(spark, sf):
     bets = _selections(spark, sf).where("stake > 0")
-    return _interval(bootstrap.stationary_bootstrap(bets.select(*CELL, "method", "kickoff", "seq", "place", "profit"), [*CELL, "method"], ["kickoff", "seq", "place"], "profit", 20260817, 400), [*CELL, "method"])
+    return _interval(bootstrap.stationary_bootstrap(bets.select(*CELL, "method", "kickoff", "seq", "place", "profit"), [*CELL, "method"], ["kickoff", "seq", "place"], "profit", 20260817), [*CELL, "method"])
 
 
 def _margin_pairs(spark: SparkSession, sf: str) -> DataFrame:
