@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +58,13 @@ def stationary_bootstrap(df: DataFrame, by: list[str], order: list[str], value:
     return df.groupBy(*by).applyInPandas(run, _schema(by, df))
 
 
+def _draws(seed: int, n: int, n_resamples: int) -> Iterator[np.ndarray]:
+    """Resampled places of n rows, a chunk of resamples at a time; the same as drawn at once."""
+    rng, rows = np.random.default_rng(seed), max(1, CHUNK // n)
+    for i in range(0, n_resamples, rows):
+        yield rng.choice(n, size=(min(rows, n_resamples - i), n), replace=True)
+
+
 def mean_ranks(x: np.ndarray) -> np.ndarray:
     _, inverse, counts = np.unique(x, return_inverse=True, return_counts=True)
     ends = np.cumsum(counts)
@@ -69,7 +78,7 @@ def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float(a @ b / scale) if scale > 0 else float("nan")
 
 
-def pair_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, seed: int, n_resamples: int = 2000, level: float = 0.95) -> DataFrame:
+def pair_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """Rank correlation with the interval of resampled pairs; null ends for two rows or fewer."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,15 +87,14 @@ def pair_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: st
         n = len(a)
         if n <= 2:
             return pd.DataFrame([(*key, None, None, None, n)])
-        draws = np.random.default_rng(seed).choice(n, size=(n_resamples, n), replace=True)
-        rhos = np.array([rank_correlation(a[i], b[i]) for i in draws])
+        rhos = np.array([rank_correlation(a[i], b[i]) for draws in _draws(seed, n, n_resamples) for i in draws])
         rhos = rhos[np.isfinite(rhos)]
         return pd.DataFrame([(*key, rank_correlation(a, b), *(_ends(rhos, level) if len(rhos) else (None, None)), n)])
 
     return df.groupBy(*by).applyInPandas(run, _schema(by, df))
 
 
-def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, cluster: str, seed: int, n_resamples: int = 2000, level: float = 0.95) -> DataFrame:
+def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, cluster: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """The same with whole clusters resampled; null ends for fewer than two clusters."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,7 +113,7 @@ def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y:
     return df.groupBy(*by).applyInPandas(run, _schema(by, df))
 
 
-def mean_difference_bootstrap(df: DataFrame, by: list[str], order: list[str], a: str, b: str, seed: int, n_resamples: int = 2000, level: float = 0.95) -> DataFrame:
+def mean_difference_bootstrap(df: DataFrame, by: list[str], order: list[str], a: str, b: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """Mean of a - b with the interval of resampled pairs; null ends for fewer than two rows."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +121,7 @@ def mean_difference_bootstrap(df: DataFrame, by: list[str], order: list[str], a:
         d = (pdf[a] - pdf[b]).to_numpy(float)
         if len(d) < 2:
             return pd.DataFrame([(*key, None, None, None, len(d))])
-        draws = np.random.default_rng(seed).choice(len(d), size=(n_resamples, len(d)), replace=True)
-        return pd.DataFrame([(*key, float(d.mean()), *_ends(d[draws].mean(axis=1), level), len(d))])
+        means = np.concatenate([d[i].mean(axis=1) for i in _draws(seed, len(d), n_resamples)])
+        return pd.DataFrame([(*key, float(d.mean()), *_ends(means, level), len(d))])
 
     return df.groupBy(*by).applyInPandas(run, _schema(by, df))

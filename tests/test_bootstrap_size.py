@@ -44,3 +44,14 @@ def test_stationary_chunks_do_not_show(monkeypatch):
             at.append(s[k] if j[k] else (at[-1] + 1) % 53)
         means.append(x[at].mean())
     assert whole[1:] == pytest.approx(np.quantile(means, [0.025, 0.975]))
+
+
+@pytest.mark.parametrize("query, operator", [("bootstrap_correlation", "pair_bootstrap"), ("cluster_bootstrap_correlation", "cluster_bootstrap"), ("bootstrap_mean_difference", "mean_difference_bootstrap")])
+def test_table_bootstraps_run_10_000(monkeypatch, spark, query, operator):
+    assert resamples(monkeypatch, spark, query, operator) == [10_000]
+
+
+def test_drawn_chunks_do_not_show(monkeypatch):
+    monkeypatch.setattr(bootstrap, "CHUNK", 100)
+    parts = np.concatenate(list(bootstrap._draws(5, 7, 200)))
+    assert (parts == np.random.default_rng(5).choice(7, size=(200, 7), replace=True)).all()
