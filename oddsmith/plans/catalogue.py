@@ -669,5 +669,4 @@ def bootstrap_mean_difference(spark, sf):
 @query()
 def manifest_sha256(spark, sf):
     """Name and digest of each table's files, read by Spark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{sf}/nation.parquet", f"{sf}/region.parquet"])
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return seasons.table_manifest(spark, sf)

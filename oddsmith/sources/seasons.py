@@ -14,6 +14,7 @@ from .registry import ALIAS_GROUPS, registry
 
 # Spellings that stand for a missing text.
 MISSING = ("nan", "NaN", "NAN", "None", "NaT", "<NA>", "null", "NULL")
+LARGE = 64 << 20
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
@@ -111,10 +112,35 @@ def price_rows(cells: DataFrame, known: DataFrame) -> DataFrame:
     return out.where(keep).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal")
 
 
+def digests(files: DataFrame) -> DataFrame:
+    """path, bytes, sha256 of a binaryFile relation. Executors hold a file in memory; one of over LARGE bytes is streamed by the driver's JVM."""
+    small = files.where(F.col("length") <= LARGE).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > LARGE).select("path", "length").collect()
+    if not large:
+        return small
+    spark = files.sparkSession
+    jvm, conf, rows = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in large:
+        path = jvm.org.apache.hadoop.fs.Path(f["path"])
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            rows.append((f["path"], f["length"], jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.union(spark.createDataFrame(rows, "path string, bytes long, sha256 string"))
+
+
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, sha256 of every season file, read by Spark where the files lie."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/*.csv")
-    return files.select(F.col("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return digests(spark.read.format("binaryFile").load(f"{root}/*/*.csv"))
+
+
+def table_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """name (the path below root), bytes, sha256 of every Parquet file below root."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    return digests(files).select(F.expr(f"substring(path, {len(top) + 2})").alias("name"), "bytes", "sha256")
 
 
 def write_manifest(spark: SparkSession, root: str, path: str) -> None:
