@@ -83,6 +83,7 @@ _AGAINST = re.compile(r"version|token|password|isbn|order|invoice|serial|\bv\.?\
 _AT = r"\s{0,2}(?:[\[({]\s{0,2}at\s{0,2}[\])}]|\sat\s)\s{0,2}"
 _DOT = r"(?:\.|\s{0,2}[\[({]\s{0,2}dot\s{0,2}[\])}]\s{0,2}|\sdot\s)"
 _HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_AT}|@)[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}})+", re.I)
+_AT_HINT = re.compile(r"[\[({]\s{0,2}at|\sat\s", re.I)  # without it or "@" the pattern above can't match
 _IP6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 _ONE_CARD = re.compile(r"(?<![0-9])(?:[0-9]{14,19}|[0-9]{4}(?:[ .-][0-9]{4}){2}[ .-][0-9]{2,4}|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{4,5})(?![0-9])")
 _ONE_PHONE = re.compile(r"(?<![0-9+])(?:(?:\+|00)[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[.-])[0-9]{3,4}[ .-][0-9]{4}(?![0-9])")
@@ -148,7 +149,7 @@ def candidate_spans(text: str, base: list[Span]) -> list[tuple[int, int, int, in
     taken = [(a, b) for a, _, b in base]
     free = lambda a, b: all(b <= x or y <= a for x, y in taken)
     found = []
-    if re.search(r"dot|[\[({]\s?at", text, re.I):
+    if "@" in text or _AT_HINT.search(text):
         found += [(0, m) for m in _HIDDEN_MAIL.finditer(text)]
     if text.count(":") > 1:
         found += [(1, m) for m in _IP6.finditer(text) if len(m[0]) > 3]
@@ -254,7 +255,7 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 doc = None if pd.isna(doc) else int(doc)
-                if not text or not (digit.search(text) or "@" in text or "dot" in text or "DOT" in text or "Dot" in text or "::" in text):
+                if not text or not (digit.search(text) or "@" in text or text.count(":") > 1 or _AT_HINT.search(text)):
                     rows.append((doc, 0, 0, 0, 0, empty, "", [], []))
                     continue
                 base = base_spans(text)
