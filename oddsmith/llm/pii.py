@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,8 @@ def base_spans(text: str) -> list[Span]:
             found.append((start, 0, last))
         at = text.find("@", max(at + 1, last))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]
+        if all(len(p) < 4 and int(p or "0") <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -146,8 +149,13 @@ def _unpacked(pattern: int) -> tuple[int, np.ndarray, int]:
 def candidate_spans(text: str, base: list[Span]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern) of looser matches that overlap no base span, leftmost first for each kind."""
     out = []
-    taken = [(a, b) for a, _, b in base]
-    free = lambda a, b: all(b <= x or y <= a for x, y in taken)
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, _, b in base), max))  # the furthest end of the spans so far, as kinds may overlap
+
+    def free(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return not k or ends[k - 1] <= a
+
     found = []
     if "@" in text or _AT_HINT.search(text):
         found += [(0, m) for m in _HIDDEN_MAIL.finditer(text)]
