@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,11 +19,15 @@ from .pii import fit_classifier
 # Names of elements and words of class and id values, as the HTML standard and common practice have them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr nobr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr nobr "
+    "noscript template svg object select canvas audio video".split()
 )
-_SKIPPED = "script|style|noscript|template|textarea|svg|iframe|object|select|math|canvas|audio|video|head"
-_NOISE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+_DROPPED = frozenset("noscript template svg object select canvas audio video".split())  # what they hold isn't text of the page
+_RAW = "script|style|textarea|title|xmp|iframe|noembed|noframes"  # no markup inside: they run to their end tag
+_NOISE_TAGS = frozenset("nav footer aside menu dialog button".split())
+_FORM_TAGS = frozenset("form fieldset".split())  # some sites wrap a whole page in a form, so an article inside counts
 _CONTENT_TAGS = frozenset("article main".split())
+_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner promo promotion promoted sponsor sponsored sidebar side menu nav navbar navigation topbar masthead "
     "footer foot header notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
@@ -31,81 +35,118 @@ _NOISE_WORDS = frozenset(
     "copyright legal disclaimer skip tags taglist byline toc rail teaser outbrain taboola".split()
 )
 _CONTENT_WORDS = frozenset("article post entry story content main body text".split())
+_LAYOUT_WORDS = frozenset("has with without no not is show hide layout page template theme col columns above below before after".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+# a quote opens a value only after "="; one that nothing closes is part of the value
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<({_SKIPPED})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<({_RAW})(?=[\s/>]){_ATTRIBUTES}(?:>|\Z).*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|aria-label)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"'][^\s=/>]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[a-z]+")
 _LEGAL = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\badvertis|\bsponsored\b|\bprivacy policy\b|\bsign (?:in|up)\b", re.I)
 _END = re.compile(r"[.!?:;…»”\"')\]]\Z")
 
 
+#: What the markup says of a block: certain boilerplate, probable boilerplate, nothing, an article.
+HIDDEN, NOISE, PLAIN, ARTICLE = -2, -1, 0, 1
+
+
 class Block(NamedTuple):
     text: str
     parent: int  # number of the innermost block element
     depth: int
-    structure: int  # -1 within boilerplate markup, 1 within article markup, 0 neither
+    structure: int  # HIDDEN to ARTICLE
     tag: str
     link_chars: int
 
 
-def _marks(tag: str, attributes: str, inside_article: bool) -> int:
-    """-1 if an element's name or attributes mark boilerplate, 1 if they mark the article, else 0."""
-    noise = tag in _NOISE_TAGS or (tag == "header" and not inside_article)
-    content = tag in _CONTENT_TAGS
+def _noisy_name(token: str, strict: bool) -> bool:
+    """Whether a class or id names boilerplate: by the word it ends with, or, unless strict, by the one it opens with."""
+    parts = _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+    if not parts or parts[0] in _LAYOUT_WORDS:
+        return False
+    return parts[-1] in _NOISE_WORDS or (not strict and parts[0] in _NOISE_WORDS)
+
+
+def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
+    """What an element's own name and attributes say, and whether it is an article or main element.
+
+    Tags, roles and hiding are certain. Names of classes and ids are only probable, and so are forms. A page's root and
+    body carry names of its layout, which say nothing of the text.
+    """
+    if tag in ("html", "body"):
+        return PLAIN, False
+    certain = tag in _NOISE_TAGS or (tag == "header" and not inside_article)
+    probable = tag in _FORM_TAGS
+    holder = tag in _CONTENT_TAGS
+    content = False
     for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            noise = True
+        name = m[1].lower()
+        if name not in ("class", "id", "role", "style", "hidden", "aria-hidden"):
+            continue
+        value = m[2] or m[3] or m[4] or ""
+        if name == "hidden":
+            certain = True
+        elif name == "aria-hidden":
+            certain |= value.lower() == "true"
         elif name == "style":
-            noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            certain |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()))
         elif name == "role":
-            noise |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
-            content |= value in ("main", "article")
-        elif name in ("class", "id"):
+            certain |= value.lower() in _NOISE_ROLES
+            holder |= value.lower() in ("main", "article")
+        else:
             for token in value.split():
-                parts = set(_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token)))
-                bad, good = parts & _NOISE_WORDS, parts & _CONTENT_WORDS
-                if bad and not (good and bad <= {"header", "side", "tags"}):
-                    noise = True
-                elif good:
-                    content = True
-    return -1 if noise else int(content)
+                if _noisy_name(token, tag in _CONTENT_TAGS):
+                    probable = True
+                else:
+                    content |= not _CONTENT_WORDS.isdisjoint(_PARTS.findall(token.lower()))
+    if certain or probable:
+        return HIDDEN if certain else NOISE, False
+    return ARTICLE if holder or content else PLAIN, holder
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. Unclosed and misnested tags are handled; nothing is cut off."""
+    """Text blocks in page order. Unclosed and misnested tags are handled; nothing is cut off.
+
+    An element's mark holds for what is inside: certain boilerplate for all of it, probable boilerplate down to an
+    article or main element.
+    """
     out: list[Block] = []
     text: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # tag, structure so far, number of the block element
-    links = link_chars = number = 0
+    # tag, mark, tag and number of the innermost block element
+    stack: list[tuple[str, int, str, int]] = []
+    open_tags: Counter = Counter()
+    links = link_chars = number = dropped = 0
 
     def flush() -> None:
         nonlocal link_chars
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                tag, structure, parent = next(((t, s, k) for t, s, k in reversed(stack) if t not in _INLINE), ("", 0, 0))
-                structure = stack[-1][1] if stack else structure
+                _, structure, tag, parent = stack[-1] if stack else ("", PLAIN, "", 0)
                 out.append(Block(" ".join(words), parent, len(stack), structure, tag, link_chars))
             text.clear()
         link_chars = 0
 
     def close(index: int) -> None:
-        nonlocal links
-        for t, _, _ in stack[index:]:
+        nonlocal links, dropped
+        for t, _, _, _ in stack[index:]:
             links -= t == "a"
+            dropped -= t in _DROPPED
+            open_tags[t] -= 1
         del stack[index:]
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not dropped:
             piece = page[at : m.start()]
             text.append(piece)
             if links:
@@ -124,38 +165,38 @@ def blocks_of(page: str) -> list[Block]:
             continue
         inline = tag in _INLINE
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if not inline:
-                        flush()
-                    close(i)
-                    break
-            else:
-                if not inline:
-                    flush()
+            if not inline:
+                flush()
+            if open_tags[tag]:
+                close(max(i for i, e in enumerate(stack) if e[0] == tag) if stack[-1][0] != tag else len(stack) - 1)
             continue
         if not inline:
             flush()
             for i in range(len(stack) - 1, -1, -1):
                 t = stack[i][0]
-                if (t == "p" and tag in _CLOSES_P) or (t == tag and tag in ("li", "option", "tr", "td", "th", "dd", "dt")):
+                if (t == "p" and tag in _CLOSES_P) or (t == tag and tag in ("li", "option", "tr", "td", "th", "dd", "dt")) or (t == "head" and tag == "body"):
                     close(i)
                     break
                 if t not in _INLINE and t != "p":
                     break
             number += 1
         elif tag == "a" and links:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "a":
-                    close(i)
-                    break
-        before = stack[-1][1] if stack else 0
-        own = _marks(tag, m[4], before > 0)
+            close(max(i for i, e in enumerate(stack) if e[0] == "a"))
         if m[4].rstrip().endswith("/") and inline:
             continue
-        stack.append((tag, -1 if before < 0 or own < 0 else max(before, own), number))
+        before, block_tag, block = stack[-1][1:] if stack else (PLAIN, "", 0)
+        own, holder = _marks(tag, m[4], before > 0)
+        if before == HIDDEN or own < 0:
+            mark = min(before, own)
+        elif before == NOISE:
+            mark = ARTICLE if holder else NOISE
+        else:
+            mark = max(before, own)
+        stack.append((tag, mark, *((block_tag, block) if inline else (tag, number))))
+        open_tags[tag] += 1
         links += tag == "a"
-    if at < len(page):
+        dropped += tag in _DROPPED
+    if at < len(page) and not dropped:
         text.append(page[at:])
     flush()
     return out
@@ -190,58 +231,105 @@ def minimum_cut(score: list[float], edges: dict[tuple[int, int], float]) -> list
     """True for nodes on the source's side of a minimum cut.
 
     A positive score is the capacity from the source, a negative one that to the sink; edges hold the capacity both
-    ways. Shortest augmenting paths; only what disagrees with a neighbour ever carries flow.
+    ways. A node whose own capacity outweighs all its edges lies on that terminal's side; its edges then count as its
+    neighbours' own capacities, which may settle them too. Blocking flows over what is left (Dinic's method).
     """
     n = len(score)
-    near: list[list[int]] = [[] for _ in range(n)]
-    left: dict[tuple[int, int], float] = {}
-    clash = False
+    near: list[dict[int, float]] = [{} for _ in range(n)]
     for (a, b), c in edges.items():
         if c > 0 and a != b:
-            near[a].append(b)
-            near[b].append(a)
-            left[a, b] = left[b, a] = c
-            clash |= (score[a] > 0) != (score[b] > 0)
-    if not clash:
-        return [s > 0 for s in score]
-    source, sink = [max(0.0, s) for s in score], [max(0.0, -s) for s in score]
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + c
+    score = list(score)
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        a = todo.pop()
+        if side[a] is not None or abs(score[a]) < sum(near[a].values()):
+            continue
+        side[a] = score[a] > 0
+        for b, c in near[a].items():
+            score[b] += c if side[a] else -c
+            del near[b][a]
+            todo.append(b)
+        near[a] = {}
+    left = [a for a in range(n) if side[a] is None]
+    if not left:
+        return [bool(x) for x in side]
+
+    # arcs come in pairs, k and k ^ 1, each the other's way back
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    head: list[int] = []
+    room: list[float] = []
+    for a in left:
+        for b, c in near[a].items():
+            if a < b:
+                arcs[a].append(len(head))
+                arcs[b].append(len(head) + 1)
+                head += (b, a)
+                room += (c, c)
     tiny = 1e-12
+    source, sink = [max(0.0, s) for s in score], [max(0.0, -s) for s in score]
     while True:
-        came = {a: -1 for a in range(n) if source[a] > tiny}
-        queue = deque(came)
-        end = -1
-        while queue:
-            a = queue.popleft()
-            if sink[a] > tiny:
-                end = a
-                break
-            for b in near[a]:
-                if b not in came and left[a, b] > tiny:
-                    came[b] = a
-                    queue.append(b)
-        if end < 0:
-            return [a in came for a in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        flow = min([source[path[0]], sink[end], *(left[x] for x in zip(path, path[1:]))])
-        source[path[0]] -= flow
-        sink[end] -= flow
-        for a, b in zip(path, path[1:]):
-            left[a, b] -= flow
-            left[b, a] += flow
+        level = dict.fromkeys((a for a in left if source[a] > tiny), 0)
+        front, depth, ends = list(level), 0, False
+        while front and not ends:
+            ends = any(sink[a] > tiny for a in front)
+            depth += 1
+            wave = []
+            for a in front:
+                for k in arcs[a]:
+                    if room[k] > tiny and head[k] not in level:
+                        level[head[k]] = depth
+                        wave.append(head[k])
+            front = wave
+        if not ends:
+            for a in left:
+                side[a] = a in level
+            return [bool(x) for x in side]
+        place = dict.fromkeys(level, 0)
+        for start in [a for a, d in level.items() if d == 0]:
+            a, path = start, []
+            while source[start] > tiny:
+                if sink[a] > tiny:
+                    flow = min([source[start], sink[a], *(room[k] for k in path)])
+                    source[start] -= flow
+                    sink[a] -= flow
+                    for k in path:
+                        room[k] -= flow
+                        room[k ^ 1] += flow
+                    full = next((i for i, k in enumerate(path) if room[k] <= tiny), None)
+                    if full is not None:
+                        a = head[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                while place[a] < len(arcs[a]):
+                    k = arcs[a][place[a]]
+                    if room[k] > tiny and level.get(head[k], -1) == level[a] + 1:
+                        break
+                    place[a] += 1
+                if place[a] < len(arcs[a]):
+                    path.append(k)
+                    a = head[k]
+                elif path:
+                    a = head[path.pop() ^ 1]
+                    place[a] += 1
+                else:
+                    break
+
+
+MARKED = {HIDDEN: -8.0, NOISE: -4.0, PLAIN: 0.0, ARTICLE: 3.0}
 
 
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are article text.
 
-    The classifier's log odds, held to +-3, and what the markup says (+3 in an article, -8 in boilerplate, as it is a
-    container's own word) give the capacities to the terminals. Neighbours in page order and blocks of one parent are
-    joined by smoothness edges, weaker the further apart their depths, and almost none across a change of markup.
+    The classifier's log odds, held to +-3, and what the markup says (MARKED) give the capacities to the terminals, so
+    markup that is only probable can be outvoted by a block's look and its neighbours together. Neighbours in page order
+    and blocks of one parent are joined by smoothness edges, weaker the further apart their depths, and almost none
+    across a change of markup.
     """
     odds = np.clip(one_hot(features(blocks)) @ weights, -3, 3).tolist()
-    score = [o + (3.0 if b.structure > 0 else -8.0 if b.structure < 0 else 0.0) for o, b in zip(odds, blocks)]
+    score = [o + MARKED[b.structure] for o, b in zip(odds, blocks)]
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
