@@ -60,17 +60,15 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | No
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path or public_path(VOCABULARY))
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.iloc[at : at + 2000]
-                rows = []
-                for doc, ids in zip(part["doc_id"], encode(part["text"])):
-                    ids += end
-                    doc = None if pd.isna(doc) else int(doc)
-                    for k, a in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[a : a + 4 * capacity]
-                        rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+            rows = []
+            for doc, ids in zip(batch["doc_id"], encode(batch["text"])):
+                ids += end
+                doc = None if pd.isna(doc) else int(doc)
+                for k, a in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[a : a + 4 * capacity]
+                    rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
 

@@ -4,164 +4,210 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
 _ENCODERS: dict = {}
+CHUNK = 12_000_000  # characters that are worked on at a time; a longer text is a chunk of its own
 MARKS = ".,!?;:*%&#$|"
+_CUT = "\x00"
 
 
 class _Seen(dict):
-    """A cache whose lookups of unknown pieces give the piece back and note it."""
+    """A cache in two generations whose lookups of unknown pieces give the piece back and note it.
 
-    def __init__(self) -> None:
+    When the young generation is full it becomes the old one, and the old one goes; what is looked up again returns to the
+    young one. So pieces that keep occurring stay, whatever else is met.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.old: dict[str, bytes] = {}
         self.unknown: set[str] = set()
 
-    def __missing__(self, piece: str) -> str:
-        self.unknown.add(piece)
-        return piece
+    def __missing__(self, piece: str) -> str | bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            self.unknown.add(piece)
+            return piece
+        self[piece] = ids
+        return ids
+
+    def known(self, piece: str) -> bytes | None:
+        ids = self.get(piece)
+        return self.old.get(piece) if ids is None else ids
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: those that print stand for themselves,
+    the others for characters from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+#: Characters of texts whose lower case is that of their letters one by one, in any library.
+_ODD = re.compile(r"[^\t\n\x20-\x7e\xa1-\u012f\u0131-\u017f]")
+
+
+#: Letters of alphabets that every version of Unicode's tables agrees on, behind a space or not.
+_SIMPLE = "^ ?[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+$"
 
 
 class WordCachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    A single space between two other characters always starts a new pre-token in the vocabularies this is made for
-    (a space opens the next word or is dropped), so a text is split there, each different piece is encoded once and
-    the ids are joined. A piece is cut further at single line feeds and before the marks that end it, which are
-    pre-tokens of their own. Texts with a run of white space around a space are encoded whole. The cache is cut back
-    when it holds `most` pieces, which bounds memory and changes no result.
+    Two kinds of vocabulary: one drops white space, so that any of it separates pre-tokens; in the other a single space
+    between two other characters opens the next pre-token, and a single line feed is one of its own. A text is split
+    there, each different piece is encoded once, and the ids are joined. Marks that end a piece of letters are a pre-token
+    of their own and are cut off. A word of letters alone is one pre-token, so the library's merges are applied to it
+    without the vocabulary's patterns and normalisation; where the vocabulary lowers case, texts are lowered first. Texts
+    with other runs of white space are encoded whole where it isn't dropped. The cache holds at most 2 * `most` pieces,
+    which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.inner, self.opening, self.tails = _Seen(), _Seen(), {}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
-        self.mark, only = ids("a \x01 a")[1:-1], ids("\x01")
-        self.joins = len(only) == 1 and self.mark[-1:] == only
-        self.feed = np.array(ids("a\na")[1:-1], dtype="<u4").tobytes()
-        if ids(" a") == ids("a"):  # spaces are dropped: words that open a text are like any others
-            self.opening = self.inner
-        resize = getattr(self.tokenizer.model, "_resize_cache", None)
-        if resize:
-            resize(256)  # the pieces are different, so the library's own cache would only fill
+        self.drops_spaces = ids(" a") == ids("a")
+        self.lowers = ids("A") == ids("a")
+        self.cache, self.tails = _Seen(most), {}
+        self.simple = re.compile(_SIMPLE)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = _byte_letters()
+        self.letters = {b: c for b, c in letters.items() if b != 10}
+        self.mark = letters[1]
+        self.mark_id = self.bare.encode(self.mark, add_special_tokens=False).ids[0]
+        for t in (self.tokenizer, self.bare):
+            resize = getattr(t.model, "_resize_cache", None)
+            if resize:
+                resize(256)  # the pieces are different, so the library's own cache would only fill
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many pieces from few calls: they are joined by a control character whose id marks the bounds."""
-        if not self.joins or any("\x01" in p for p in pieces):
-            return self._encode(pieces)
-        ids = np.array(self.tokenizer.encode_batch_fast([" \x01".join(pieces) + " \x01"], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.mark[-1]) + 1
-        if len(ends) != len(pieces):
-            return self._encode(pieces)
-        raw, k = ids.tobytes(), len(self.mark)
-        starts = [0, *ends[:-1].tolist()]
-        return [raw[4 * a : 4 * (b - k)] for a, b in zip(starts, ends.tolist())]
-
-    def _cut(self, piece: str) -> list[tuple[str, str]]:
-        """(word, marks after it) of each part of a piece between line feeds."""
-        parts = piece.split("\n")
-        if len(parts) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = [piece]
-        out = []
-        for p in parts:
-            if p[-1] in MARKS:
-                b = p.rstrip(MARKS)
-                if b.isalpha() and (b.isascii() or (max(b) < "ƀ" and "İ" not in b)):
-                    out.append((b, p[len(b) :]))
-                    continue
-            out.append((p, ""))
-        return out
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of many different words of letters from one call; a control character's id marks their ends."""
+        text = "\n".join(words).encode().decode("latin-1").translate(self.letters).replace("\n", f" {self.mark} ") + f" {self.mark}"
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.mark_id).tolist()
+        flat, starts = ids.tobytes(), [0, *[e + 1 for e in ends[:-1]]]
+        return [flat[4 * a : 4 * b] for a, b in zip(starts, ends)]
+
+    def _whole(self, piece: str) -> bool:
+        """Whether a piece's ids are the same wherever it stands."""
+        if self.drops_spaces or piece == "\n":
+            return True
+        own = piece[1:] if piece[:1] == " " else piece
+        return own != "" and not own[0].isspace() and not own[-1].isspace()
 
     def _learn(self) -> None:
-        """Encode the pieces that lookups have missed. Blank ones, and those with white space at an end, stay unknown."""
-        plans: list[tuple[_Seen, str, list[tuple[str, str]]]] = []
-        need: dict[int, set[str]] = {id(self.inner): set(), id(self.opening): set()}
-        tails: set[str] = set()
-        for cache in {id(c): c for c in (self.inner, self.opening)}.values():
-            for p in cache.unknown:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    continue
-                cut = self._cut(p)
-                plans.append((cache, p, cut))
-                for j, (b, t) in enumerate(cut):
-                    own = cache if j == 0 else self.opening
-                    if b not in own:
-                        need[id(own)].add(b)
-                    if t and t not in self.tails:
-                        tails.add(t)
-            cache.unknown.clear()
-        words = list(need[id(self.inner)])
+        """Encode the pieces that lookups have missed, but for those that depend on what stands around them."""
+        cache = self.cache
+        pieces = [p for p in cache.unknown if self._whole(p)]
+        cache.unknown.clear()
+        words, others = [], []
+        for p in pieces:
+            (words if self.simple.match(p) and (not self.lowers or p.islower()) else others).append(p)
         for i in range(0, len(words), 1024):
-            self.inner.update(zip(words[i : i + 1024], self._encode_pieces([" " + p for p in words[i : i + 1024]])))
-        if self.opening is not self.inner:
-            words = list(need[id(self.opening)])
-            self.opening.update(zip(words, self._encode(words)))
-        marks = list(tails)
-        self.tails.update(zip(marks, self._encode(marks)))
-        for cache, p, cut in plans:
-            if len(cut) > 1 or cut[0][1]:
-                cache[p] = self.feed.join([(cache if j == 0 else self.opening)[b] + (self.tails[t] if t else b"") for j, (b, t) in enumerate(cut)])
-        if len(self.tails) > 50_000:
-            self.tails.clear()
-
-    def _trim(self) -> None:
-        for cache in (self.inner, self.opening):
-            if len(cache) > self.most:
-                kept = {k: v for k, v in cache.items() if len(k) < 7}
-                cache.clear()
-                if len(kept) < self.most // 2:
-                    cache.update(kept)
+            cache.update(zip(words[i : i + 1024], self._encode_words(words[i : i + 1024])))
+        cache.update(zip(others, self._encode(others)))
+
+    def _tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            found = self.tails[marks] = self._encode([marks])[0]
+        return found
+
+    def _prepared(self, text: str) -> str:
+        """The text with a mark where it is split."""
+        if self.drops_spaces:
+            return (text if _ODD.search(text) else text.lower()).replace("\n", " ")
+        return text.replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").removeprefix(_CUT).removesuffix(_CUT)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         # millions of small objects and no cycles: the collector would only walk them again and again
         was = gc.isenabled()
         gc.disable()
         try:
-            return self._ids([t or "" for t in texts])
+            out: list[bytes] = []
+            held: list[str] = []
+            size = 0
+            for t in texts:
+                held.append(t or "")
+                size += len(held[-1])
+                if size >= CHUNK:
+                    out += self._ids(held)
+                    held, size = [], 0
+            return out + self._ids(held) if held else out
         finally:
             if was:
                 gc.enable()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        self._trim()
-        inner, opening = self.inner.__getitem__, self.opening.__getitem__
-        found: list[list] = []
-        for t in texts:
-            first, *parts = t.split(" ")
-            out = list(map(inner, parts))
-            if first or parts:
-                # a text's first word is followed by a space like any other, but has none before it
-                out.insert(0, opening(first))
-            found.append(out)
+        """Pieces are told apart in Arrow; Python sees each different piece once, and ids are laid out by NumPy."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.cache.turn()
+        split = pc.split_pattern(pa.array(map(self._prepared, texts), pa.large_string()), " " if self.drops_spaces else _CUT)
+        bounds = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        at, pieces = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        cores = pc.utf8_rtrim(pieces, MARKS)
+        cores = pc.if_else(pc.match_substring_regex(cores, _SIMPLE), cores, pieces)
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(cores), pc.binary_length(pieces)).to_numpy(zero_copy_only=False))
+        tails = [(i, p[len(c) :]) for i, p, c in zip(marked.tolist(), pieces.take(pa.array(marked)).to_pylist(), cores.take(pa.array(marked)).to_pylist())]
+        coded = cores.dictionary_encode()
+        found: list = list(map(self.cache.__getitem__, coded.dictionary.to_pylist()))
         self._learn()
-        learned: list[bytes | None] = []
-        whole: list[int] = []
-        for i, out in enumerate(found):
-            try:
-                learned.append(b"".join(out))
-                continue
-            except TypeError:  # a piece that was unknown
-                pass
-            head, *rest = out
-            known = self.inner.get
-            row = [x if type(x) is bytes else known(x) for x in rest]
-            row.insert(0, head if type(head) is bytes else self.opening.get(head))
-            if None in row:
-                whole.append(i)
-                learned.append(None)
-            else:
-                learned.append(b"".join(row))
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            learned[i] = ids
-        return learned  # type: ignore[return-value]
+        blank = np.zeros(len(found), bool)
+        for i, x in enumerate(found):
+            if type(x) is str:
+                known = self.cache.known(x)
+                blank[i], found[i] = known is None, known or b""
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        ids = [found[i] for i in of.tolist()]
+        blank = blank[of]
+        for i, marks in tails:
+            ids[i] += self._tail(marks)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        del ids, found, pieces, cores
+        out: list[bytes] = []
+        step = 0
+        while step < len(texts):
+            stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + 500_000, "right")) - 1)
+            own = at[bounds[step] : bounds[stop]]
+            length = size[own]
+            ends = np.cumsum(length)
+            place = np.arange(ends[-1] if len(ends) else 0)
+            place += np.repeat(start[own] - (ends - length), length)
+            raw = flat[place].tobytes()
+            cuts = (np.r_[0, ends][bounds[step : stop + 1] - bounds[step]] * 4).tolist()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            step = stop
+        # texts that hold a run of spaces, or white space at an end of a piece
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(blank[at]), "right") - 1).tolist()
+        if not self.drops_spaces:
+            odd = sorted({*odd, *[i for i, t in enumerate(texts) if _CUT in t]})
+        for i, x in zip(odd, self._encode([texts[i] for i in odd])):
+            out[i] = x
+        return out
 
 
 def encoder(path: str) -> WordCachedEncoder:
