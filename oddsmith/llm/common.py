@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,16 +17,17 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine is set
+    if the master is local, as in tests; on a cluster that fails, as no executor would see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = "/tmp/checkpoints/oddsmith"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/oddsmith-checkpoints")
+    return context.getCheckpointDir().get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -120,6 +124,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out.union(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, which an idle worker would keep beside those at work."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its freed memory back when a partition ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that are no longer referenced, now rather than at some later collection."""
     import gc

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, range_prefix
+from .common import connected_components, lean, materialize, range_prefix
 
 LEADING = 8
 ORDERED = 4
@@ -35,7 +35,7 @@ def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
         if count:
             yield pd.DataFrame({"place": np.arange((dim + 1) * dim), "value": total.ravel(), "n": count})
 
-    parts = classes.select("embedding").mapInPandas(sums, "place int, value double, n long")
+    parts = classes.select("embedding").mapInPandas(lean(sums), "place int, value double, n long")
     rows = parts.groupBy("place").agg(F.sum("value").alias("value"), F.sum("n").alias("n")).toPandas().sort_values("place")
     total = rows["value"].to_numpy().reshape(dim + 1, dim)
     n = int(rows["n"].iloc[0])
@@ -146,7 +146,7 @@ def _joined_classes(classes: DataFrame, dim: int, least: float, interval_rows: i
             out["copies"] = batch["copies"].to_numpy()
             yield out
 
-    projected = classes.select("cell_id", "embedding", "copies").mapInPandas(project, f"cell_id long, {lead_type}, embedding array<float>, copies long")
+    projected = classes.select("cell_id", "embedding", "copies").mapInPandas(lean(project), f"cell_id long, {lead_type}, embedding array<float>, copies long")
     order = [F.floor(F.col(f"l{i}") / eps) for i in range(min(ORDERED, k))] + [F.col("l0"), F.col("cell_id")]
     ranked = range_prefix(projected.withColumn("one", F.lit(1)), order, {"rank": "one"})
     ranked = materialize(ranked.withColumn("interval", F.expr(f"(rank - 1) div {interval_rows}")), "ranked")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .pii import fit_classifier
 
 # Names of elements and words of class and id values, as the HTML standard and common practice have them.
@@ -363,7 +363,7 @@ def classifier_weights(pages: DataFrame, fit_pages: int) -> np.ndarray:
                         seen[f, b.structure > 0] += 1
         yield pd.DataFrame([("".join(map(str, f)), y, n) for (f, y), n in seen.items()], columns=["pattern", "article", "n"])
 
-    counted = sample.mapInPandas(run, "pattern string, article boolean, n long").groupBy("pattern", "article").agg(F.sum("n").alias("n"))
+    counted = sample.mapInPandas(lean(run), "pattern string, article boolean, n long").groupBy("pattern", "article").agg(F.sum("n").alias("n"))
     rows = counted.orderBy("pattern", "article").collect()
     # a few imagined blocks of either kind, long sentences and short links, keep small samples from odd conclusions
     seen = [(tuple(map(int, r["pattern"])), float(r["article"]), float(r["n"])) for r in rows]
@@ -390,4 +390,4 @@ def extract_main_text(pages: DataFrame, fit_pages: int = 2000) -> DataFrame:
                 texts.append(" ".join(b.text for b, keep in zip(found, label_blocks(found, weights)) if keep) if found else "")
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(lean(run), "page_id long, url string, text string, n_chars long")

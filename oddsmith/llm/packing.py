@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 from .tokens import encoder, public_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -70,7 +70,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | No
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(cut), PIECES)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 65_536) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import lean, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("form", "validity", "gazetteer", "context", "boundary")
@@ -273,7 +273,7 @@ def personal_data(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 rows.append((doc, *n, hashlib.sha256(flat.encode()).hexdigest(), flat, seen, candidate_spans(text, base)))
             yield pd.DataFrame(rows, columns=_FOUND.names).astype({"doc_id": "Int64"})
 
-    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, _FOUND), "found")
+    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), _FOUND), "found")
     patterns = F.concat("seen", F.transform("more", lambda m: m["pattern"]))
     counted = found.select(F.explode(patterns).alias("pattern")).groupBy("pattern").count().orderBy("pattern").collect()
     probability = pattern_probabilities([r["pattern"] for r in counted], [r["count"] for r in counted])

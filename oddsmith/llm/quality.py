@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES, lean, materialize
 
 BUCKETS = 1 << 16
 SYMBOLS = "#*$%&|<>"
@@ -95,7 +95,7 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         if len(used):
             yield pd.DataFrame({"bucket": used, "raw": raw[used], "target": target[used]})
 
-    parts = docs.select("text", "trusted").mapInPandas(run, "bucket long, raw long, target long")
+    parts = docs.select("text", "trusted").mapInPandas(lean(run), "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -163,7 +163,7 @@ def scores(own: DataFrame, ratio: np.ndarray) -> DataFrame:
             out["score"] = [text_score(t, ratio) for t in batch["text"]]
             yield out
 
-    return materialize(own.mapInPandas(run, f"doc_id long, {BASE}, score double"), "scored")
+    return materialize(own.mapInPandas(lean(run), f"doc_id long, {BASE}, score double"), "scored")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = 32_768) -> DataFrame:
@@ -204,4 +204,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, truste
             keep = [not base_statistics(t)[-1] and text_score(t, ratio) >= least for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, lean, materialize
 
 BITS = 64
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([text_fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).astype(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "doc_id long, fp long")
 
 
 class Covering:
@@ -172,7 +172,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int = 3,
                     rows, anchor = c.anchors(fp)
                     yield pd.DataFrame({"anchor": anchor | k << 32, "fp": fp[rows].view(np.int64), "home": anchor == c.homes(fp)[rows]})
 
-    replicas = distinct.select("fp").mapInPandas(replicate, "anchor long, fp long, home boolean")
+    replicas = distinct.select("fp").mapInPandas(lean(replicate), "anchor long, fp long, home boolean")
     counts = replicas.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
     large = materialize(counts.select("anchor", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")), "large")
     if large.isEmpty():
@@ -219,7 +219,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, segments: int = 3,
             yield work(held[0])
 
     spread = units.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", F.desc("home"), "fp")
-    edges = materialize(spread.mapInPandas(compare, schema).distinct(), "links")
+    edges = materialize(spread.mapInPandas(lean(compare), schema).distinct(), "links")
     discard(large)
     return edges
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, range_prefix, shuffle_partitions
+from .common import lean, materialize, range_prefix, shuffle_partitions
 from .rangecoder import BLOCK, NO_ID, read_segment, write_segment
 from .tokens import encoder, public_path
 
@@ -54,7 +54,7 @@ def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, bl
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = own.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialize(dealt.mapInPandas(encode, SEGMENTS), "token_segments")
+    return materialize(dealt.mapInPandas(lean(encode), SEGMENTS), "token_segments")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": doc, "start": ends - n + int(first), "n_tokens": n, "ids_crc32": crc})
 
     rows = segments.join(starts, ["part", "place"]).select("image", "first")
-    return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInPandas(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_index(docs: DataFrame, **options: int) -> DataFrame:

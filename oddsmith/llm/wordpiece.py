@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import public_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -130,4 +131,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                     most[full] = np.maximum.reduceat(per, (ends - n)[full])
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_words": n, "n_tokens": sums[ends] - sums[ends - n], "max_word_tokens": most})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long, max_word_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "doc_id long, n_words long, n_tokens long, max_word_tokens long")

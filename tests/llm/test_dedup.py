@@ -148,34 +148,45 @@ def test_banded_distance(spark, edits):
 
 def line_documents():
     rng = random.Random(8)
-    base = [words(rng, rng.randint(12, 30)) for _ in range(25)]
+    base = [words(rng, rng.randint(12, 30)) for _ in range(25)] + [words(rng, 9)[:n] for n in (13, 14, 15, 20, 26, 27, 28, 29, 30, 41, 42, 43, 50)]
     out = []
-    for d in range(70):
+    for d in range(140):
         own = [mutated(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3])) if rng.random() < 0.9 else rng.choice(["short", "", "another short line"]) for _ in range(rng.randint(0, 5))]
         out.append((d, "\n".join(own)))
-    return out + [(None, "only this line, in a row without an id"), (300, None), (301, ""), (302, out[5][1]), (302, out[5][1])]
+    return out + [(None, "only this line, in a row without an id"), (None, "only this line, in a row without an id\nid\nid"), (300, None), (301, ""), (302, out[5][1]), (302, out[5][1])]
+
+
+def allowed(x, y, edits=2):
+    return min(edits, min(len(x), len(y)) // 14)
+
+
+def text_id(spark, t):
+    """The id of a row without a doc_id."""
+    return linededup.NO_ID + (spark.range(1).select(F.xxhash64(F.lit(t or "")).alias("x")).first().x & (linededup.NO_ID - 1))
 
 
 def test_line_verdicts(spark):
     data = line_documents()
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(0) for c in ("h", "id", "line", "keys", "_id")})
-    big = linededup.NO_ID
-    h = {r.line: r.x for r in df.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("x")).distinct().collect()}
+    both = df.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("x"), F.hash("line").alias("y")).distinct().collect()
+    h = {r.line: (r.x, r.y) for r in both}
+    ids = [text_id(spark, t) if d is None else d for d, t in data]
     first = {}
-    for d, t in data:
+    for d, (_, t) in zip(ids, data):
         for x in (t or "").split("\n"):
-            if len(x.strip(" ")) >= 16:
-                first[x] = min(first.get(x, big), big if d is None else d)
+            if x.strip(" "):
+                first[x] = min(first.get(x, d), d)
     order = sorted(first, key=lambda x: (first[x], h[x]))
-    near = {x for i, x in enumerate(order) if len(x) >= 56 and any(len(y) >= 56 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in order[:i])}
-    assert near
+    near = {x for i, x in enumerate(order) if any(abs(len(x) - len(y)) <= 2 and 0 < allowed(x, y) >= distance(x, y) for y in order[:i])}
+    assert any(len(x) < 28 for x in near) and any(28 <= len(x) < 56 for x in near) and any(len(x) > 100 for x in near)
     got = defaultdict(list)
     for r in linededup.line_verdicts(df).collect():
-        got[r.doc_id].append(r)
-    for d, t in data:
+        got[r.doc_id, r.n_lines].append(r)
+    for i_, (d, t) in zip(ids, data):
         own = (t or "").split("\n")
-        gone = [i for i, x in enumerate(own) if len(x.strip(" ")) >= 16 and (x in near or first[x] < (big if d is None else d) or x in own[:i])]
-        for r in got[d]:
+        gone = [i for i, x in enumerate(own) if x.strip(" ") and (x in near or first[x] < i_ or x in own[:i])]
+        assert got[d, len(own)]
+        for r in got[d, len(own)]:
             assert (r.n_lines, r.n_removed, r.removed, r.n_near) == (len(own), len(gone), gone, sum(own[i] in near for i in gone))
     left = linededup.without_repeated_lines(df)
     assert left.columns == df.columns
@@ -184,16 +195,31 @@ def test_line_verdicts(spark):
         texts[r.doc_id].append(r.text)
         assert r.n_chars == len(r.text or "")
     for d, t in data:
-        own, gone = (t or "").split("\n"), got[d][0].removed
+        own = (t or "").split("\n")
+        gone = got[d, len(own)][0].removed
         kept = "\n".join(x for i, x in enumerate(own) if i not in gone)
         if gone and not kept.strip():
             assert d not in texts
         else:
-            assert set(texts[d]) == {kept if gone else t}
+            assert (kept if gone else t) in texts[d] and (d is None or len(set(texts[d])) == 1)
     assert linededup.line_verdicts(empty(spark)).count() == 0 and linededup.without_repeated_lines(empty(spark)).count() == 0
     with pytest.raises(ValueError):
         linededup.line_verdicts(df, edits=3)
     assert linededup.line_verdicts(documents(spark)).count() == len(rows())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("oddsmith_")]
+
+
+def test_lines_that_share_a_segment(spark, monkeypatch):
+    """Many lines with one head, of which a few are near others; the same in parts and whole."""
+    rng = random.Random(4)
+    head = "all of these lines begin in the same way: "
+    lines = [head + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(30, 40))) for _ in range(2500)]
+    lines += [x[:50] + "z" + x[51:] for x in lines[:100]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    want = {i for i in range(2500, 2600)}
+    for part in (linededup.PART, 1500):
+        monkeypatch.setattr(linededup, "PART", part)
+        assert {r.doc_id for r in linededup.line_verdicts(df).where("n_near > 0").collect()} == want
 
 
 def brute_vectors(rows_, least=0.95):
