@@ -31,7 +31,13 @@ class FitWindow:
         self.h, self.a = places[: use.sum()], places[use.sum() :]
         self.x, self.y, self.w = hg[use].astype(float), ag[use].astype(float), w[use]
         self.n = len(self.teams)
-        self.low = {(i, j): np.flatnonzero((self.x == i) & (self.y == j)) for i in (0, 1) for j in (0, 1)}
+        # a low score's correction is 1 + rho * sign * lambda^p * mu^q; other scores have sign 0
+        low = (self.x < 2) & (self.y < 2)
+        self.p, self.q = low * (1 - self.x), low * (1 - self.y)
+        self.p, self.q = self.p * (self.x == 0), self.q * (self.y == 0)
+        self.sign = np.where(low, np.where(self.x == self.y, -1.0, 1.0), 0.0)
+        # the strengths that each rate is made of: attacks first, then defences
+        self.strengths = np.concatenate([self.h, self.n + self.a, self.a, self.n + self.h])
 
     def start(self) -> np.ndarray:
         theta = np.zeros(2 * self.n + 1)
@@ -44,27 +50,24 @@ class FitWindow:
         return np.exp(attack[self.h] + defence[self.a] + theta[-2]), np.exp(attack[self.a] + defence[self.h])
 
     def objective(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        """Negative weighted log-likelihood without factorials, and its gradient; outside the domain the penalty and zeros."""
+        """Negative weighted log-likelihood without factorials, and its gradient; outside the domain the penalty and zeros.
+
+        All derivatives are by the logarithms of the rates, in which strengths are sums.
+        """
         with np.errstate(over="ignore", invalid="ignore"):
             lam, mu = self.rates(theta)
-        rho = theta[-1]
-        tau, d_lam, d_mu, d_rho = np.ones_like(lam), np.zeros_like(lam), np.zeros_like(lam), np.zeros_like(lam)
-        k = self.low[0, 0]
-        tau[k], d_lam[k], d_mu[k], d_rho[k] = 1 - lam[k] * mu[k] * rho, -mu[k] * rho, -lam[k] * rho, -lam[k] * mu[k]
-        k = self.low[0, 1]
-        tau[k], d_lam[k], d_rho[k] = 1 + lam[k] * rho, rho, lam[k]
-        k = self.low[1, 0]
-        tau[k], d_mu[k], d_rho[k] = 1 + mu[k] * rho, rho, mu[k]
-        k = self.low[1, 1]
-        tau[k], d_rho[k] = 1 - rho, -1.0
-        if not (np.isfinite(lam).all() and np.isfinite(mu).all() and (tau > 0).all()):
+            term = self.sign * lam**self.p * mu**self.q
+            factor = 1 + theta[-1] * term
+        if not (np.isfinite(lam + mu).all() and (factor > 0).all()):
             return PENALTY, np.zeros_like(theta)
-        value = -np.dot(self.w, np.log(tau) + self.x * np.log(lam) - lam + self.y * np.log(mu) - mu)
-        g_home, g_away = self.w * (self.x - lam + lam * d_lam / tau), self.w * (self.y - mu + mu * d_mu / tau)
-        attack = np.bincount(self.h, g_home, self.n) + np.bincount(self.a, g_away, self.n)
-        defence = np.bincount(self.a, g_home, self.n) + np.bincount(self.h, g_away, self.n)
-        g = np.concatenate([attack[:-1] - attack[-1], defence, [g_home.sum()], [np.dot(self.w, d_rho / tau)]])
-        return float(value), -g
+        share = term / factor
+        gain = self.w @ (self.x * np.log(lam) + self.y * np.log(mu) + np.log(factor) - lam - mu)
+        by_home = self.w * (self.x - lam + theta[-1] * self.p * share)
+        by_away = self.w * (self.y - mu + theta[-1] * self.q * share)
+        total = np.bincount(self.strengths, np.concatenate([by_home, by_home, by_away, by_away]), 2 * self.n)
+        last = self.n - 1  # the last attack is minus the sum of the others
+        slope = np.concatenate([total[:last] - total[last], total[self.n :], [by_home.sum(), self.w @ share]])
+        return -float(gain), -slope
 
     def violation(self, theta: np.ndarray) -> float:
         lam, mu = self.rates(theta)

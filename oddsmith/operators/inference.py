@@ -95,7 +95,9 @@ def murphy(df: DataFrame, p: str = "p", o: str = "o", bins: int = 10) -> DataFra
         F.max(F.col("base") * (1 - F.col("base"))).alias("uncertainty"), mean(F.col("vp")).alias("within_variance"), mean(F.col("c")).alias("within_covariance"),
     )
     three = F.col("reliability") - F.col("resolution") + F.col("uncertainty")
-    return out.withColumns({"three_term": three, "four_term": three + F.col("within_variance"), "five_term": three + F.col("within_variance") - 2 * F.col("within_covariance")})
+    four = three + F.col("within_variance")
+    five = four - 2 * F.col("within_covariance")
+    return out.withColumns({"three_term": three, "four_term": four, "five_term": five, "residual": F.col("brier") - five})
 
 
 def spread_share(spread: Column, gap: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import decay, margin, pricing, scoring, special, staking
-from ..operators import bootstrap, books, cells, fitting, inference, likelihood, protocol, report
+from ..operators import bootstrap, books, cells, fitting, inference, likelihood, protocol, report, study
 from ..schema import HALF_LIVES, MATCH_KEYS
 from ..sources import registry as names
 from ..sources import seasons
@@ -326,13 +326,22 @@ def log_loss(spark, sf):
     return _forecast_arrays(spark, sf).select("seq", r(scoring.log_loss(F.col("p"), F.col("outcome")), "log_loss"))
 
 
-@query(f"""select n, {d('brier')}, {d('reliability')}, {d('resolution')}, {d('uncertainty')}, {d('within_variance')}, {d('within_covariance')}, round(reliability - resolution + uncertainty + within_variance - 2 * within_covariance, {M}) as five_term from (
+@query(f"""select n, {d('brier')}, {d('reliability')}, {d('resolution')}, {d('uncertainty')}, {d('within_variance')}, {d('within_covariance')},
+  round(reliability - resolution + uncertainty, {M}) as three_term, round(reliability - resolution + uncertainty + within_variance, {M}) as four_term,
+  round(reliability - resolution + uncertainty + within_variance - 2 * within_covariance, {M}) as five_term,
+  round(brier - (reliability - resolution + uncertainty + within_variance - 2 * within_covariance), {M}) + 0.0 as residual from (
   select sum(n)::bigint as n, sum(sq) / sum(n) as brier, sum(n * pow(mp - mo, 2)) / sum(n) as reliability, sum(n * pow(mo - base, 2)) / sum(n) as resolution, max(base * (1 - base)) as uncertainty,
     sum(n * vp) / sum(n) as within_variance, sum(n * c) / sum(n) as within_covariance from (
     select bin, count(*) as n, avg(p) as mp, avg(o) as mo, var_pop(p) as vp, covar_pop(p, o) as c, sum(pow(p - o, 2)) as sq from (select *, least(9, trunc(p * 10))::int as bin from binaries) group by bin), (select avg(o) as base from binaries))""")
 def murphy(spark, sf):
     m = inference.murphy(surrogate.binary_forecasts(spark, sf))
-    return m.select("n", *[r(c) for c in ("brier", "reliability", "resolution", "uncertainty", "within_variance", "within_covariance", "five_term")])
+    return m.select("n", *[r(c) for c in ("brier", "reliability", "resolution", "uncertainty", "within_variance", "within_covariance", "three_term", "four_term", "five_term", "residual")])
+
+
+def _two_sided(z: str) -> str:
+    """1 - erf(|z| / sqrt 2) as a series of positive terms; beyond 8 it is 0 to all digits shown."""
+    terms = f"list_transform(range(140), lambda i: exp(i * ln(2::double) + (2 * i + 1) * ln(abs({z}) / sqrt(2::double)) - (i + 1) * ln(2::double) - lgamma(i + 1.5) + ln(sqrt(pi()))))"
+    return f"case when {z} = 0 then 1.0::double when abs({z}) > 8 then 0.0::double else greatest(0.0::double, 1 - 2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * list_sum({terms})) end"
 
 
 _SERIES = """select series, n, lag, mean, greatest(0, (g0 + 2 * gk) / n) as variance from (
@@ -347,10 +356,10 @@ def newey_west(spark, sf):
     return inference.newey_west(surrogate.losses(spark, sf), ["series"], "seq", "a").select("series", "n", "lag", r("mean"), F.round("variance", 7).alias("variance"))
 
 
-@query(f"select series, n, lag::int as lag, round(mean, {M}) + 0.0 as mean_difference, round(mean / sqrt(variance / n), 5) + 0.0 as statistic from ({_SERIES.format(c=_CENTRED.format(v='(a - b)'))})")
+@query(f"select series, n, lag::int as lag, round(mean, {M}) + 0.0 as mean_difference, round(mean / sqrt(variance / n), 5) + 0.0 as statistic, round({_two_sided('mean / sqrt(variance / n)')}, 6) + 0.0 as p_value from ({_SERIES.format(c=_CENTRED.format(v='(a - b)'))})")
 def diebold_mariano_stat(spark, sf):
     dm = inference.diebold_mariano(surrogate.losses(spark, sf), ["series"], "seq")
-    return dm.select("series", "n", "lag", r("mean_difference"), (F.round("statistic", 5) + 0.0).alias("statistic"))
+    return dm.select("series", "n", "lag", r("mean_difference"), (F.round("statistic", 5) + 0.0).alias("statistic"), (F.round("p_value", 6) + 0.0).alias("p_value"))
 
 
 @query(f"select k, round(0.5 + sign(z) * 0.5 * 2 / sqrt(pi()) * exp(-z * z / 2) * coalesce(list_sum(list_transform(range(140), lambda n: exp(n * ln(2::double) + (2 * n + 1) * ln(abs(z) / sqrt(2::double)) - (n + 1) * ln(2::double) - lgamma(n + 1.5) + ln(sqrt(pi()))))), 0), {M}) as cdf from (select k, k / 100.0::double as z from (select distinct event_id % 1200 - 600 as k from events) where k <> 0)")
@@ -480,6 +489,22 @@ def period_split(spark, sf):
     return protocol.split_periods(surrogate.matches(spark, sf)).withColumn("place", F.col("place").cast("long"))
 
 
+@query("select league, season from (" + ORACLES["period_split"] + ") where period in ('calibration', 'evaluation')")
+def scored_seasons(spark, sf):
+    return study.seasons_in(protocol.split_periods(surrogate.matches(spark, sf)))
+
+
+@query("select league, season, count(distinct period) as n_periods from (" + ORACLES["period_split"] + ") group by all having count(distinct period) > 1")
+def period_overlap(spark, sf):
+    """Seasons in two periods: none, whatever the input."""
+    return study.shared_seasons(protocol.split_periods(surrogate.matches(spark, sf)))
+
+
+@query(f"select book, market, seq, {d('book_sum')} from (select *, row_number() over (partition by book, market order by kickoff, seq) as place from books) where place = 1")
+def first_complete_books(spark, sf):
+    return study.first_complete_books(_books(spark, sf), ("kickoff", "seq")).select("book", "market", "seq", r("book_sum"))
+
+
 @query("select league, strftime(day, '%Y-%m-%d') as day, n_matches, coalesce(sum(n_matches) over (partition by league order by day rows between unbounded preceding and 1 preceding), 0)::bigint as n_history from (select league, date_trunc('day', kickoff) as day, count(*) as n_matches from matches group by all)")
 def history_counts(spark, sf):
     return protocol.history_counts(surrogate.matches(spark, sf)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
@@ -519,10 +544,10 @@ def select_unpaired_candidate(spark, sf):
 # cells and reports ----------------------------------------------------------------------------------------------------
 
 
-@query("select r.league, r.book, r.market, r.method, n_matches, round(model_rps, 7) as model_rps, round(bench_rps, 7) as bench_rps, round(rps_diff, 7) + 0.0 as rps_diff, round(dm_stat, 4) + 0.0 as dm_stat, n_bets, round(roi, 6) + 0.0 as roi, coalesce(n_arbitrage, 0) as n_arbitrage from results r left join (select league, book, market, count(*) as n_arbitrage from books where book_sum <= 1 + 1e-9 group by all) a using (league, book, market)")
+@query("select r.league, r.book, r.market, r.method, n_matches, round(model_rps, 7) as model_rps, round(bench_rps, 7) as bench_rps, round(rps_diff, 7) + 0.0 as rps_diff, round(dm_stat, 4) + 0.0 as dm_stat, round(" + _two_sided("dm_stat") + ", 6) + 0.0 as dm_p, n_bets, round(roi, 6) + 0.0 as roi, coalesce(n_arbitrage, 0) as n_arbitrage from results r left join (select league, book, market, count(*) as n_arbitrage from books where book_sum <= 1 + 1e-9 group by all) a using (league, book, market)")
 def cell_results(spark, sf):
     c = _results(spark, sf)
-    return c.select(*CELL, "method", "n_matches", *[(F.round(x, 7) + 0.0).alias(x) for x in ("model_rps", "bench_rps", "rps_diff")], (F.round("dm_stat", 4) + 0.0).alias("dm_stat"), "n_bets", (F.round("roi", 6) + 0.0).alias("roi"), "n_arbitrage")
+    return c.select(*CELL, "method", "n_matches", *[(F.round(x, 7) + 0.0).alias(x) for x in ("model_rps", "bench_rps", "rps_diff")], (F.round("dm_stat", 4) + 0.0).alias("dm_stat"), (F.round("dm_p", 6) + 0.0).alias("dm_p"), "n_bets", (F.round("roi", 6) + 0.0).alias("roi"), "n_arbitrage")
 
 
 _SHOWN = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ("roi_spread", "rps_spread", "roi_min", "roi_max", "roi_proportional", "roi_shin"))
@@ -571,10 +596,13 @@ def p3_shares(spark, sf):
     return report.sign_flip_shares(cells.per_cell(_results(spark, sf))).withColumn("share_prop_shin", F.round("share_prop_shin", 6))
 
 
-@query("select method, count(*) as n_cells, round(avg(model_rps), 6) as model_rps, round(avg(bench_rps), 6) as bench_rps, round(avg(rps_diff), 6) + 0.0 as rps_diff, round(avg((rps_diff < 0)::int), 6) as favours_model from results group by method")
+@query("select method, count(*) as n_cells, round(avg(model_rps), 6) as model_rps, round(avg(bench_rps), 6) as bench_rps, round(avg(rps_diff), 6) + 0.0 as rps_diff, round(avg((rps_diff < 0)::int), 6) as favours_model, "
+       "round(avg((q < 0.10)::int), 6) as significant, (list_position(['proportional', 'power', 'shin', 'odds_ratio'], method) - 1)::int as place from ("
+       "select *, least(1.0::double, min(p * n / rk) over (order by rk desc rows unbounded preceding)) as q from ("
+       "select *, row_number() over (order by p) as rk, count(p) over () as n from (select *, " + _two_sided("dm_stat") + " as p from results))) group by method")
 def dm_table(spark, sf):
     t = report.method_table(_results(spark, sf))
-    return t.select("method", "n_cells", *[(F.round(c, 6) + 0.0).alias(c) for c in ("model_rps", "bench_rps", "rps_diff", "favours_model")])
+    return t.select("method", "n_cells", *[(F.round(c, 6) + 0.0).alias(c) for c in ("model_rps", "bench_rps", "rps_diff", "favours_model", "significant")], "place")
 
 
 @query("select league, count(*) as n_cells, sum(n_matches)::bigint as n_matches from (select distinct league, book, market, n_matches from results) group by league")
@@ -636,6 +664,14 @@ def walk_forward(spark, sf):
     return f.select("seq", "league", "season", "outcome", *[F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away", "p_over25")], "n_fit_matches")
 
 
+@query()
+def cell_roi_intervals(spark, sf):
+    """ROI of every cell and method with its bootstrap interval."""
+    results, f, b = _results(spark, sf), surrogate.forecasts(spark, sf), _books(spark, sf)
+    t = study.with_roi_intervals(results, f, b)
+    return t.select(*CELL, "method", "n_bets", *[(F.round(c, 6) + 0.0).alias(c) for c in ("roi", "roi_low", "roi_high")])
+
+
 def _interval(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, *[F.round(c, 6).alias(c) for c in ("point", "low", "high")], "n")
 

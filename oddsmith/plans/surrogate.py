@@ -41,9 +41,9 @@ def _match_columns() -> dict[str, Column]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the input has fewer splits than those, as a small file has; else df as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt to as many partitions as spark.oddsmith.surrogate.partitions says; where it is unset, df as it is read."""
+    wanted = df.sparkSession.conf.get("spark.oddsmith.surrogate.partitions", None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,14 @@ BOOKMAKERS = {
     "SO": "Sporting Odds", "SB": "Sportingbet", "SJ": "Stan James", "SY": "Stanleybet", "VC": "VC Bet", "WH": "William Hill", "BFE": "Betfair Exchange",
     "Max": "Market maximum", "Avg": "Market average", "BbMx": "Betbrain maximum", "BbAv": "Betbrain average",
 }
+# Names of results and statistics, of counts of bookmakers, and of handicap lines, none of which is a price.
 RESULTS = (
-    "Div Date Time HomeTeam AwayTeam HT AT HxG AxG FTHG HG FTAG AG FTR Res HTHG HTAG HTR Attendance Referee HS AS HST AST HHW AHW HC AC HF AF "
-    "HFKC AFKC HO AO HY AY HR AR HBP ABP"
-).split()
-COUNTS = "Bb1X2 BbOU BbAH".split()
-ASIAN_LINES = "BbAHh AHh AHCh PAHH PAHA PCAHH PCAHA".split()
+    "Div", "Date", "Time", "HomeTeam", "AwayTeam", "HT", "AT", "HxG", "AxG", "FTHG", "HG", "FTAG", "AG", "FTR", "Res", "HTHG", "HTAG", "HTR",
+    "Attendance", "Referee", "HS", "AS", "HST", "AST", "HHW", "AHW", "HC", "AC", "HF", "AF", "HFKC", "AFKC", "HO", "AO", "HY", "AY", "HR", "AR",
+    "HBP", "ABP",
+)
+COUNTS = ("Bb1X2", "BbOU", "BbAH")
+ASIAN_LINES = ("BbAHh", "AHh", "AHCh", "PAHH", "PAHA", "PCAHH", "PCAHA")
 # The short stem of one bookmaker, and the group of full names that replaces each group of short ones.
 SHORT_STEM, SHORT_BOOK = "P", "Pinnacle"
 ALIAS_GROUPS = (
@@ -44,7 +46,7 @@ def priced_names() -> dict[str, tuple[str, str, str, str]]:
 def known_names() -> dict[str, str]:
     """name -> kind: odds, result, count or asian (known, never priced)."""
     asian = [f"{stem}{mark}{side}" for stem in BOOKMAKERS for mark in ("", "C") for side in ("AHH", "AHA", "AH")]
-    kinds = {**dict.fromkeys(asian + ASIAN_LINES, "asian"), **dict.fromkeys(COUNTS, "count")}
+    kinds = {**dict.fromkeys([*asian, *ASIAN_LINES], "asian"), **dict.fromkeys(COUNTS, "count")}
     return kinds | dict.fromkeys(priced_names(), "odds") | dict.fromkeys(RESULTS, "result")
 
 

@@ -15,7 +15,8 @@ from .registry import ALIAS_GROUPS, registry
 # Spellings that stand for a missing text.
 MISSING = ("nan", "NaN", "NAN", "None", "NaT", "<NA>", "null", "NULL")
 LARGE = 64 << 20
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# a field with a quote runs to the quote that closes it; every character is passed once
+FIELD = r'(?:"[^"]*"?|[^,"])*+(?:,|$)'
 
 
 def season_files(spark: SparkSession, root: str, leagues: list[str] | None = None) -> DataFrame:
@@ -43,13 +44,19 @@ def parse_kickoff(date: Column, time: Column) -> Column:
     return (day + F.make_dt_interval(F.lit(0), part(1), part(2), part(3).cast("decimal(18,6)"))).cast("timestamp_ntz")
 
 
+def _fields(line: Column) -> Column:
+    """Fields of a line; only lines that hold a quote need the pattern."""
+    quoted = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(FIELD), 0), lambda x: F.regexp_replace(x, ",$", ""))
+    quoted = F.slice(quoted, F.lit(1), F.size(quoted) - 1)  # the last match is the empty one at the end
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1)), lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"))
+
+
 def parsed_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, rows): per file its header array and width; per data line its fields with the line number."""
     lines = files.withColumn("lines", F.split(F.rtrim(F.regexp_replace("text", r"\r\n?", "\n")), "\n"))
-    strip = lambda a: F.transform(a, lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"))
-    headers = lines.select("path", "season", "league", strip(F.split(F.get("lines", F.lit(0)), COMMA, -1)).alias("header"), (F.trim("text") == "").alias("empty"))
+    headers = lines.select("path", "season", "league", _fields(F.get("lines", F.lit(0))).alias("header"), (F.trim("text") == "").alias("empty"))
     rows = lines.select("path", "season", "league", F.posexplode("lines").alias("line", "raw")).where("line > 0 and trim(raw) <> ''")
-    return headers, rows.select("path", "season", "league", "line", strip(F.split("raw", COMMA, -1)).alias("fields"))
+    return headers, rows.select("path", "season", "league", "line", _fields(F.col("raw")).alias("fields"))
 
 
 def header_problems(headers: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
