@@ -50,8 +50,14 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     nothing is taken. Identical rows: each counts; which of them is cut makes no difference. No rows: no rows.
 
     Keys are uniform, so their leading digits cut each source, however large, into buckets of about bucket_rows
-    rows; a bucket is sorted in one task, and what precedes it comes from the buckets' totals.
+    rows; a bucket is sorted in one task, and what precedes it comes from running sums of the buckets' totals, which
+    are themselves taken over key ranges, not a source at a time.
     """
+    return _takes(docs, weights, most, bucket_rows).drop("source_key")
+
+
+def _takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, bucket_rows: int = 1024) -> DataFrame:
+    """mixture's rows with the source's key."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), _source_key().alias("sk"), size.alias("size"), _random_key().alias("mix_key"))
     rows = materialize(rows, "sizes")
@@ -62,8 +68,10 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     rows = rows.withColumn("bucket", F.substring("mix_key", 1, digits))
     buckets = materialize(rows.groupBy("sk", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     targets = source_targets(buckets.groupBy("sk").agg(F.sum("bucket_size").alias("source_size")), weights, most)
-    earlier = Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size").join(targets, "sk")
+    ranged = materialize(range_prefix(buckets, [F.col("sk").asc(), F.col("bucket").asc()], {"run": "bucket_size"}), "ranged")
+    ranged = ranged.withColumn("ahead", F.col("run") - F.col("bucket_size"))
+    starts = ranged.groupBy("sk").agg(F.min("ahead").alias("source_start"))
+    plan = ranged.join(starts, "sk").select("sk", "bucket", (F.col("ahead") - F.col("source_start")).alias("before")).join(targets, "sk")
     budget = F.floor(F.col("target") + 0.5)
     plan = plan.withColumn("epochs", F.coalesce(F.try_divide(budget, F.col("source_size")).cast("long"), F.lit(0)))
     plan = materialize(plan.withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "plan")
@@ -72,19 +80,24 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     start = F.col("before") + F.col("upto") - F.col("size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     taken = (F.col("size") * F.col("epochs") + extra).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "mix_key")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "mix_key", F.col("sk").alias("source_key"))
 
 
 def mixed_documents(docs: DataFrame, **options: int) -> DataFrame:
     """The documents that the mix takes, as often as it takes them; the one at a source's cut keeps its first words.
 
-    All columns stay; n_chars, where there is one, follows the text. Whole texts are shuffled once, by document.
+    All columns stay; n_chars, where there is one, follows the text. Whole texts are shuffled once, by document. Rows meet
+    their takes by source, id and text, so the same document under two sources is taken as each source's budget says; of
+    rows equal in all three any may be the one that is cut. Null or blank texts are never taken. Null ids, null sources and
+    columns of any other names are kept. No rows: no rows.
     """
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    chosen = mixture(docs, **options).where("taken > 0").withColumn("_oddsmith_id", id_key).withColumnRenamed("mix_key", "_oddsmith_key")
-    chosen = materialize(chosen.groupBy("_oddsmith_key", "_oddsmith_id").agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("_oddsmith_takes")), "taken")
-    same = Window.partitionBy("_oddsmith_id", "_oddsmith_key").orderBy(F.length("text"))
-    rows = docs.withColumn("_oddsmith_id", id_key).withColumn("_oddsmith_key", _random_key()).join(chosen, ["_oddsmith_id", "_oddsmith_key"])
+    chosen = _takes(docs, **options).where("taken > 0").withColumn("_oddsmith_id", id_key).withColumnsRenamed({"mix_key": "_oddsmith_key", "source_key": "_oddsmith_source"})
+    keys = ["_oddsmith_source", "_oddsmith_key", "_oddsmith_id"]
+    chosen = materialize(chosen.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("taken", "size"))).alias("_oddsmith_takes")), "taken")
+    same = Window.partitionBy(*keys).orderBy(F.length("text"))
+    rows = docs.withColumn("_oddsmith_id", id_key).withColumn("_oddsmith_key", _random_key())
+    rows = rows.withColumn("_oddsmith_source", _source_key()).join(chosen, keys)
     rows = rows.withColumn("_oddsmith_take", F.get("_oddsmith_takes", F.row_number().over(same) - 1)).where("_oddsmith_take is not null")
     whole, over = F.expr("_oddsmith_take.taken div _oddsmith_take.size"), F.expr("_oddsmith_take.taken % _oddsmith_take.size")
     rows = rows.withColumn("_oddsmith_copy", F.explode(F.expr("sequence(1L, (_oddsmith_take.taken + _oddsmith_take.size - 1) div _oddsmith_take.size)")))

@@ -124,6 +124,23 @@ def test_mixture(spark, seed):
     assert mixing.mixture(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_same_document_under_two_sources(spark):
+    """Each source takes its own share, also of documents that other sources hold too; nulls and clashing names are kept."""
+    rng = random.Random(4)
+    shared = [(i, words(rng, rng.randint(1, 30))) for i in range(40)]
+    data = [(i, t, "en", s, len(t)) for i, t in shared for s in ("a", "b", None, "c") if s != "c" or i < 3]
+    data += [(None, None, "en", "a", None), (None, "no id", "en", None, 5), (None, "no id", "en", "b", 5), (7, "", "en", "b", 0)]
+    docs = documents(spark, data)
+    want = Counter()
+    for r in mixing._takes(docs, bucket_rows=4).collect():
+        want[r.source_key[1:] or None] += r.taken
+    got = Counter()
+    for r in mixing.mixed_documents(docs, bucket_rows=4).collect():
+        got[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        assert r.mix_key == "mix_key"
+    assert got == want and len(want) == 4
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site-header"><h1>Site</h1><a href=/>Home</a></header>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies here.</div><!-- <p>gone</p> --><div id="sidebar"><p>A long text at the side that is not of the article at all, in fact.</p></div>
 <article><h1>Title &amp; more&am</h1><p><b>First &eacute; paragraph\n  of it<br>and on.<p>Second&nbsp;one with a <a href=x>link</a> in it.</p><div class="ad">Buy now!</div><ul><li>one<li>two</ul>
