@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import epsjoin, htmlmain, linededup, mixing, packing, pii, quality, simhash, tokenfiles, wordpiece
+from . import epsjoin, htmlmain, lexical, linededup, mixing, packing, pii, quality, simhash, tokenfiles, urltree, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_file_index(read(spark, sf_dir, "documents"), end_id=2)
 
 
+#: The rules of the query over urls, as (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_line_dedup": op4_line_dedup, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality, "op9_vectors": op9_vectors, "op10_token_files": op10_token_files}
+    return {"op1_pack": op1_pack, "op2_simhash": op2_simhash, "op3_token_counts": op3_token_counts, "op4_line_dedup": op4_line_dedup, "op5_mix": op5_mix, "op6_pii": op6_pii, "op7_main_text": op7_main_text, "op8_quality": op8_quality, "op9_vectors": op9_vectors, "op10_token_files": op10_token_files, "op11_urls": op11_urls, "op12_search": op12_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix": mixing.ORACLE}
+    return {"op5_mix": mixing.ORACLE, "op11_urls": urltree.oracle(URL_RULES), "op12_search": lexical.ORACLE}
