@@ -338,7 +338,7 @@ def murphy(spark, sf):
     return m.select("n", *[r(c) for c in ("brier", "reliability", "resolution", "uncertainty", "within_variance", "within_covariance", "three_term", "four_term", "five_term", "residual")])
 
 
-def _two_sided(z: str) -> str:
+def two_sided(z: str) -> str:
     """1 - erf(|z| / sqrt 2) as a series of positive terms; beyond 8 it is 0 to all digits shown."""
     terms = f"list_transform(range(140), lambda i: exp(i * ln(2::double) + (2 * i + 1) * ln(abs({z}) / sqrt(2::double)) - (i + 1) * ln(2::double) - lgamma(i + 1.5) + ln(sqrt(pi()))))"
     return f"case when {z} = 0 then 1.0::double when abs({z}) > 8 then 0.0::double else greatest(0.0::double, 1 - 2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * list_sum({terms})) end"
@@ -356,7 +356,7 @@ def newey_west(spark, sf):
     return inference.newey_west(surrogate.losses(spark, sf), ["series"], "seq", "a").select("series", "n", "lag", r("mean"), F.round("variance", 7).alias("variance"))
 
 
-@query(f"select series, n, lag::int as lag, round(mean, {M}) + 0.0 as mean_difference, round(mean / sqrt(variance / n), 5) + 0.0 as statistic, round({_two_sided('mean / sqrt(variance / n)')}, 6) + 0.0 as p_value from ({_SERIES.format(c=_CENTRED.format(v='(a - b)'))})")
+@query(f"select series, n, lag::int as lag, round(mean, {M}) + 0.0 as mean_difference, round(mean / sqrt(variance / n), 5) + 0.0 as statistic, round({two_sided('mean / sqrt(variance / n)')}, 6) + 0.0 as p_value from ({_SERIES.format(c=_CENTRED.format(v='(a - b)'))})")
 def diebold_mariano_stat(spark, sf):
     dm = inference.diebold_mariano(surrogate.losses(spark, sf), ["series"], "seq")
     return dm.select("series", "n", "lag", r("mean_difference"), (F.round("statistic", 5) + 0.0).alias("statistic"), (F.round("p_value", 6) + 0.0).alias("p_value"))
@@ -544,7 +544,7 @@ def select_unpaired_candidate(spark, sf):
 # cells and reports ----------------------------------------------------------------------------------------------------
 
 
-@query("select r.league, r.book, r.market, r.method, n_matches, round(model_rps, 7) as model_rps, round(bench_rps, 7) as bench_rps, round(rps_diff, 7) + 0.0 as rps_diff, round(dm_stat, 4) + 0.0 as dm_stat, round(" + _two_sided("dm_stat") + ", 6) + 0.0 as dm_p, n_bets, round(roi, 6) + 0.0 as roi, coalesce(n_arbitrage, 0) as n_arbitrage from results r left join (select league, book, market, count(*) as n_arbitrage from books where book_sum <= 1 + 1e-9 group by all) a using (league, book, market)")
+@query("select r.league, r.book, r.market, r.method, n_matches, round(model_rps, 7) as model_rps, round(bench_rps, 7) as bench_rps, round(rps_diff, 7) + 0.0 as rps_diff, round(dm_stat, 4) + 0.0 as dm_stat, round(" + two_sided("dm_stat") + ", 6) + 0.0 as dm_p, n_bets, round(roi, 6) + 0.0 as roi, coalesce(n_arbitrage, 0) as n_arbitrage from results r left join (select league, book, market, count(*) as n_arbitrage from books where book_sum <= 1 + 1e-9 group by all) a using (league, book, market)")
 def cell_results(spark, sf):
     c = _results(spark, sf)
     return c.select(*CELL, "method", "n_matches", *[(F.round(x, 7) + 0.0).alias(x) for x in ("model_rps", "bench_rps", "rps_diff")], (F.round("dm_stat", 4) + 0.0).alias("dm_stat"), (F.round("dm_p", 6) + 0.0).alias("dm_p"), "n_bets", (F.round("roi", 6) + 0.0).alias("roi"), "n_arbitrage")
@@ -599,7 +599,7 @@ def p3_shares(spark, sf):
 @query("select method, count(*) as n_cells, round(avg(model_rps), 6) as model_rps, round(avg(bench_rps), 6) as bench_rps, round(avg(rps_diff), 6) + 0.0 as rps_diff, round(avg((rps_diff < 0)::int), 6) as favours_model, "
        "round(avg((q < 0.10)::int), 6) as significant, (list_position(['proportional', 'power', 'shin', 'odds_ratio'], method) - 1)::int as place from ("
        "select *, least(1.0::double, min(p * n / rk) over (order by rk desc rows unbounded preceding)) as q from ("
-       "select *, row_number() over (order by p) as rk, count(p) over () as n from (select *, " + _two_sided("dm_stat") + " as p from results))) group by method")
+       "select *, row_number() over (order by p) as rk, count(p) over () as n from (select *, " + two_sided("dm_stat") + " as p from results))) group by method")
 def dm_table(spark, sf):
     t = report.method_table(_results(spark, sf))
     return t.select("method", "n_cells", *[(F.round(c, 6) + 0.0).alias(c) for c in ("model_rps", "bench_rps", "rps_diff", "favours_model", "significant")], "place")

@@ -27,6 +27,11 @@ def season_files(spark: SparkSession, root: str, leagues: list[str] | None = Non
     return out.where(F.col("league").isin(*leagues)) if leagues else out
 
 
+def text_lines(c: Column) -> Column:
+    """Lines of a text, however they end; null for a null text."""
+    return F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n", -1)
+
+
 def clean_text(c: Column) -> Column:
     t = F.trim(F.coalesce(c, F.lit("")))
     return F.when(t.isin(*MISSING), "").otherwise(t)
