@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .protocol import price_fixtures
@@ -162,50 +164,103 @@ def fit_strengths(matches: DataFrame, as_of: str | None = None, rate: float = 0.
     return matches.select("league", "kickoff", "home", "away", "home_goals", "away_goals").groupBy("league").applyInPandas(run, _FIT)
 
 
-def walk_forward(matches: DataFrame, scored: DataFrame, rate: float, min_fit_matches: int = 300, days_per_block: int = 30) -> DataFrame:
-    """Forecasts of the matches of scored (league, season), each from a fit on strictly earlier days of its league.
+MATCH = ["league", "home", "away", "home_goals", "away_goals"]
+
 
-    A unit of work is a block of a league's match days with the matches up to it, so leagues and blocks run side by
-    side; every fit starts from the same point, so blocks don't change results. A team without a strength, a failed fit
-    or a rate outside the bounds leaves the match out. n_fit_matches counts the history before weak teams go.
+def fit_inputs(matches: DataFrame, scored: DataFrame, rates: Sequence[float], chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
+    """The rows that walk-forward fits need, by (league, block): every match once, and what went before the block as states.
+
+    A league's match days are cut into `chunks` blocks of as many scored days (or of days_per_block). A block has its own
+    matches, in which n is 1 and weights are null, and for each pair of teams and score of earlier blocks one state: their
+    number n and, for each rate, their weights' sum at the time `at`. A weight falls by the same factor for all matches
+    from then on, so a state stands for any number of them. Rows are thus the matches and at most `chunks` times the
+    different results, whatever the number of rates and days. Sums are in decimals: their order doesn't show.
+    """
+    day, w = F.date_trunc("day", "kickoff"), Window.partitionBy("league").orderBy("day")
+    own = matches.join(scored.select("league", "season").distinct().withColumn("target", F.lit(True)), ["league", "season"], "left")
+    own = own.withColumns({"day": day, "target": F.coalesce("target", F.lit(False))})
+    days = own.groupBy("league", "day").agg(F.max("target").alias("scored"))
+    before = F.coalesce(F.count_if("scored").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("league", "day", before.alias("before"), F.count_if("scored").over(Window.partitionBy("league")).alias("n"))
+    size = F.lit(days_per_block) if days_per_block else F.greatest(F.lit(1), F.ceil(F.col("n") / chunks))
+    days = days.where("before < n").select("league", "day", F.floor(F.col("before") / size).cast("int").alias("block"))
+    blocks = days.groupBy("league", "block").agg(F.min("day").alias("first"))
+    blocks = blocks.withColumn("at", F.lead("first").over(Window.partitionBy("league").orderBy("block"))).withColumn("last", F.max("block").over(Window.partitionBy("league")))
+    rows = own.join(days, ["league", "day"])
+
+    age = lambda later, earlier: F.expr(f"timestampdiff(MICROSECOND, {earlier}, {later}) / 86400000000D")
+    ended = rows.join(blocks.where("at is not null"), ["league", "block"]).withColumn("age", age("at", "kickoff"))
+    sums = [F.sum(F.exp(-rate * F.col("age")).cast("decimal(34,24)")).cast("double").alias(f"w{i}") for i, rate in enumerate(rates)]
+    cells = ended.groupBy(*MATCH, "block", "at", "last").agg(F.count(F.lit(1)).alias("n"), *sums)
+    since = age("at", "TIMESTAMP_NTZ '1970-01-01'")
+    cells = cells.select(*MATCH, "block", "at", "last", F.struct(since.alias("t"), "n", F.array(*[f"w{i}" for i in range(len(rates))]).alias("w")).alias("own"))
+    same = Window.partitionBy(*MATCH).orderBy("block")
+    states = cells.withColumn("all", F.collect_list("own").over(same.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("block").over(same))
+
+    def carried(i: int, rate: float) -> Column:
+        return F.aggregate("all", F.lit(0.0), lambda s, x: s + x["w"][i] * F.exp(-rate * (F.col("own.t") - x["t"])))
+
+    until = F.coalesce("next", "last")
+    states = states.select(*MATCH, "at", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n"), F.array(*[carried(i, rate) for i, rate in enumerate(rates)]).alias("weights"), F.explode(F.sequence(F.col("block") + 1, until)).alias("block"))
+    extra = ["seq"] if "seq" in matches.columns else []
+    none = {"season": F.lit(None).cast("string"), "target": F.lit(False), **{c: F.lit(None).cast("long") for c in extra}}
+    names = [*MATCH, "block", "season", "kickoff", "n", "weights", "target", *extra]
+    raw = rows.withColumns({"n": F.lit(1).cast("long"), "weights": F.lit(None).cast("array<double>")}).select(*names)
+    return raw.unionByName(states.withColumnRenamed("at", "kickoff").withColumns(none).select(*names))
+
+
+def walk_forward_many(matches: DataFrame, scored: DataFrame, rates: Sequence[float], min_fit_matches: int = 300, chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
+    """Forecasts of the matches of scored (league, season) for each of the rates (candidate: its place), each from a fit on
+    strictly earlier days of its league.
+
+    A unit of work is a block of a league's match days, see fit_inputs; it fits all rates in one pass over its days. Every fit
+    starts from the same point, so blocks don't change results. A team without a strength, a failed fit or a rate outside
+    the bounds leaves the match out. n_fit_matches counts the history before weak teams go.
     """
-    day = F.date_trunc("day", "kickoff")
-    own = matches.join(scored.select("league", "season").distinct().withColumn("scored", F.lit(True)), ["league", "season"], "left")
-    own = own.withColumn("day", day).withColumn("seq_", F.xxhash64("kickoff", "home", "away", "home_goals", "away_goals"))
-    days = own.where("scored").select("league", "day").distinct().withColumn("block", F.floor((F.row_number().over(Window.partitionBy("league").orderBy("day")) - 1) / days_per_block))
-    spans = days.groupBy("league", "block").agg(F.max("day").alias("last"), F.min("day").alias("first"))
-    rows = own.join(spans, "league").where("day <= last")
-    rows = rows.withColumn("target", F.coalesce(F.col("scored") & (F.col("day") >= F.col("first")), F.lit(False)))
     extra = [c for c in ("seq",) if c in matches.columns]
     names = ["league", "season", "kickoff", "home", "away", "home_goals", "away_goals", *extra]
-    schema = "league string, season string, kickoff timestamp_ntz, home string, away string, home_goals long, away_goals long, " + "".join(f"{c} long, " for c in extra) + "lambda_home double, lambda_away double, rho double, n_fit_matches long"
+    schema = "league string, season string, kickoff timestamp_ntz, home string, away string, home_goals long, away_goals long, " + "".join(f"{c} long, " for c in extra)
+    schema += "candidate int, lambda_home double, lambda_away double, rho double, n_fit_matches long"
+    rates = [float(r) for r in rates]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["kickoff", "seq_"], kind="stable").reset_index(drop=True)
-        kick = df["kickoff"].to_numpy("datetime64[us]")
-        home, away = df["home"].to_numpy(str), df["away"].to_numpy(str)
-        hg, ag = df["home_goals"].to_numpy(), df["away_goals"].to_numpy()
+        df = df.assign(raw=df["weights"].isna()).sort_values(["raw", "kickoff", "home", "away", "home_goals", "away_goals"], kind="stable").reset_index(drop=True)
+        kick, n_states = df["kickoff"].to_numpy("datetime64[us]"), int((~df["raw"]).sum())
+        carried = np.ones((len(df), len(rates)))
+        if n_states:
+            carried[:n_states] = np.stack(df["weights"].iloc[:n_states].to_list())
+        teams, codes = np.unique(np.concatenate([df["home"].to_numpy(str), df["away"].to_numpy(str)]), return_inverse=True)
+        home, away = codes[: len(df)], codes[len(df) :]
+        hg, ag, held = df["home_goals"].to_numpy(), df["away_goals"].to_numpy(), np.cumsum(df["n"].to_numpy())
+        places = {t: i for i, t in enumerate(teams)}
         out = []
-        for d, part in df[df["target"]].groupby("day", sort=True):
+        for d, part in df[df["target"]].groupby(df["kickoff"].dt.normalize(), sort=True):
             start = np.datetime64(d, "us")
-            n = int(np.searchsorted(kick, start, "left"))
+            k = n_states + int(np.searchsorted(kick[n_states:], start, "left"))
+            n = int(held[k - 1]) if k else 0
             if n < min_fit_matches:
                 continue
-            w = np.exp(-rate * (start - kick[:n]).astype(np.int64) / 86_400e6)
-            try:
-                window = FitWindow(home[:n], away[:n], hg[:n], ag[:n], w)
-            except ValueError:
-                continue
-            theta, _, done = fit_window(window)
-            if not done:
-                continue
-            attack, defence = _strengths(window, theta)
-            place = {t: i for i, t in enumerate(window.teams)}
-            for row in part.itertuples(index=False):
-                h, a = place.get(row.home), place.get(row.away)
-                if h is not None and a is not None:
-                    out.append((*[getattr(row, c) for c in names], attack[h] * defence[a] * np.exp(theta[-2]), attack[a] * defence[h], theta[-1], n))
-        return pd.DataFrame(out, columns=[*names, "lambda_home", "lambda_away", "rho", "n_fit_matches"])
-
-    rated = rows.select(*names, "day", "seq_", "target", "block").groupBy("league", "block").applyInPandas(run, schema)
+            age = (start - kick[:k]).astype(np.int64) / 86_400e6
+            for c, rate in enumerate(rates):
+                try:
+                    window = FitWindow(home[:k], away[:k], hg[:k], ag[:k], carried[:k, c] * np.exp(-rate * age))
+                except ValueError:
+                    continue
+                theta, _, done = fit_window(window)
+                if not done:
+                    continue
+                attack, defence = _strengths(window, theta)
+                own = {t: i for i, t in enumerate(window.teams.tolist())}
+                for row in part.itertuples(index=False):
+                    h, a = own.get(places[row.home]), own.get(places[row.away])
+                    if h is not None and a is not None:
+                        out.append((*[getattr(row, x) for x in names], c, attack[h] * defence[a] * np.exp(theta[-2]), attack[a] * defence[h], theta[-1], n))
+        return pd.DataFrame(out, columns=[*names, "candidate", "lambda_home", "lambda_away", "rho", "n_fit_matches"])
+
+    rated = fit_inputs(matches, scored, rates, chunks, days_per_block).groupBy("league", "block").applyInPandas(run, schema)
     return price_fixtures(rated)
+
+
+def walk_forward(matches: DataFrame, scored: DataFrame, rate: float, min_fit_matches: int = 300, days_per_block: int | None = None, chunks: int = 16) -> DataFrame:
+    """walk_forward_many of one rate."""
+    return walk_forward_many(matches, scored, [rate], min_fit_matches, chunks, days_per_block).drop("candidate")

@@ -6,7 +6,6 @@ import json
 import math
 import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..sources.seasons import pending_leagues, write_by_league
 from . import books as closing
 from .bootstrap import stationary_bootstrap
 from .cells import CELL, cell_results, scored, selections
-from .fitting import walk_forward
+from .fitting import walk_forward, walk_forward_many
 from .protocol import paired_calibration, select_half_life, split_periods
 
 SEED = 20260817
@@ -52,15 +51,13 @@ def rate_of(half_life_days: float) -> float:
 def candidate_scores(matches: DataFrame, periods: DataFrame, half_lives: Sequence[float] = HALF_LIVES, min_fit_matches: int = 300) -> DataFrame:
     """(half_life_days, league, kickoff, home, away, rps): each candidate's own walk-forward over the calibration seasons.
 
-    The candidates are one plan, so their fits run side by side.
+    All candidates are fitted in one pass over the history, see fit_inputs.
     """
-    scored_seasons = seasons_in(periods, ("calibration",))
+    lives = [float(h) for h in half_lives]
     score = scoring.rps3(F.col("p_home"), F.col("p_draw"), F.col("p_away"), F.col("outcome"))
-    parts = [
-        walk_forward(matches, scored_seasons, rate_of(h), min_fit_matches).select(F.lit(float(h)).alias("half_life_days"), "league", "kickoff", "home", "away", score.alias("rps"))
-        for h in half_lives
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    priced = walk_forward_many(matches, seasons_in(periods, ("calibration",)), [rate_of(h) for h in lives], min_fit_matches)
+    life = F.element_at(F.array(*[F.lit(h) for h in lives]), F.col("candidate") + 1)
+    return priced.select(life.alias("half_life_days"), "league", "kickoff", "home", "away", score.alias("rps"))
 
 
 def calibrate(matches: DataFrame, half_lives: Sequence[float] = HALF_LIVES, min_fit_matches: int = 300) -> DataFrame:
