@@ -71,19 +71,36 @@ class FitWindow:
         slope = np.concatenate([total[:last] - total[last], total[self.n :], [by_home.sum(), self.w @ share]])
         return -float(gain), -slope
 
+    def information(self, theta: np.ndarray) -> np.ndarray:
+        """The curvature that is expected at theta, with the correction of low scores in that of rho alone."""
+        n, (lam, mu) = self.n, self.rates(theta)
+        scored = np.bincount(np.concatenate([self.h * n + self.a, self.a * n + self.h]), np.concatenate([self.w * lam, self.w * mu]), n * n).reshape(n, n)
+        at_home = np.bincount(self.h * n + self.a, self.w * lam, n * n).reshape(n, n)
+        whole = np.zeros((2 * n + 2, 2 * n + 2))  # attacks, defences, home factor, rho
+        whole[:n, :n], whole[n : 2 * n, n : 2 * n] = np.diag(scored.sum(1)), np.diag(scored.sum(0))
+        whole[:n, n : 2 * n], whole[:n, -2], whole[n : 2 * n, -2] = scored, at_home.sum(1), at_home.sum(0)
+        whole = np.maximum(whole, whole.T)
+        term = self.sign * lam**self.p * mu**self.q
+        whole[-2, -2], whole[-1, -1] = at_home.sum(), self.w @ (term / (1 + theta[-1] * term)) ** 2
+        kept = np.delete(whole, n - 1, axis=1)  # the last attack is minus the sum of the others
+        kept[:, : n - 1] -= whole[:, [n - 1]]
+        out = np.delete(kept, n - 1, axis=0)
+        out[: n - 1] -= kept[n - 1]
+        return out
+
     def violation(self, theta: np.ndarray) -> float:
         lam, mu = self.rates(theta)
         rho = theta[-1]
         return float(max(0.0, (np.maximum(-1 / lam, -1 / mu) - rho).max(), (rho - np.minimum(1 / (lam * mu), 1.0)).max()))
 
 
-def minimise(objective, start: np.ndarray, low: float, high: float, rounds: int = 500) -> tuple[np.ndarray, float, bool]:
-    """Quasi-Newton descent with the last parameter held to [low, high]; (point, value, converged)."""
+def minimise(objective, start: np.ndarray, low: float, high: float, rounds: int = 500, curvature: np.ndarray | None = None) -> tuple[np.ndarray, float, bool]:
+    """Quasi-Newton descent with the last parameter held to [low, high]; (point, value, converged). curvature: a first guess of it."""
     x = start.copy()
     x[-1] = min(max(x[-1], low), high)
     f, g = objective(x)
-    inverse = np.eye(len(x))
-    fresh = True
+    fresh = curvature is None
+    inverse = np.eye(len(x)) if fresh else np.linalg.inv(curvature + 1e-6 * np.trace(curvature) / len(x) * np.eye(len(x)))
     for _ in range(rounds):
         free = np.ones(len(x), bool)
         free[-1] = not ((x[-1] <= low and g[-1] > 0) or (x[-1] >= high and g[-1] < 0))
@@ -126,7 +143,7 @@ def fit_window(window: FitWindow, box: tuple[float, float] = RHO_BOX) -> tuple[n
     low, high = box
     theta, value, done = window.start(), PENALTY, False
     for _ in range(MAX_REFITS):
-        theta, value, done = minimise(window.objective, window.start(), low, high)
+        theta, value, done = minimise(window.objective, window.start(), low, high, curvature=window.information(window.start()))
         if window.violation(theta) <= 0:
             return theta, value, done
         low, high = low / 2, high / 2
@@ -209,13 +226,13 @@ def fit_inputs(matches: DataFrame, scored: DataFrame, rates: Sequence[float], ch
     return raw.unionByName(states.withColumnRenamed("at", "kickoff").withColumns(none).select(*names))
 
 
-def walk_forward_many(matches: DataFrame, scored: DataFrame, rates: Sequence[float], min_fit_matches: int = 300, chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
-    """Forecasts of the matches of scored (league, season) for each of the rates (candidate: its place), each from a fit on
+def rated_fixtures(matches: DataFrame, scored: DataFrame, rates: Sequence[float], min_fit_matches: int = 300, chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
+    """Scoring rates of the matches of scored (league, season) for each decay rate (candidate: its place), each from a fit on
     strictly earlier days of its league.
 
     A unit of work is a block of a league's match days, see fit_inputs; it fits all rates in one pass over its days. Every fit
-    starts from the same point, so blocks don't change results. A team without a strength, a failed fit or a rate outside
-    the bounds leaves the match out. n_fit_matches counts the history before weak teams go.
+    starts from the same point, so blocks don't change results. A team without a strength leaves the match out; a failed
+    fit gives it null rates. n_fit_matches counts the history before weak teams go.
     """
     extra = [c for c in ("seq",) if c in matches.columns]
     names = ["league", "season", "kickoff", "home", "away", "home_goals", "away_goals", *extra]
@@ -247,18 +264,24 @@ def walk_forward_many(matches: DataFrame, scored: DataFrame, rates: Sequence[flo
                 except ValueError:
                     continue
                 theta, _, done = fit_window(window)
-                if not done:
-                    continue
-                attack, defence = _strengths(window, theta)
+                attack, defence = _strengths(window, theta if done else np.full_like(theta, np.nan))
+                factor, rho = (np.exp(theta[-2]), theta[-1]) if done else (np.nan, np.nan)
                 own = {t: i for i, t in enumerate(window.teams.tolist())}
                 for row in part.itertuples(index=False):
                     h, a = own.get(places[row.home]), own.get(places[row.away])
                     if h is not None and a is not None:
-                        out.append((*[getattr(row, x) for x in names], c, attack[h] * defence[a] * np.exp(theta[-2]), attack[a] * defence[h], theta[-1], n))
+                        out.append((*[getattr(row, x) for x in names], c, attack[h] * defence[a] * factor, attack[a] * defence[h], rho, n))
         return pd.DataFrame(out, columns=[*names, "candidate", "lambda_home", "lambda_away", "rho", "n_fit_matches"])
 
-    rated = fit_inputs(matches, scored, rates, chunks, days_per_block).groupBy("league", "block").applyInPandas(run, schema)
-    return price_fixtures(rated)
+    # few bytes but long fits: partitions of a stated number aren't put together
+    spark = matches.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return fit_inputs(matches, scored, rates, chunks, days_per_block).repartition(tasks, "league", "block").groupBy("league", "block").applyInPandas(run, schema)
+
+
+def walk_forward_many(matches: DataFrame, scored: DataFrame, rates: Sequence[float], min_fit_matches: int = 300, chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
+    """Forecasts of rated_fixtures; a failed fit or a rate outside the bounds leaves the match out."""
+    return price_fixtures(rated_fixtures(matches, scored, rates, min_fit_matches, chunks, days_per_block))
 
 
 def walk_forward(matches: DataFrame, scored: DataFrame, rate: float, min_fit_matches: int = 300, days_per_block: int | None = None, chunks: int = 16) -> DataFrame:

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..schema import HALF_LIVES, LEAGUES
 from ..sources.seasons import pending_leagues, write_by_league
+from ..sources.shared import written
 from . import books as closing
 from .bootstrap import stationary_bootstrap
 from .cells import CELL, cell_results, scored, selections
-from .fitting import walk_forward, walk_forward_many
-from .protocol import paired_calibration, select_half_life, split_periods
+from .fitting import rated_fixtures, walk_forward
+from .protocol import paired_calibration, price_fixtures, select_half_life, split_periods
 
 SEED = 20260817
 MIN_CELL = 200
@@ -48,23 +49,23 @@ def rate_of(half_life_days: float) -> float:
     return math.log(2.0) / half_life_days
 
 
-def candidate_scores(matches: DataFrame, periods: DataFrame, half_lives: Sequence[float] = HALF_LIVES, min_fit_matches: int = 300) -> DataFrame:
-    """(half_life_days, league, kickoff, home, away, rps): each candidate's own walk-forward over the calibration seasons.
-
-    All candidates are fitted in one pass over the history, see fit_inputs.
-    """
+def candidate_rates(matches: DataFrame, half_lives: Sequence[float] = HALF_LIVES, min_fit_matches: int = 300) -> DataFrame:
+    """Every candidate's own walk-forward over the calibration seasons, all fitted in one pass over the history, see fit_inputs."""
     lives = [float(h) for h in half_lives]
+    rated = rated_fixtures(matches, seasons_in(split_periods(matches), ("calibration",)), [rate_of(h) for h in lives], min_fit_matches)
+    return rated.withColumn("half_life_days", F.element_at(F.array(*[F.lit(h) for h in lives]), F.col("candidate") + 1))
+
+
+def candidate_table(rated: DataFrame) -> DataFrame:
+    """half_life_days, rate, n_all, mean_rps_all, n_paired, mean_rps_paired of every candidate of candidate_rates."""
     score = scoring.rps3(F.col("p_home"), F.col("p_draw"), F.col("p_away"), F.col("outcome"))
-    priced = walk_forward_many(matches, seasons_in(periods, ("calibration",)), [rate_of(h) for h in lives], min_fit_matches)
-    life = F.element_at(F.array(*[F.lit(h) for h in lives]), F.col("candidate") + 1)
-    return priced.select(life.alias("half_life_days"), "league", "kickoff", "home", "away", score.alias("rps"))
+    scores = price_fixtures(rated).select("half_life_days", "league", "kickoff", "home", "away", score.alias("rps"))
+    return paired_calibration(scores, ["league", "kickoff", "home", "away"]).withColumn("rate", F.lit(math.log(2.0)) / F.col("half_life_days"))
 
 
 def calibrate(matches: DataFrame, half_lives: Sequence[float] = HALF_LIVES, min_fit_matches: int = 300) -> DataFrame:
-    """half_life_days, rate, n_all, mean_rps_all, n_paired, mean_rps_paired of every candidate, from fits of its own."""
-    scores = candidate_scores(matches, split_periods(matches), half_lives, min_fit_matches)
-    table = paired_calibration(scores, ["league", "kickoff", "home", "away"])
-    return table.withColumn("rate", F.lit(math.log(2.0)) / F.col("half_life_days"))
+    """candidate_table from fits of each candidate's own. The fits are written to the shared folder first, as scores are read twice."""
+    return candidate_table(written(candidate_rates(matches, half_lives, min_fit_matches), "candidate-rates"))
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

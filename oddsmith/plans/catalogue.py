@@ -12,6 +12,7 @@ from ..operators import bootstrap, books, cells, fitting, inference, likelihood,
 from ..schema import HALF_LIVES, MATCH_KEYS
 from ..sources import registry as names
 from ..sources import seasons
+from ..sources.shared import written
 from . import surrogate
 from .oracle import M, build
 
@@ -664,6 +665,58 @@ def walk_forward(spark, sf):
     return f.select("seq", "league", "season", "outcome", *[F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away", "p_over25")], "n_fit_matches")
 
 
+def _priced(period: str, rates: str) -> str:
+    """SQL of the fixtures that walk-forward prices, by candidate: teams carry their matches' weights up to the day; those of
+    less than 1 go with all their matches, and both sides of a fixture must then have a match left."""
+    return f"""
+with periods as ({ORACLES["period_split"]}),
+targets as (select m.*, date_trunc('day', kickoff) as day from matches m join periods using (league, season) where period = '{period}'),
+days as (select distinct league, day from targets),
+rates as (select i, r from (select unnest(range(len(x))) as i, unnest(x) as r from (select {rates} as x))),
+history as (
+  select d.league, day, home, away, count(*) as n, list(epoch_us(day::timestamp - kickoff) / 86400000000.0::double) as ages
+  from days d join matches m on m.league = d.league and m.kickoff < d.day group by all),
+pairs as (select h.*, i, list_sum(list_transform(ages, lambda a: exp(-r * a))) as w from history h, rates),
+carried as (
+  select league, day, i, team from (
+    select league, day, i, home as team, w from pairs union all select league, day, i, away, w from pairs)
+  group by all having sum(w) >= 1),
+usable as (
+  select league, day, i, home, away from pairs p
+  semi join carried c on c.league = p.league and c.day = p.day and c.i = p.i and c.team = p.home
+  semi join carried c on c.league = p.league and c.day = p.day and c.i = p.i and c.team = p.away),
+rated as (select league, day, i, home as team from usable union select league, day, i, away from usable),
+sizes as (select league, day, sum(n)::bigint as n_fit_matches from history group by all having sum(n) >= 300),
+priced as (
+  select t.*, s.n_fit_matches, a.i from targets t join sizes s using (league, day)
+  join rated a on a.league = t.league and a.day = t.day and a.team = t.home
+  join rated b on b.league = t.league and b.day = t.day and b.team = t.away and b.i = a.i)
+"""
+
+
+@query("select * from (" + _priced("evaluation", "[ln(2::double) / 400]")
+       + "select seq, league, season, n_fit_matches, case when home_goals > away_goals then 0 when home_goals = away_goals then 1 else 2 end as outcome, true as adds_up from priced)")
+def walk_forward_rows(spark, sf):
+    """The fixtures that real fits price, with the history of each and whether its probabilities add up."""
+    m = surrogate.matches(spark, sf)
+    f = fitting.walk_forward(m, protocol.split_periods(m).where("period = 'evaluation'"), study.rate_of(400.0))
+    sums = (F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) < 1e-9) & (F.abs(F.col("p_over25") + F.col("p_under25") - 1) < 1e-9)
+    return f.select("seq", "league", "season", "n_fit_matches", "outcome", sums.alias("adds_up"))
+
+
+@query("select * from (" + _priced("calibration", "[" + ", ".join(f"ln(2::double) / {h}" for h in HALF_LIVES) + "]")
+       + f", lives as (select i, h::double as h from (select unnest(range(len(x))) as i, unnest(x) as h from (select {list(HALF_LIVES)} as x)))"
+       + " select h as half_life_days, count(*) as n_rated, sum(n_fit_matches)::bigint as n_history, true as holds from priced join lives using (i) group by h)")
+def calibrate_fits(spark, sf):
+    """All candidates by real fits over the calibration seasons: the fixtures that each rates, their history, and whether what
+    depends on the fits themselves lies where it must: priced fixtures, the paired ones and mean scores."""
+    rated = written(study.candidate_rates(surrogate.matches(spark, sf)), "candidate-rates")
+    counts = rated.groupBy("half_life_days").agg(F.count(F.lit(1)).alias("n_rated"), F.sum("n_fit_matches").alias("n_history"))
+    holds = (F.col("n_all") <= F.col("n_rated")) & (F.col("n_all") > 0.95 * F.col("n_rated")) & (F.col("n_paired") <= F.col("n_all")) & (F.col("n_paired") > 0.9 * F.col("n_rated"))
+    t = counts.join(study.candidate_table(rated), "half_life_days")
+    return t.select("half_life_days", "n_rated", "n_history", (holds & F.col("mean_rps_all").between(0.15, 0.3) & F.col("mean_rps_paired").between(0.15, 0.3)).alias("holds"))
+
+
 @query()
 def cell_roi_intervals(spark, sf):
     """ROI of every cell and method with its bootstrap interval."""
