@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, staking
 from ..functions.margin import METHODS
 from ..functions.special import total
 from ..schema import MATCH_KEYS
+from ..sources.shared import written
 from .books import CELL, fair_books, margined
 from .inference import diebold_mariano
 
@@ -69,16 +70,16 @@ def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int =
     """One row per cell and method: n_matches, model_rps, bench_rps, rps_diff, dm_stat, dm_p, n_bets, roi, n_arbitrage.
 
     All cells are evaluated together: one join, one explode by method, then a narrow row per book and method, which is
-    kept (it can be made anew from its inputs) as the means and the test both read it.
+    written to the shared folder as the means and the test both read it.
     """
     group = [*CELL, "method"]
-    rows = flat_bets(scored(forecasts, books)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit").persist()
+    rows = flat_bets(scored(forecasts, books)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
+    rows = written(rows, "cell-rows")
     means = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_matches"), F.avg("a").alias("model_rps"), F.avg("b").alias("bench_rps"), F.sum("n_bets").alias("n_bets"),
         F.try_divide(F.sum("profit"), F.nullif(F.sum("n_bets"), F.lit(0))).alias("roi"),
     ).where(F.col("n_matches") >= minimum_matches)
-    ordered = rows.select(*group, F.row_number().over(Window.partitionBy(*group).orderBy("kickoff", order)).alias("_o"), "a", "b")
-    dm = diebold_mariano(ordered, group, "_o").select(*group, F.col("mean_difference").alias("rps_diff"), F.col("statistic").alias("dm_stat"), F.col("p_value").alias("dm_p"))
+    dm = diebold_mariano(rows, group, list(dict.fromkeys(["kickoff", order]))).select(*group, F.col("mean_difference").alias("rps_diff"), F.col("statistic").alias("dm_stat"), F.col("p_value").alias("dm_p"))
     keys = [k for k in ["seq", *MATCH_KEYS] if k in forecasts.columns and k in books.columns]
     lost = books.where(F.col("book_sum") <= 1 + 1e-9).join(forecasts.select(*keys), keys).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_arbitrage"))
     out = means.join(dm, group, "left").join(lost, CELL, "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_cdf
+from ..sources.shared import written
+from . import ranged
 
 
 def default_lag(n: Column) -> Column:
@@ -13,29 +15,37 @@ def default_lag(n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, F.floor(4 * F.pow(n / 100.0, F.lit(2.0 / 9.0))))).cast("int")
 
 
-def newey_west(series: DataFrame, by: list[str], order: str, value: str, lag: int | None = None) -> DataFrame:
+BLOCK = 4096  # places of a series that one row of newey_west holds
+
+
+def newey_west(series: DataFrame, by: list[str], order: str | list[str], value: str, lag: int | None = None) -> DataFrame:
     """by, n, lag, mean, variance: long-run variance with falling weights; autocovariances are divided by n, not below 0.
 
-    Each group's series is sorted once and each value meets the following ones in a frame as long as the longest lag,
-    a single number that is looked up first. Groups with fewer than two rows are left out.
+    A series is numbered over key ranges and cut into blocks of BLOCK places, or of its lag where that is more. A block also
+    gets the next block's first `lag` values, so its products need no other row; the series' sum is one of blocks. Rows whose
+    value is null don't count. Groups with fewer than two rows are left out.
     """
-    place = Window.partitionBy(*by).orderBy(order)
-    size = series.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).where("n >= 2")
+    order = [order] if isinstance(order, str) else list(order)
+    parts = ranged.dealt(series.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v")), by, order)
+    size = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).where("n >= 2")
     size = size.withColumn("lag", F.least(F.lit(lag), F.col("n").cast("int") - 1) if lag is not None else default_lag(F.col("n")))
-    most_lag = max(1, size.agg(F.max("lag")).first()[0] or 1)
-    rows = series.where(F.col(value).isNotNull()).withColumn("_t", F.row_number().over(place)).join(size, by).withColumn("_c", F.col(value) - F.col("mean"))
-    rows = rows.select(*by, "_t", "_c", "n", "lag")
-    ahead = Window.partitionBy(*by).orderBy("_t").rowsBetween(1, most_lag)
-    # at each place the next `lag` values, folded with their weights
-    later = F.slice(F.collect_list("_c").over(ahead), F.lit(1), F.greatest(F.col("lag"), F.lit(1)))
-    weighted = F.when(F.col("lag") > 0, F.aggregate(
-        F.transform(F.col("_later"), lambda c, i: c * (1 - (i + 1) / (F.col("lag") + 1.0))), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
-    rows = rows.withColumn("_later", later).withColumn("_term", F.col("_c") * F.col("_c") + 2 * F.col("_c") * weighted)
-    total = rows.groupBy(*by).agg(F.sum("_term").alias("_s"))
-    return size.join(total, by).select(*by, "n", "lag", "mean", F.greatest(F.lit(0.0), F.col("_s") / F.col("n")).alias("variance"))
-
-
-def diebold_mariano(series: DataFrame, by: list[str], order: str, a: str = "a", b: str = "b", lag: int | None = None) -> DataFrame:
+    rows = ranged.join_same(ranged.numbered(parts, by, "_t").select(*by, "_t", "_v"), size, by)
+    rows = rows.withColumns({"_t": F.col("_t") - 1, "_c": F.col("_v") - F.col("mean"), "_b": F.greatest(F.lit(BLOCK), F.col("lag"))})
+    own = F.expr("_t div _b")
+    blocks = F.when((F.col("_t") % F.col("_b") < F.col("lag")) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    rows = rows.select(*by, "lag", "_b", F.explode(blocks).alias("_block"), F.struct("_t", "_c").alias("_x"))
+    held = rows.groupBy(*by, "_block").agg(F.first("lag").alias("lag"), F.first("_b").alias("_b"), F.array_sort(F.collect_list("_x")).alias("_x"))
+    values = F.transform("_x", lambda x: x["_c"])
+    held = held.select(*by, "lag", values.alias("_c"), F.size(F.filter("_x", lambda x: x["_t"] < (F.col("_block") + 1) * F.col("_b"))).alias("_own"))
+    ahead = lambda i: F.slice("_c", i + 2, F.col("lag"))
+    weighted = lambda i: F.aggregate(
+        F.transform(ahead(i), lambda c, k: c * (1 - (k + 1) / (F.col("lag") + 1.0))), F.lit(0.0), lambda a, x: a + x)
+    terms = F.transform(F.slice("_c", 1, F.col("_own")), lambda c, i: c * c + F.when(F.col("lag") > 0, 2 * c * weighted(i)).otherwise(0.0))
+    total = held.groupBy(*by).agg(F.sum(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("_s"))
+    return ranged.join_same(size, total, by).select(*by, "n", "lag", "mean", F.greatest(F.lit(0.0), F.col("_s") / F.col("n")).alias("variance"))
+
+
+def diebold_mariano(series: DataFrame, by: list[str], order: str | list[str], a: str = "a", b: str = "b", lag: int | None = None) -> DataFrame:
     """by, n, lag, mean_difference, statistic, p_value. Without variance: 0 and 1 for equal losses, else infinite and 0."""
     nw = newey_west(series.withColumn("_d", F.col(a) - F.col(b)), by, order, "_d", lag)
     same = F.abs("mean") < 1e-15
@@ -45,35 +55,50 @@ def diebold_mariano(series: DataFrame, by: list[str], order: str, a: str = "a",
     return out.select(*by, "n", "lag", F.col("mean").alias("mean_difference"), "statistic", p.alias("p_value"))
 
 
+def _ranked(df: DataFrame, p: str, by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """df's rows with a p-value with their rank _r and their group's size _n, over key ranges; the columns of a group."""
+    own = df.where(F.col(p).isNotNull()).withColumn("_g", F.lit(0))
+    group = [*(by or []), "_g"]
+    others = F.xxhash64(*df.columns)  # many equal p-values needn't lie in one range
+    ranks = ranged.numbered(ranged.dealt(own, group, [F.col(p), others]), group, "_r")
+    return ranged.join_same(ranks, ranks.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), group), group
+
+
+def _untested(df: DataFrame, p: str, out: str, kind: str) -> DataFrame:
+    return df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast(kind))
+
+
 def adjusted_p_values(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q_value") -> DataFrame:
-    """Step-up adjusted p-values within by; hypotheses are as many as cells, so a group is a small table."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(p))).withColumn("_n", F.count(p).over(w))
-    scaled = ranked.withColumn("_s", F.col(p) * F.col("_n") / F.col("_r"))
-    least = F.min("_s").over(w.orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return scaled.withColumn(out, F.least(F.lit(1.0), least)).drop("_r", "_n", "_s")
+    """Step-up adjusted p-values within by. Rows without a p-value don't count and get none."""
+    ranks, group = _ranked(df, p, by)
+    least = ranged.least_from_here(ranks.withColumn("_s", F.col(p) * F.col("_n") / F.col("_r")), group, "_r", "_s", out)
+    return least.select(*df.columns, F.least(F.lit(1.0), out).alias(out)).unionByName(_untested(df, p, out, "double"))
 
 
 def rejected(df: DataFrame, p: str, q: float = 0.10, by: list[str] | None = None, out: str = "rejected") -> DataFrame:
-    """Step-up mask: all up to the largest rank that passes."""
+    """Step-up mask: all up to the largest rank that passes. Rows without a p-value don't count and aren't rejected."""
     if not 0 < q < 1:
         raise ValueError("q must lie in (0, 1)")
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(p))).withColumn("_n", F.count(p).over(w))
-    cut = F.max(F.when(F.col(p) <= q * F.col("_r") / F.col("_n"), F.col("_r"))).over(w)
-    return ranked.withColumn(out, F.col("_r") <= F.coalesce(cut, F.lit(0))).drop("_r", "_n")
+    ranks, group = _ranked(df, p, by)
+    cut = ranks.groupBy(*group).agg(F.max(F.when(F.col(p) <= q * F.col("_r") / F.col("_n"), F.col("_r"))).alias("_cut"))
+    mask = ranged.join_same(ranks, cut, group).select(*df.columns, (F.col("_r") <= F.coalesce("_cut", F.lit(0))).alias(out))
+    return mask.unionByName(_untested(df, p, out, "boolean").withColumn(out, F.lit(False)))
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str, out: str = "rho") -> DataFrame:
-    """Rank correlation with mean ranks of ties, per group."""
-    group = [F.col(c) for c in by] or [F.lit(0)]
-
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*group)
-        return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, c)) - 1) / 2.0
-
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, rank(x).alias("_x"), rank(y).alias("_y"))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias(out))
+    """Rank correlation with mean ranks of ties, per group. Ranks come from the distinct values, so ties of any size are one row."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_g", F.lit(0))
+    group = [*by, "_g"]
+    pairs = written(rows.groupBy(*group, "_x", "_y").agg(F.count(F.lit(1)).alias("_k")), "pairs")
+    for value, rank in (("_x", "_rx"), ("_y", "_ry")):
+        pairs = ranged.join_same(pairs, ranged.mean_ranks(rows, group, value, rank), [*group, value])
+    k = F.col("_k")
+    mean = lambda c: F.sum(k * F.col(c)) / F.sum(k)
+    size = written(pairs.groupBy(*group).agg(F.sum("_k").alias("n"), mean("_rx").alias("_mx"), mean("_ry").alias("_my")), "rank-means")
+    apart = ranged.join_same(pairs, size, group).withColumns({"_dx": F.col("_rx") - F.col("_mx"), "_dy": F.col("_ry") - F.col("_my")})
+    sums = apart.groupBy(*group).agg(F.max("n").alias("n"), *[F.sum(k * F.col(a) * F.col(b)).alias(f"{a}{b}") for a, b in (("_dx", "_dy"), ("_dx", "_dx"), ("_dy", "_dy"))])
+    rho = F.try_divide(F.col("_dx_dy"), F.nullif(F.sqrt(F.col("_dx_dx") * F.col("_dy_dy")), F.lit(0.0)))
+    return sums.select(*by, "n", rho.alias(out))
 
 
 def murphy(df: DataFrame, p: str = "p", o: str = "o", bins: int = 10) -> DataFrame:

@@ -26,10 +26,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs nothing."""
-    path = new_folder(df.sparkSession, name)
+    """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs nothing. It goes when the
+    application ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
+    return spark.read.schema(nullable(df.schema)).parquet(path)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
