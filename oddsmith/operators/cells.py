@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scoring, staking
@@ -12,6 +12,7 @@ from ..functions.margin import METHODS
 from ..functions.special import total
 from ..schema import MATCH_KEYS
 from ..sources.shared import written
+from . import guards
 from .books import CELL, fair_books, margined
 from .inference import diebold_mariano
 
@@ -37,9 +38,16 @@ def _rps(p: str) -> Column:
     return _by_market({"1X2": three, "OU25": scoring.rps2(F.get(p, F.lit(0)), F.col("realised"))})
 
 
-def scored(forecasts: DataFrame, books: DataFrame) -> DataFrame:
-    """A row per book and method with bench_rps; the model's own score is made before the methods multiply the rows."""
-    return fair_books(priced_books(forecasts, books)).withColumn("bench_rps", _rps("fair"))
+def scored(forecasts: DataFrame, books: DataFrame, strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
+    """A row per book and method with bench_rps; the model's own score is made before the methods multiply the rows.
+
+    strict: whether a book without a fair one or a forecast that can't be scored fails the job or is left out and counted in
+    seen; by default such rows aren't looked for.
+    """
+    rows = priced_books(forecasts, books)
+    if strict is not None:
+        rows = guards.checked(rows, guards.book_checks("implied") | guards.forecast_checks("model", "realised"), strict, seen)
+    return fair_books(rows).withColumn("bench_rps", _rps("fair"))
 
 
 def selections(scored_books: DataFrame, staking_: str = "flat", minimum_edge: float = 0.0, fraction: float = staking.KELLY_FRACTION) -> DataFrame:
@@ -66,14 +74,15 @@ def flat_bets(scored_books: DataFrame) -> DataFrame:
     return scored_books.withColumn("n_bets", F.size(made).cast("long")).withColumn("profit", total(made))
 
 
-def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int = 1, order: str = "seq") -> DataFrame:
+def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int = 1, order: str = "seq", strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
     """One row per cell and method: n_matches, model_rps, bench_rps, rps_diff, dm_stat, dm_p, n_bets, roi, n_arbitrage.
+    strict and seen: as for scored.
 
     All cells are evaluated together: one join, one explode by method, then a narrow row per book and method, which is
     written to the shared folder as the means and the test both read it.
     """
     group = [*CELL, "method"]
-    rows = flat_bets(scored(forecasts, books)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
+    rows = flat_bets(scored(forecasts, books, strict, seen)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
     rows = written(rows, "cell-rows")
     means = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_matches"), F.avg("a").alias("model_rps"), F.avg("b").alias("bench_rps"), F.sum("n_bets").alias("n_bets"),

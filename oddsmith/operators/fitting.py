@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from . import guards
 from .protocol import price_fixtures
 
 RHO_BOX = (-0.20, 0.20)
@@ -158,11 +159,17 @@ def _strengths(window: FitWindow, theta: np.ndarray) -> tuple[np.ndarray, np.nda
 _FIT = "league string, team string, attack double, defence double, gamma double, rho double, log_likelihood double, n_matches long, converged boolean"
 
 
-def fit_strengths(matches: DataFrame, as_of: str | None = None, rate: float = 0.0, minimum: float = MIN_TEAM_WEIGHT) -> DataFrame:
-    """One fit for each league, a row per team. With a rate, matches from as_of on are left out and older ones weigh less."""
+def fit_strengths(matches: DataFrame, as_of: str | None = None, rate: float = 0.0, minimum: float = MIN_TEAM_WEIGHT, strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
+    """One fit for each league, a row per team. With a rate, matches from as_of on are left out and older ones weigh less.
+
+    strict: whether a match that can't be fitted, one from as_of on among them, fails the job or is left out and counted in seen;
+    by default only the latter are left out.
+    """
     if rate > 0 and as_of is None:
         raise ValueError("as_of is needed with a decay rate")
     end = pd.Timestamp(as_of) if as_of else None
+    if strict is not None:
+        matches = guards.checked(matches, guards.match_checks(F.to_timestamp_ntz(F.lit(str(end))) if as_of else None), strict, seen)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["kickoff", "home", "away"], kind="stable")

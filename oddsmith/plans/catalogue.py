@@ -648,6 +648,35 @@ def benchmark_scores(spark, sf):
     return rows.groupBy(*CELL, "method").agg(F.round(F.avg("bench_rps"), 7).alias("bench_rps"), F.round(F.avg("model_rps"), 7).alias("model_rps"), F.count(F.lit(1)).alias("n_matches"))
 
 
+# season files ---------------------------------------------------------------------------------------------------------
+
+
+@query("select league, season, strftime(told, '%Y-%m-%d %H:%M:%S') as kickoff, home, away, home_goals, away_goals from filed where usable")
+def load_seasons_matches(spark, sf):
+    """Tables to ragged season files, and back to tidy matches."""
+    m = seasons.load_seasons(spark, surrogate.season_archive(spark, sf), partitioned=True)[0]
+    return m.withColumn("kickoff", F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss"))
+
+
+_FILED_PRICE = "select league, season, strftime(told, '%Y-%m-%d %H:%M:%S') as kickoff, home, away, 'Bet365' as book, '1X2' as market, 'close' as period, '{o}' as outcome, round(1.5::double + (seq % {k}) / 100.0::double, 2) as decimal from filed where usable{also}"
+
+
+@query(" union all ".join(_FILED_PRICE.format(o=o, k=k, also=also) for o, k, also in (("H", 97, ""), ("D", 211, " and seq % 13 <> 0 and seq % 17 <> 0"), ("A", 307, ""))))
+def load_seasons_odds(spark, sf):
+    """Tables to ragged season files, and back to tidy prices."""
+    o = seasons.load_seasons(spark, surrogate.season_archive(spark, sf), partitioned=True)[1]
+    return o.withColumn("kickoff", F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("select distinct season, league, case when league like '4%' then 'unknown columns: Mystery' else 'another league''s rows' end as reason from filed where season like '97%' and (league like '4%' or league like '5%')")
+def header_problems(spark, sf):
+    """The season files that can't be used, and why."""
+    folder = surrogate.season_archive(spark, sf)
+    files = seasons.season_files(spark, folder, partitioned=True)
+    problems = seasons.load_seasons(spark, folder, partitioned=True)[2]
+    return files.select("path", "season", "league").join(problems, "path").select("season", "league", "reason")
+
+
 # fits and resampling: rows only ---------------------------------------------------------------------------------------
 
 

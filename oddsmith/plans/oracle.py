@@ -15,6 +15,9 @@ select o_orderkey as seq, o_orderpriority as league,
   (case when h < 25 then 0 when h < 59 then 1 when h < 83 then 2 when h < 94 then 3 when h < 98 then 4 else 5 end)::bigint as home_goals,
   (case when a < 33 then 0 when a < 70 then 1 when a < 90 then 2 when a < 97 then 3 when a < 99 then 4 else 5 end)::bigint as away_goals
 from (select *, (o_orderkey * 7919) % 100 as h, (o_orderkey * 104729) % 100 as a from orders)""",
+    "filed": """
+select *, case when seq % 5 = 0 then date_trunc('day', kickoff) else kickoff end as told, seq % 11 <> 0 and not (season like '97%' and (league like '4%' or league like '5%')) as usable
+from matches""",
     "ranked": """
 select l_orderkey, r, 5 + q as w, max(case when r = 1 then s % 7 end) over (partition by l_orderkey) as book_no, max(r) over (partition by l_orderkey) as n
 from (select *, row_number() over (partition by l_orderkey order by l_linenumber) as r

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
+from ..sources.shared import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,3 +107,35 @@ def binary_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, p, o): probability and 0/1 outcome."""
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("seq"), F.least(F.lit(1.0), F.coalesce("value", F.lit(0.0)) / 400).alias("p"), (F.col("event_id") % 3 == 0).cast("int").alias("o"))
+
+
+def season_archive(spark: SparkSession, sf_dir: str) -> str:
+    """The matches as ragged season files below a new folder, a file for each season and league; the folder's path.
+
+    Files have what real ones have: a byte-order mark, both line ends, years of two and four digits, missing times and goals,
+    quoted fields with commas, quotes and line ends, trailing commas, prices that aren't payable. Seasons whose code begins
+    with 97 have an unknown column in one league and another league's rows in one.
+    """
+    seq, league = F.col("seq"), F.col("league")
+    quoted = F.concat(F.lit('" '), F.col("home"), F.lit(' "'))
+    referee = F.when(seq % 7 == 0, F.concat(F.lit('"A, B'), F.lit("\n"), F.lit('the ""third"", '), seq.cast("string"), F.lit('"'))).otherwise(F.lit("C"))
+    price = lambda k: F.format_string("%.2f", 1.5 + (seq % k) / 100.0)
+    draw = F.when(seq % 13 == 0, F.lit("")).when(seq % 17 == 0, F.lit("1")).otherwise(price(211))
+    fields = [
+        F.when(F.startswith("season", F.lit("97")) & F.startswith(league, F.lit("5")), F.lit("X9")).otherwise(league),
+        F.when(seq % 3 == 0, F.date_format("kickoff", "dd/MM/yy")).otherwise(F.date_format("kickoff", "d/M/yyyy")),
+        F.when(seq % 5 == 0, F.lit("")).otherwise(F.date_format("kickoff", "HH:mm:ss")),
+        F.when(seq % 4 == 0, quoted).otherwise(F.col("home")), F.col("away"),
+        F.when(seq % 11 == 0, F.lit("nan")).otherwise(F.col("home_goals").cast("string")), F.col("away_goals").cast("string"),
+        referee, price(97), draw, price(307),
+    ]
+    line = F.concat(F.concat_ws(",", *fields), F.when(seq % 6 == 0, F.lit(",,")).otherwise(F.lit("")))
+    unknown = F.when(F.startswith("season", F.lit("97")) & F.startswith(league, F.lit("4")), F.lit(",Mystery")).otherwise(F.lit(""))
+    header = F.concat(F.lit("Div,Date,Time,HomeTeam,AwayTeam,FTHG,FTAG,Referee,B365CH,B365CD,B365CA"), unknown)
+    end = F.when(F.startswith(league, F.lit("2")), F.lit("\r\n")).otherwise(F.lit("\n"))
+    texts = matches(spark, sf_dir).groupBy("season", "league").agg(F.sort_array(F.collect_list(F.struct(seq.alias("seq"), line.alias("line")))).alias("lines"))
+    mark = F.when(F.startswith(league, F.lit("1")), F.lit("\ufeff")).otherwise(F.lit(""))
+    text = F.concat(mark, F.array_join(F.concat(F.array(header), F.transform("lines", lambda x: x["line"])), "\x1e"))
+    folder = new_folder(spark, "season-archive")
+    texts.select(F.replace(text, F.lit("\x1e"), end).alias("value"), "season", "league").repartition("season", "league").write.partitionBy("season", "league").text(folder)
+    return folder

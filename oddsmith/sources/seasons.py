@@ -15,15 +15,23 @@ from .registry import ALIAS_GROUPS, registry
 # Spellings that stand for a missing text.
 MISSING = ("nan", "NaN", "NAN", "None", "NaT", "<NA>", "null", "NULL")
 LARGE = 64 << 20
-# a field with a quote runs to the quote that closes it; every character is passed once
-FIELD = r'(?:"[^"]*"?|[^,"])*+(?:,|$)'
-
-
-def season_files(spark: SparkSession, root: str, leagues: list[str] | None = None) -> DataFrame:
-    """path, season, league, text of every file; a league filter acts on paths."""
-    files = spark.read.text(f"{root}/*/*.csv", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", i)
-    out = files.select("path", part(1).alias("season"), part(2).alias("league"), F.regexp_replace("value", "^\ufeff+", "").alias("text"))
+# a quote that opens a field runs to the one that ends it, over commas and line ends, doubled ones inside; where no quote stands
+# at a field's end it is an ordinary character
+QUOTED = r'[ \t]*+"(?:[^"]++|"")*+"(?=[ \t]*(?:,|\n|\z))'
+FIELD = rf"(?:{QUOTED}[^,]*+|[^,]*+)(?:,|\z)"
+RECORD = rf"(?:{QUOTED}[^,\n]*+|[^,\n]*+)(?:,(?:{QUOTED}[^,\n]*+|[^,\n]*+))*+(?:\n|\z)"
+
+
+def season_files(spark: SparkSession, root: str, leagues: list[str] | None = None, partitioned: bool = False) -> DataFrame:
+    """path, season, league, text of every file; a league filter acts on paths. Files lie at season/league.csv, or below
+    season=.../league=... as Spark's writers partition them."""
+    path = F.col("_metadata.file_path").alias("path")
+    if partitioned:
+        files = spark.read.schema("value string, season string, league string").text(root, wholetext=True).select(path, "season", "league", "value")
+    else:
+        part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", i)
+        files = spark.read.text(f"{root}/*/*.csv", wholetext=True).select(path, "value").select("path", part(1).alias("season"), part(2).alias("league"), "value")
+    out = files.withColumn("text", F.regexp_replace("value", "^\ufeff+", "")).drop("value")
     return out.where(F.col("league").isin(*leagues)) if leagues else out
 
 
@@ -49,17 +57,25 @@ def parse_kickoff(date: Column, time: Column) -> Column:
     return (day + F.make_dt_interval(F.lit(0), part(1), part(2), part(3).cast("decimal(18,6)"))).cast("timestamp_ntz")
 
 
+def records(text: Column) -> Column:
+    """The records of a file: its lines, but for line ends within quotes. Only files that hold a quote need the pattern."""
+    own = F.rtrim(F.regexp_replace(text, r"\r\n?", "\n"))
+    quoted = F.transform(F.regexp_extract_all(own, F.lit(RECORD), 0), lambda x: F.regexp_replace(x, r"\n\z", ""))
+    return F.when(F.contains(own, F.lit('"')), quoted).otherwise(F.split(own, "\n", -1))
+
+
 def _fields(line: Column) -> Column:
-    """Fields of a line; only lines that hold a quote need the pattern."""
-    quoted = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(FIELD), 0), lambda x: F.regexp_replace(x, ",$", ""))
+    """Fields of a record; only records that hold a quote need the pattern."""
+    quoted = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(FIELD), 0), lambda x: F.regexp_replace(x, r",\z", ""))
     quoted = F.slice(quoted, F.lit(1), F.size(quoted) - 1)  # the last match is the empty one at the end
-    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1)), lambda x: F.regexp_replace(F.trim(x), r'^"(.*)"$', "$1"))
+    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1)), lambda x: plain(F.trim(x)))
 
 
 def parsed_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, rows): per file its header array and width; per data line its fields with the line number."""
-    lines = files.withColumn("lines", F.split(F.rtrim(F.regexp_replace("text", r"\r\n?", "\n")), "\n"))
-    headers = lines.select("path", "season", "league", _fields(F.get("lines", F.lit(0))).alias("header"), (F.trim("text") == "").alias("empty"))
+    """(headers, rows): per file its header array and width; per record its fields with its number."""
+    lines = files.withColumn("lines", records(F.col("text")))
+    headers = lines.select("path", "season", "league", _fields(F.coalesce(F.get("lines", F.lit(0)), F.lit(""))).alias("header"), (F.trim("text") == "").alias("empty"))
     rows = lines.select("path", "season", "league", F.posexplode("lines").alias("line", "raw")).where("line > 0 and trim(raw) <> ''")
     return headers, rows.select("path", "season", "league", "line", _fields(F.col("raw")).alias("fields"))
 
@@ -90,10 +106,10 @@ def _cell(*names: str) -> Column:
     return clean_text(F.get("fields", (first - 1).cast("int")))
 
 
-def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = None, partitioned: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, odds, unreadable). Matches need a kickoff, both names and both goals from 0; prices must exceed 1."""
     known = registry(spark)
-    files = season_files(spark, root, leagues)
+    files = season_files(spark, root, leagues, partitioned)
     headers, rows = parsed_rows(files)
     problems = header_problems(headers, rows, known)
     good = rows.join(headers.select("path", "header"), "path").join(problems.select("path").distinct(), "path", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import MATCH_KEYS
 from ..sources.registry import known_names, registry
-from ..sources.seasons import _cell, parse_kickoff, price_rows
+from ..sources.seasons import _cell, _fields, parse_kickoff, price_rows, records
 
 
 def stream_odds(spark: SparkSession, root: str) -> DataFrame:
@@ -16,12 +16,12 @@ def stream_odds(spark: SparkSession, root: str) -> DataFrame:
     part = lambda i: F.regexp_extract("path", r"([^/]+)/([^/]+)\.csv$", i)
     files = files.withColumns({"season": part(1), "league": part(2)})
     # the header goes along with each line, so that no stream is joined with itself
-    files = files.withColumn("lines", F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n"))
+    files = files.withColumn("lines", records(F.col("text")))
     known = F.array(*[F.lit(n) for n in sorted(known_names())])
-    files = files.withColumn("header", F.transform(F.split(F.get("lines", F.lit(0)), ",", -1), F.trim))
+    files = files.withColumn("header", _fields(F.coalesce(F.get("lines", F.lit(0)), F.lit(""))))
     files = files.where(F.size(F.array_except(F.filter("header", lambda h: h != ""), known)) == 0)
     rows = files.select("season", "league", "header", F.explode(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))).alias("raw")).where("trim(raw) <> ''")
-    rows = rows.withColumn("fields", F.split("raw", ",", -1))
+    rows = rows.withColumn("fields", _fields(F.col("raw")))
     tidy = rows.select("league", "season", parse_kickoff(_cell("Date"), _cell("Time")).alias("kickoff"), _cell("HomeTeam", "HT").alias("home"), _cell("AwayTeam", "AT").alias("away"), "header", F.explode(F.arrays_zip("header", "fields")).alias("z"))
     cells = tidy.where("kickoff is not null and home <> '' and away <> ''").withColumns({"name": F.col("z.header"), "value": F.col("z.fields")})
     return price_rows(cells, registry(spark)).dropDuplicates([*MATCH_KEYS, "book", "market", "period", "outcome"])
