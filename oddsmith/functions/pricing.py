@@ -115,17 +115,25 @@ def asian_fair_odds(outcome: Column) -> Column:
 
 
 def skellam(home: Column, away: Column, reach: int = 60) -> Column:
-    """Distribution of the goal difference on -reach to reach, by convolving two Poisson laws; no grid is used."""
-    side = lambda rate: F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda k: F.exp(k * F.log(rate) - rate - log_factorial(k)))
+    """Distribution of the goal difference on -reach to reach, by scaled Bessel functions of 2 * sqrt(home * away).
 
-    def convolved(s: Column) -> Column:
-        def cell(k: Column) -> Column:
-            lo, hi = F.greatest(F.lit(0), -k), F.least(F.lit(reach), F.lit(reach) - k)
-            return F.aggregate(F.sequence(lo, hi), F.lit(0.0), lambda a, j: a + F.get(s["h"], (k + j).cast("int")) * F.get(s["a"], j.cast("int")))
+    Ratios of neighbouring functions come from the backward recurrence, 60 places beyond the reach, where what it starts from no
+    longer shows; their running products are the functions but for a factor, as all of them, both ways, add up to 1.
+    """
 
-        return F.transform(F.sequence(F.lit(-reach), F.lit(reach)), cell)
+    def laws(s: Column) -> Column:
+        ratio = lambda a, k: F.array_prepend(a, 1 / (2 * k / s["x"] + F.coalesce(F.get(a, F.lit(0)), F.lit(0.0))))
+        ratios = F.aggregate(F.sequence(F.lit(reach + 60), F.lit(1), F.lit(-1)), F.array().cast("array<double>"), ratio)
+        products = F.aggregate(ratios, F.array(F.lit(1.0)), lambda a, r: F.array_append(a, F.element_at(a, -1) * r))
+        return let(F.struct(products.alias("t"), s["tilt"].alias("tilt"), s["scale"].alias("scale")), lambda q: let(
+            F.struct(q["t"].alias("t"), q["tilt"].alias("tilt"), (q["scale"] / (2 * total(q["t"]) - 1)).alias("first")), differences))
 
-    return let(F.struct(side(home).alias("h"), side(away).alias("a")), convolved)
+    def differences(q: Column) -> Column:
+        return F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: q["first"] * F.pow(q["tilt"], k) * F.get(q["t"], F.abs(k)))
+
+    roots = F.sqrt(home), F.sqrt(away)
+    own = F.struct((2 * roots[0] * roots[1]).alias("x"), (roots[0] / roots[1]).alias("tilt"), F.exp(-F.pow(roots[0] - roots[1], 2)).alias("scale"))
+    return F.when((home > 0) & (away > 0), let(own, laws))
 
 
 def skellam_handicap(difference: Column, handicap: float, reach: int = 60) -> Column:

@@ -174,9 +174,9 @@ def overround_double_chance(spark, sf):
     return f.select("seq", *[F.round(F.get("d", F.lit(i)), 6).alias(f"d{i + 1}") for i in range(3)])
 
 
-@query(f"select seq, book, market, method, place, round(price * model_p - 1, {M}) as ev, round(greatest(0, 0.25 * ((price - 1) * model_p - (1 - model_p)) / (price - 1)), {M}) as kelly from chosen where method = 'shin'")
+@query(f"select seq, book, market, method, place, round(price * model_p - 1, {M}) as ev, round(greatest(0, 0.25 * ((price - 1) * model_p - (1 - model_p)) / (price - 1)), {M}) as kelly from chosen")
 def kelly_ev(spark, sf):
-    c = _selections(spark, sf).where("method = 'shin'")
+    c = _selections(spark, sf)
     return c.select("seq", "book", "market", "method", F.col("place").cast("long").alias("place"), F.round(staking.expected_value(F.col("model_p"), F.col("price")), M).alias("ev"), F.round(staking.kelly(F.col("model_p"), F.col("price")), M).alias("kelly"))
 
 
@@ -201,13 +201,20 @@ def settle_kelly(spark, sf):
     return _totals(cells.settlements(_selections(spark, sf, "kelly")))
 
 
-@query(f"select o.league, o.book, o.market, count(*) as n, round(avg(ln(o.decimal / c.decimal)), {M}) as mean_clv from (select * from odds where period = 'open') o join (select * from odds where period = 'close') c on o.seq = c.seq and o.book = c.book and o.market = c.market and o.outcome = c.outcome where o.decimal > 1 and c.decimal > 1 and o.outcome in ('H', 'O') group by all")
+@query(f"""
+select c.league, c.book, c.market, c.method, count(*) as n, round(avg(ln(o.decimal / k.decimal)), {M}) + 0.0 as mean_clv
+from (select *, substr(case market when '1X2' then 'HDA' else 'OU' end, place::int + 1, 1) as outcome from chosen where chosen) c
+join (select * from odds where period = 'open' and decimal > 1) o using (seq, book, market, outcome)
+join (select * from odds where period = 'close' and decimal > 1) k using (seq, book, market, outcome) group by all""")
 def clv(spark, sf):
-    o = surrogate.odds(spark, sf)
+    """What bets on the model's selections would have gained by the opening price, by cell and method."""
     key = ["seq", "book", "market", "outcome"]
-    both = o.where("period = 'open'").join(o.where("period = 'close'").select(*key, F.col("decimal").alias("closing")), key).withColumn("chosen", F.col("outcome").isin("H", "O"))
-    both = both.withColumn("v", staking.closing_line_value(F.col("decimal"), F.col("closing"), F.col("chosen"))).where("chosen and v is not null")
-    return both.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), r(F.avg("v"), "mean_clv"))
+    outcome = F.substring(F.when(F.col("market") == "1X2", "HDA").otherwise("OU"), F.col("place") + 1, F.lit(1))
+    bets = _selections(spark, sf).where("stake > 0").select("league", "seq", "book", "market", "method", outcome.alias("outcome"))
+    o = surrogate.odds(spark, sf)
+    both = o.where("period = 'open'").select(*key, "decimal").join(o.where("period = 'close'").select(*key, F.col("decimal").alias("closing")), key)
+    both = bets.join(both, key).withColumn("v", staking.closing_line_value(F.col("decimal"), F.col("closing"), F.lit(True))).where("v is not null")
+    return both.groupBy(*CELL, "method").agg(F.count(F.lit(1)).alias("n"), r(F.avg("v"), "mean_clv"))
 
 
 # pricing --------------------------------------------------------------------------------------------------------------
@@ -405,7 +412,7 @@ def equivalent_n(spark, sf):
 
 # time and likelihood --------------------------------------------------------------------------------------------------
 
-_AS_OF = "2000-01-01"
+_AS_OF = "2001-08-02"  # the day after the last match of the tables
 _RATE = 400.0
 
 

@@ -118,7 +118,7 @@ select event_type as series, row_number() over w as seq, (coalesce(value, 0) / 5
   coalesce(lag((coalesce(value, 0) / 500) * (coalesce(value, 0) / 500)) over w, 0.1) as b from events window w as (partition by event_type order by ts, event_id)""",
     "binaries": "select event_id as seq, least(1.0::double, coalesce(value, 0) / 400) as p, (event_id % 3 = 0)::int as o from events",
     "pvals": "select event_id as seq, (event_id * 7919 % 9973 + 1) / 10000.0::double as p, event_type from events",
-    "weighted": "select *, exp(-rate * age) as w from (select *, ln(2::double) / 400 as rate, epoch_us(timestamp '2000-01-01' - kickoff) / 86400000000.0::double as age from rated) where age > 0",
+    "weighted": "select *, exp(-rate * age) as w from (select *, ln(2::double) / 400 as rate, epoch_us(timestamp '2001-08-02' - kickoff) / 86400000000.0::double as age from rated) where age > 0",
 }
 
 
