@@ -155,6 +155,11 @@ def evaluate(matches: DataFrame, odds: DataFrame, rate: float, path: str, min_fi
     return results
 
 
+def forecast_counts(forecasts: DataFrame) -> DataFrame:
+    """(league, n_forecasts) of forecasts as write_by_league leaves them: no column is read, the files' footers have the counts."""
+    return forecasts.groupBy("league").agg(F.count(F.lit(1)).alias("n_forecasts"))
+
+
 def cached_margins(odds: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     """book_margins of the closing books, kept at path and read from there unless a refresh is asked for."""
     spark = odds.sparkSession

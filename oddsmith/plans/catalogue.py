@@ -12,7 +12,7 @@ from ..operators import bootstrap, books, cells, fitting, inference, likelihood,
 from ..schema import HALF_LIVES, MATCH_KEYS
 from ..sources import registry as names
 from ..sources import seasons
-from ..sources.shared import written
+from ..sources.shared import new_folder, written
 from . import surrogate
 from .oracle import M, build
 
@@ -684,6 +684,14 @@ def header_problems(spark, sf):
     return files.select("path", "season", "league").join(problems, "path").select("season", "league", "reason")
 
 
+@query("select league, count(*) as n_forecasts from forecasts group by league")
+def forecast_counts(spark, sf):
+    """Forecasts written by league, and counted from their files."""
+    folder = new_folder(spark, "forecasts")
+    seasons.write_by_league(surrogate.forecasts(spark, sf), folder)
+    return study.forecast_counts(spark.read.parquet(folder))
+
+
 # fits and resampling: rows only ---------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from .registry import ALIAS_GROUPS, registry
 
 # Spellings that stand for a missing text.
 MISSING = ("nan", "NaN", "NAN", "None", "NaT", "<NA>", "null", "NULL")
-LARGE = 64 << 20
+LARGE = 256 << 20
 # a quote that opens a field runs to the one that ends it, over commas and line ends, doubled ones inside; where no quote stands
 # at a field's end it is an ordinary character
 QUOTED = r'[ \t]*+"(?:[^"]++|"")*+"(?=[ \t]*(?:,|\n|\z))'
@@ -106,12 +106,32 @@ def _cell(*names: str) -> Column:
     return clean_text(F.get("fields", (first - 1).cast("int")))
 
 
-def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = None, partitioned: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(matches, odds, unreadable). Matches need a kickoff, both names and both goals from 0; prices must exceed 1."""
+def told_leagues(headers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, league, reason): the one league that a file's own Div column names; where it names none or several, why there is none."""
+    named = rows.join(headers.select("path", "header"), "path").select("path", _cell("Div").alias("div")).where("div <> ''")
+    divs = headers.select("path").join(named.groupBy("path").agg(F.sort_array(F.collect_set("div")).alias("divs")), "path", "left")
+    own, several = F.coalesce("divs", F.array().cast("array<string>")), F.concat(F.lit("expected one Div, got ["), F.array_join("divs", ", "), F.lit("]"))
+    reason = F.when(F.size(own) == 0, "no Div to tell the league").when(F.size(own) > 1, several)
+    return divs.select("path", F.when(F.size(own) == 1, F.get(own, F.lit(0))).alias("league"), reason.alias("reason"))
+
+
+def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = None, partitioned: bool = False, league_from_div: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches, odds, unreadable). Matches need a kickoff, both names and both goals from 0; prices must exceed 1.
+
+    league_from_div: files bear any name, and their Div column tells the league; a filter by leagues then acts on that.
+    """
     known = registry(spark)
-    files = season_files(spark, root, leagues, partitioned)
+    files = season_files(spark, root, None if league_from_div else leagues, partitioned)
     headers, rows = parsed_rows(files)
+    untold = None
+    if league_from_div:
+        told = told_leagues(headers, rows)
+        own = told.where(F.col("league").isin(*leagues)) if leagues else told.where("league is not null")
+        headers, rows = (d.drop("league").join(own.select("path", "league"), "path") for d in (headers, rows))
+        untold = told.where("reason is not null").select("path", "reason")
     problems = header_problems(headers, rows, known)
+    if untold is not None:
+        problems = problems.unionByName(untold)
     good = rows.join(headers.select("path", "header"), "path").join(problems.select("path").distinct(), "path", "left_anti")
     number = lambda c: c.try_cast("double")
     tidy = good.select(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from oddsmith.operators import study
 from oddsmith.sources import seasons
 from oddsmith.streaming import ingest
 
@@ -46,3 +47,25 @@ def test_partitioned_files(spark, tmp_path):
     matches, _, problems = seasons.load_seasons(spark, root, ["D1"], partitioned=True)
     assert problems.isEmpty() and {(r.season, r.league) for r in matches.collect()} == {("2324", "D1")}
     assert {r.season for r in seasons.season_files(spark, root, partitioned=True).collect()} == {"0001", "2324"}
+
+
+def test_the_league_that_a_file_tells(spark, tmp_path):
+    row = "12/08/2023,15:00,A,B,2,1,x,1.5,4,7"
+    files = {"one": f"E0,{row}\n,{row}\n", "two": f"E0,{row}\nD1,{row}\n", "none": f",{row}\n", "other": f'"D1",{row}\n'}
+    folder = tmp_path / "2324"
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(f"{HEADER}\n{text}")
+    (folder / "undivided.csv").write_text(f"{HEADER.replace('Div,', '')}\n{row}\n")
+    matches, odds, problems = seasons.load_seasons(spark, str(tmp_path), league_from_div=True)
+    assert sorted(r.league for r in matches.collect()) == ["D1", "E0", "E0"] and odds.count() == 9
+    assert {r.path.rsplit("/", 1)[1]: r.reason for r in problems.collect()} == {
+        "two.csv": "expected one Div, got [D1, E0]", "none.csv": "no Div to tell the league", "undivided.csv": "no Div to tell the league"}
+    assert {r.league for r in seasons.load_seasons(spark, str(tmp_path), ["D1"], league_from_div=True)[0].collect()} == {"D1"}
+
+
+def test_counts_read_no_column(spark, tmp_path):
+    seasons.write_by_league(spark.range(50).select("id", F.concat(F.lit("L"), F.col("id") % 3).alias("league")), str(tmp_path / "f"))
+    counts = study.forecast_counts(spark.read.parquet(str(tmp_path / "f")))
+    assert {(r.league, r.n_forecasts) for r in counts.collect()} == {("L0", 17), ("L1", 17), ("L2", 16)}
+    assert "ReadSchema: struct<>" in counts._jdf.queryExecution().toString()
