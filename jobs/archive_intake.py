@@ -76,7 +76,9 @@ def run(spark: SparkSession, archive: str, output: str, checkpoint: str, config:
 
     schema = spark.read.parquet(archive).schema
     anything = archive if set(archive) & set("*?[{") else f"{archive[:-1]}[{archive[-1]}]"  # a pattern may also be a single file, a plain path only a folder
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).parquet(anything)
+    # a file may have been written long before it came here
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"]).option("maxFileAge", "36500d")
+    files = reader.parquet(anything)
     stream = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     stream.awaitTermination()
 

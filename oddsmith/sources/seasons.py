@@ -151,13 +151,13 @@ def suppressed(header: Column, name: Column) -> Column:
     return out
 
 
-def price_rows(cells: DataFrame, known: DataFrame) -> DataFrame:
-    """Tidy odds from (match keys, header, name, value) rows; the registry is joined by broadcast."""
+def price_rows(cells: DataFrame, known: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Tidy odds from (match keys, header, name, value) rows, with the columns `keep`; the registry is joined by broadcast."""
     priced = known.where("kind = 'odds'").drop("kind")
     decimal = clean_text(F.col("value")).try_cast("double")
     out = cells.where(~suppressed(F.col("header"), F.col("name"))).join(F.broadcast(priced), "name").withColumn("decimal", decimal)
-    keep = (F.col("decimal") > 1) & (F.col("decimal") < float("inf")) & ~F.isnan("decimal")
-    return out.where(keep).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal")
+    payable = (F.col("decimal") > 1) & (F.col("decimal") < float("inf")) & ~F.isnan("decimal")
+    return out.where(payable).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal", *keep)
 
 
 def digests(files: DataFrame) -> DataFrame:

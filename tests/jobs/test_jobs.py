@@ -84,6 +84,17 @@ def test_intake_after_failures(spark, tmp_path, monkeypatch):
     assert held(spark, output) == (expected(ROWS + MORE), counted(ROWS + MORE), {0, 1})
 
 
+def test_intake_of_files_that_were_written_long_ago(spark, tmp_path):
+    archive, output, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    add(spark, archive, ROWS)
+    archive_intake.run(spark, archive, output, checkpoint)
+    there = set(Path(archive).glob("*.parquet"))
+    add(spark, archive, MORE)
+    for file in set(Path(archive).glob("*.parquet")) - there:
+        os.utime(file, (86_400, 86_400))
+    assert archive_intake.run(spark, archive, output, checkpoint)["texts"] == len(MORE)
+
+
 def test_intake_of_nothing(spark, tmp_path):
     archive, output = str(tmp_path / "in"), str(tmp_path / "out")
     add(spark, archive, [])

@@ -1,5 +1,7 @@
 """Records of season files whose quoted fields hold commas, quotes and line ends, in batches and in the stream."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from oddsmith.operators import study
@@ -69,3 +71,24 @@ def test_counts_read_no_column(spark, tmp_path):
     counts = study.forecast_counts(spark.read.parquet(str(tmp_path / "f")))
     assert {(r.league, r.n_forecasts) for r in counts.collect()} == {("L0", 17), ("L1", 17), ("L2", 16)}
     assert "ReadSchema: struct<>" in counts._jdf.queryExecution().toString()
+
+
+def test_the_stream_forgets_after_its_delay(spark, tmp_path):
+    folder, checkpoint, out = tmp_path / "archive" / "2324", str(tmp_path / "ck"), str(tmp_path / "out")
+    folder.mkdir(parents=True)
+
+    def add(name, day, at):
+        row = f"{name},{day:02d}/08/2023,15:00,A,B,2,1,x,1.5,4,7\n"
+        (folder / f"{name}.csv").write_text(f"{HEADER}\n{row}{row}")
+        os.utime(folder / f"{name}.csv", (at, at))
+        q = ingest.stream_odds(spark, str(tmp_path / "archive"), "10 days").writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        state = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+        return state[-1]["numRowsTotal"], sum(s["numRowsDroppedByWatermark"] for s in state), spark.read.parquet(out).count()
+
+    day = 86_400
+    assert add("E0", 1, 100 * day) == (3, 0, 3)
+    assert add("D1", 2, 130 * day)[1:] == (0, 6)
+    total, late, _ = add("I1", 3, 131 * day)
+    assert total <= 6 and late == 0  # the first league's prices are forgotten
+    assert add("F1", 4, 100 * day)[1:] == (6, 9)  # too late: both of its rows of each price are counted
