@@ -34,7 +34,10 @@ _NOISE_WORDS = frozenset(
     "related recommended recommendations comment comments reply replies respond disqus discussion breadcrumb breadcrumbs widget pagination pager toolbar search "
     "copyright legal disclaimer skip tags taglist byline toc rail teaser outbrain taboola".split()
 )
-_CONTENT_WORDS = frozenset("article post entry story content main body text".split())
+_READER_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
+_STORY_WORDS = frozenset("article post entry story".split())
+_CONTENT_WORDS = frozenset("content main body text".split())
+_QUOTED_TAGS = frozenset("blockquote pre figure".split())  # parts of articles far more often than boilerplate
 _LAYOUT_WORDS = frozenset("has with without no not is show hide layout page template theme col columns above below before after".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -55,39 +58,71 @@ _LEGAL = re.compile(r"©|\ball rights reserved\b|\bcookies?\b|\bsubscribe\b|\bad
 _END = re.compile(r"[.!?:;…»”\"')\]]\Z")
 
 
-#: What the markup says of a block: certain boilerplate, probable boilerplate, nothing, an article.
-HIDDEN, NOISE, PLAIN, ARTICLE = -2, -1, 0, 1
+#: What the markup says of a block, in the unit of the classifier's log odds. Only HIDDEN can't be outvoted.
+HIDDEN, NOISE, OPENS_NOISE, DOUBT, PLAIN, HINT, VERBATIM, STORY, ARTICLE = -20.0, -6.0, -4.0, -1.0, 0.0, 0.5, 1.5, 2.5, 3.0
+FORM = -4.0
+TELLING = 2.0  # markup that says at least this much labels a block for the classifier
+FADES = 0.3  # what is left of an ancestor's evidence where an element inside says otherwise
 
 
 class Block(NamedTuple):
     text: str
     parent: int  # number of the innermost block element
     depth: int
-    structure: int  # HIDDEN to ARTICLE
+    structure: float  # what the markup says, HIDDEN to ARTICLE
     tag: str
     link_chars: int
+    form: int  # number of the outermost form, 0 outside of one
 
 
-def _noisy_name(token: str, strict: bool) -> bool:
-    """Whether a class or id names boilerplate: by the word it ends with, or, unless strict, by the one it opens with."""
-    parts = _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+class Marks(NamedTuple):
+    evidence: float
+    readers: bool  # named as readers' comments: nothing inside is the article
+
+
+class Open(NamedTuple):
+    """An open element: what holds for its text."""
+
+    tag: str
+    evidence: float
+    readers: bool
+    form: int
+    block_tag: str
+    block: int
+
+
+OUTSIDE = Open("", PLAIN, False, 0, "", 0)
+
+
+def _name_parts(token: str) -> list[str]:
+    return _PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+
+
+def _name_evidence(parts: list[str]) -> float:
+    """What a class or id says. The word it ends with names the thing ("news-search"), the one it opens with a part or a
+    property of it ("comment-count-zero")."""
     if not parts or parts[0] in _LAYOUT_WORDS:
-        return False
-    return parts[-1] in _NOISE_WORDS or (not strict and parts[0] in _NOISE_WORDS)
+        return PLAIN
+    if parts[-1] in _NOISE_WORDS:
+        return NOISE
+    if parts[0] in _NOISE_WORDS:
+        return NOISE if parts[0] in _READER_WORDS else OPENS_NOISE
+    if not _STORY_WORDS.isdisjoint(parts):
+        return STORY
+    return PLAIN if _CONTENT_WORDS.isdisjoint(parts) else HINT
 
 
-def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
-    """What an element's own name and attributes say, and whether it is an article or main element.
+def _marks(tag: str, attributes: str, inside_article: bool) -> Marks:
+    """What an element's own name and attributes say.
 
-    Tags, roles and hiding are certain. Names of classes and ids are only probable, and so are forms. A page's root and
-    body carry names of its layout, which say nothing of the text.
+    Tags, roles and hiding are certain; names of classes and ids are evidence. Names that contradict each other say
+    nothing, unless they speak of readers' comments. A page's root and body carry names of its layout.
     """
     if tag in ("html", "body"):
-        return PLAIN, False
+        return Marks(PLAIN, False)
     certain = tag in _NOISE_TAGS or (tag == "header" and not inside_article)
-    probable = tag in _FORM_TAGS
-    holder = tag in _CONTENT_TAGS
-    content = False
+    holder, readers = tag in _CONTENT_TAGS, False
+    names = [PLAIN]
     for m in _ATTR.finditer(attributes):
         name = m[1].lower()
         if name not in ("class", "id", "role", "style", "hidden", "aria-hidden"):
@@ -104,25 +139,44 @@ def _marks(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
             holder |= value.lower() in ("main", "article")
         else:
             for token in value.split():
-                if _noisy_name(token, tag in _CONTENT_TAGS):
-                    probable = True
-                else:
-                    content |= not _CONTENT_WORDS.isdisjoint(_PARTS.findall(token.lower()))
-    if certain or probable:
-        return HIDDEN if certain else NOISE, False
-    return ARTICLE if holder or content else PLAIN, holder
+                parts = _name_parts(token)
+                names.append(_name_evidence(parts))
+                readers |= names[-1] == NOISE and parts[-1] in _READER_WORDS
+    if certain:
+        return Marks(HIDDEN, False)
+    low, high = min(names), max(names)
+    if holder:
+        # what opens the name of an article element describes the article, and only its end says what it is
+        return Marks(NOISE if low == NOISE else ARTICLE, readers)
+    if low < 0 and high >= STORY and not readers:
+        return Marks(PLAIN, False)
+    own = low if low < 0 else high
+    if tag in _QUOTED_TAGS and not readers:
+        own = max(own, DOUBT)
+    return Marks(VERBATIM if tag == "pre" and own == PLAIN else own, readers)
+
+
+def _inherited(outer: Open, own: Marks) -> float:
+    """Evidence of an element: its own and what is left of that around it."""
+    if HIDDEN in (outer.evidence, own.evidence):
+        return HIDDEN
+    if outer.readers:
+        return min(outer.evidence, own.evidence)
+    if own.evidence >= STORY:
+        return min(ARTICLE, own.evidence + FADES * outer.evidence)
+    if own.evidence < 0:
+        return max(NOISE + DOUBT, own.evidence + (FADES * outer.evidence if outer.evidence > 0 else outer.evidence))
+    return min(ARTICLE, outer.evidence + own.evidence)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Unclosed and misnested tags are handled; nothing is cut off.
 
-    An element's mark holds for what is inside: certain boilerplate for all of it, probable boilerplate down to an
-    article or main element.
+    An element's evidence holds for what is inside; that of an element inside counts more.
     """
     out: list[Block] = []
     text: list[str] = []
-    # tag, mark, tag and number of the innermost block element
-    stack: list[tuple[str, int, str, int]] = []
+    stack: list[Open] = []
     open_tags: Counter = Counter()
     links = link_chars = number = dropped = 0
 
@@ -131,14 +185,14 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             words = html.unescape("".join(text)).split()
             if words:
-                _, structure, tag, parent = stack[-1] if stack else ("", PLAIN, "", 0)
-                out.append(Block(" ".join(words), parent, len(stack), structure, tag, link_chars))
+                top = stack[-1] if stack else OUTSIDE
+                out.append(Block(" ".join(words), top.block, len(stack), top.evidence, top.block_tag, link_chars, top.form))
             text.clear()
         link_chars = 0
 
     def close(index: int) -> None:
         nonlocal links, dropped
-        for t, _, _, _ in stack[index:]:
+        for t, *_ in stack[index:]:
             links -= t == "a"
             dropped -= t in _DROPPED
             open_tags[t] -= 1
@@ -173,7 +227,9 @@ def blocks_of(page: str) -> list[Block]:
         if not inline:
             flush()
             for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
+                t = stack[i].tag
+                if t in _DROPPED:
+                    break
                 if (t == "p" and tag in _CLOSES_P) or (t == tag and tag in ("li", "option", "tr", "td", "th", "dd", "dt")) or (t == "head" and tag == "body"):
                     close(i)
                     break
@@ -184,15 +240,11 @@ def blocks_of(page: str) -> list[Block]:
             close(max(i for i, e in enumerate(stack) if e[0] == "a"))
         if m[4].rstrip().endswith("/") and inline:
             continue
-        before, block_tag, block = stack[-1][1:] if stack else (PLAIN, "", 0)
-        own, holder = _marks(tag, m[4], before > 0)
-        if before == HIDDEN or own < 0:
-            mark = min(before, own)
-        elif before == NOISE:
-            mark = ARTICLE if holder else NOISE
-        else:
-            mark = max(before, own)
-        stack.append((tag, mark, *((block_tag, block) if inline else (tag, number))))
+        outer = stack[-1] if stack else OUTSIDE
+        own = _marks(tag, m[4], outer.evidence > 0)
+        form = outer.form or (number if tag in _FORM_TAGS else 0)
+        place = (outer.block_tag, outer.block) if inline else (tag, number)
+        stack.append(Open(tag, _inherited(outer, own), outer.readers or own.readers, form, *place))
         open_tags[tag] += 1
         links += tag == "a"
         dropped += tag in _DROPPED
@@ -317,25 +369,29 @@ def minimum_cut(score: list[float], edges: dict[tuple[int, int], float]) -> list
                     break
 
 
-MARKED = {HIDDEN: -8.0, NOISE: -4.0, PLAIN: 0.0, ARTICLE: 3.0}
-
-
 def label_blocks(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are article text.
 
-    The classifier's log odds, held to +-3, and what the markup says (MARKED) give the capacities to the terminals, so
-    markup that is only probable can be outvoted by a block's look and its neighbours together. Neighbours in page order
-    and blocks of one parent are joined by smoothness edges, weaker the further apart their depths, and almost none
-    across a change of markup.
+    The classifier's log odds, held to +-3, and the markup's evidence give the capacities to the terminals. Boilerplate
+    by name needs no support; a name that an article's own element contradicts leaves the classifier to decide. Forms
+    are boilerplate unless they hold half of the page's text: some sites wrap a whole page in one. Neighbours in page
+    order and blocks of one parent are joined by smoothness edges, weaker the further apart their depths, and almost
+    none where the markup changes its mind.
     """
     odds = np.clip(one_hot(features(blocks)) @ weights, -3, 3).tolist()
-    score = [o + MARKED[b.structure] for o, b in zip(odds, blocks)]
+    sizes: Counter = Counter()
+    for b in blocks:
+        if b.structure != HIDDEN:
+            sizes[b.form] += len(b.text)
+    wraps = {form for form, n in sizes.items() if form and 2 * n >= sizes.total()}
+    score = [o + b.structure + (0.0 if not b.form or b.form in wraps else DOUBT if b.structure >= TELLING else FORM) for o, b in zip(odds, blocks)]
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
             a = blocks[i - 1]
-            edges[i - 1, i] = (1.5 if a.structure == b.structure else 0.05) / (1 + abs(a.depth - b.depth))
+            alike = abs(a.structure - b.structure) < TELLING and a.form == b.form
+            edges[i - 1, i] = (1.5 if alike else 0.05) / (1 + abs(a.depth - b.depth))
         j = last.get(b.parent)
         if j is not None:
             edges[j, i] = edges.get((j, i), 0.0) + 1.0
@@ -351,7 +407,8 @@ def classifier_weights(pages: DataFrame, fit_pages: int) -> np.ndarray:
     keyed = pages.select(F.xxhash64("page_id", "url").alias("sample_key"), "html")
     # keys alone are ordered; the pages stay where they are and meet at most fit_pages keys, which may be broadcast
     keys = materialize(keyed.select("sample_key").orderBy("sample_key").limit(fit_pages).distinct(), "sample_keys")
-    sample = keyed.join(F.broadcast(keys), "sample_key", "left_semi").select("html")
+    # one page of each key, so that repeats don't outgrow the bound
+    sample = keyed.join(F.broadcast(keys), "sample_key", "left_semi").groupBy("sample_key").agg(F.min("html").alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -359,7 +416,7 @@ def classifier_weights(pages: DataFrame, fit_pages: int) -> np.ndarray:
             for page in batch["html"]:
                 found = blocks_of(page or "")
                 for b, f in zip(found, features(found)):
-                    if b.structure:
+                    if abs(b.structure) >= TELLING:
                         seen[f, b.structure > 0] += 1
         yield pd.DataFrame([("".join(map(str, f)), y, n) for (f, y), n in seen.items()], columns=["pattern", "article", "n"])
 

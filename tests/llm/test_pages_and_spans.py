@@ -57,6 +57,100 @@ def test_pages_without_telling_names(spark):
     assert right >= 36
 
 
+LONG = "The ship that left the harbour in the morning came back before the storm had reached the coast of the island."
+FIVE = f"<p>{LONG}</p>" * 5
+ALL = " ".join([LONG] * 5)
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return htmlmain.classifier_weights(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), 2000)
+
+
+def main_text(page, weights):
+    found = htmlmain.blocks_of(page)
+    return " ".join(b.text for b, keep in zip(found, htmlmain.label_blocks(found, weights)) if keep)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # names that mislead
+        (f'<form id="aspnetForm"><div id="content">{FIVE}</div></form>', ALL),
+        (f'<div class="post social">{FIVE}</div>', ALL),
+        (f'<div class="comment-count-zero"><div class="entry">{FIVE}</div></div>', ALL),
+        (f'<section id="news-search"><div class="story">{FIVE}</div></section>', ALL),
+        (f'<div class="tab-menu"><div class="post-content">{FIVE}</div></div>', ALL),
+        (f'<div class="body-footer"><div class="entry-content">{FIVE}</div></div>', ALL),
+        (f'<div class="post"><p>{LONG}</p><blockquote class="related-quote">{LONG}</blockquote><p>{LONG}</p></div>', " ".join([LONG] * 3)),
+        ("<pre>one two\nthree four</pre>", "one two three four"),
+        # what isn't rendered
+        (f"<article><p>{LONG}<noscript><p>Enable JavaScript</p></noscript></p><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}<template><p>no</p></template></p></article>", LONG),
+        # sentences that read like the article, in boilerplate
+        (f'<article>{FIVE}<div class="comments"><div class="comment"><div class="content"><p>{LONG}</p></div></div></div></article>', ALL),
+        (f'<article>{FIVE}<ul class="comment-list"><li>{LONG}</li></ul></article>', ALL),
+        (f'<div class=post>{FIVE}</div><section id="comments"><article><p>{LONG}</p></article><article><p>{LONG}</p></article></section>', ALL),
+        (f"<div class=post>{FIVE}</div><form><p>{LONG}</p><input></form>", ALL),
+        (f'<div class=post>{FIVE}<div class="newsletter-box"><p>{LONG}</p></div></div>', ALL),
+        (f'<div id="cookie-notice"><p>{LONG}</p></div><div class=k>{FIVE}</div>', ALL),
+        (f'<div class=post>{FIVE}<div class="related-posts"><p>{LONG}</p></div></div>', ALL),
+    ],
+)
+def test_names_are_evidence(weights, page, want):
+    assert main_text(page, weights) == want
+
+
+def test_the_cut_keeps_what_the_classifier_alone_would_drop(weights):
+    page = f"<div class=k>{FIVE}<p><a href=/sea>The same sea</a></p>{FIVE}</div>"
+    found = htmlmain.blocks_of(page)
+    odds = htmlmain.one_hot(htmlmain.features(found)) @ weights
+    assert all(b.structure == htmlmain.PLAIN for b in found)
+    assert odds[5] < 0 < min(odds[4], odds[6])
+    assert htmlmain.label_blocks(found, weights) == [True] * 11
+
+
+WRAPS = {  # misleading, telling and silent names, around the article and around the rest
+    "blog": ('<div class="wrapper"><div class="post hentry">', "</div></div>", '<div class="widget">', "</div>"),
+    "forms": ('<form id="form1"><div class="layout-sidebar">', "</div></form>", '<ul class="menu">', "</ul>"),
+    "silent": ("<div class=a><div class=b>", "</div></div>", "<div class=c>", "</div>"),
+    "social": ('<section class="social-wall"><div class="story-text">', "</div></section>", '<div class="related-links">', "</div>"),
+    "table": ("<table><tr><td>", "</td></tr></table>", "<table><tr><td>", "</td></tr></table>"),
+    "main": ('<main class="search-page">', "</main>", "<aside>", "</aside>"),
+}
+
+
+@pytest.mark.parametrize("kind", WRAPS)
+def test_templates(weights, kind):
+    """Of pages of several makes, at least 0.9 of the article's words stay and 0.9 of the others go."""
+    opens, closes, rest, ends = WRAPS[kind]
+    rng = random.Random(3)
+    kept = lost = extra = gone = 0
+    for _ in range(30):
+        body, inside, number = [], [], 0
+        for _ in range(rng.randint(4, 9)):
+            body.append([f"in{(number := number + 1)}{words(rng, 1)}" for _ in range(rng.choice([6, 25, 40, 60]))])
+            text = " ".join(body[-1]).capitalize() + "."
+            inside.append(f"<p>{text.replace(' ', ' <a href=/x>', 1).replace(' ', '</a> ', 2).replace('</a> <a', ' <a', 1) if rng.random() < 0.3 else text}</p>")
+        links = "".join(f"<li><a href=/{i}>out{i}{words(rng, 1)}</a></li>" for i in range(12))
+        page = f"<html><body>{rest}<ul>{links}</ul>{ends}{opens}{''.join(inside)}{closes}{rest}<ul>{links}</ul>{ends}<div>© out out {words(rng, 1)}</div></body></html>"
+        got = main_text(page, weights).lower().split()
+        n = sum(map(len, body))
+        right = sum(w.startswith("in") for w in got)
+        kept, lost = kept + right, lost + n - right
+        wrong = sum(w.startswith("out") for w in got)
+        extra, gone = extra + wrong, gone + 26 - wrong
+    assert kept >= 0.9 * (kept + lost) and gone >= 0.9 * (extra + gone)
+
+
+def test_repeated_pages_stay_within_the_sample(spark):
+    rows = [(1, "u", f"<nav>{i}</nav><article>{LONG}</article>") for i in range(50)] + [(2, "v", None), (None, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("sample_key", "text", "n_chars", "pattern")})
+    got = htmlmain.extract_main_text(df, fit_pages=2).collect()
+    assert len(got) == 52 and sum(r.text == LONG and r.n_chars == len(LONG) for r in got) == 50
+    assert htmlmain.extract_main_text(df.limit(0)).count() == 0
+
+
 def test_long_page():
     rng = random.Random(1)
     parts = ["<p>Hello there one.</p>", "<li><a href=x>aa</a>", "<div>words and words and more words to be read by all</div>"]
