@@ -6,11 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, lean, materialize, range_prefix
 
 LEADING = 8
 ORDERED = 4
+FAN = 8  # intervals under a node of the tree
+SIDE = 4  # intervals of a side that meet in one task
+SLACK = 1e-6  # more than rounding moves any of the axes
 
 
 def _vectors(column: pd.Series, dim: int) -> np.ndarray:
@@ -71,7 +75,7 @@ def join_intervals(x: np.ndarray, lead: np.ndarray, weight: np.ndarray, split: i
     keep the components, at most one for each row.
     """
     n = len(x)
-    far = 2 - 2 * least + 1e-9  # squared distance of unit vectors
+    far = (np.sqrt(2 - 2 * least) + SLACK) ** 2  # squared distance of unit vectors
     counts, groups = np.zeros(n, np.int64), _Groups(n)
     boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -128,45 +132,68 @@ def join_intervals(x: np.ndarray, lead: np.ndarray, weight: np.ndarray, split: i
     return counts, child, roots[child]
 
 
+def close_intervals(boxes: DataFrame, axes: int, far: float) -> DataFrame:
+    """Pairs (i, j), i <= j, of intervals whose boxes lie no further apart than the squared distance `far`.
+
+    boxes: interval, lo0.. and hi0.. by axis. The intervals are the leaves of a tree; from its root on, pairs of nodes
+    that lie near enough give the pairs of their children, so intervals under distant nodes never meet.
+    """
+    ends = [f"{e}{k}" for k in range(axes) for e in ("lo", "hi")]
+    last = boxes.agg(F.max("interval")).first()[0] or 0
+    levels = [boxes.select("interval", *ends)]
+    while last:
+        last //= FAN
+        up = levels[-1].groupBy(F.expr(f"interval div {FAN}").alias("interval"))
+        levels.append(materialize(up.agg(*[(F.min if e.startswith("lo") else F.max)(e).alias(e) for e in ends]), "nodes"))
+    pairs = levels[-1].select(F.col("interval").alias("i"), F.col("interval").alias("j"))
+    apart = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a.lo{k}") - F.col(f"b.hi{k}"), F.col(f"b.lo{k}") - F.col(f"a.hi{k}")), 2) for k in range(axes)), F.lit(0.0))
+    for nodes in levels[-2::-1]:
+        boxed = nodes.select(F.expr(f"interval div {FAN}").alias("up"), F.struct("interval", *ends).alias("box"))
+        met = pairs.join(boxed.select(F.col("up").alias("i"), F.col("box").alias("a")), "i").join(boxed.select(F.col("up").alias("j"), F.col("box").alias("b")), "j")
+        met = met.where((F.col("a.interval") <= F.col("b.interval")) & (apart <= far))
+        pairs = materialize(met.select(F.col("a.interval").alias("i"), F.col("b.interval").alias("j")), "pairs")
+    return pairs
+
+
 def _joined_classes(classes: DataFrame, dim: int, least: float, interval_rows: int) -> tuple[DataFrame, DataFrame]:
     """(links, edges) of the classes of one dimension: (rank, n) and (u, v), by rank in grid order."""
     axes = principal_axes(classes, dim)
     eps = float(np.sqrt(2 - 2 * least))
-    k = axes.shape[1]
+    k = axes.shape[1] + 1
     lead_type = ", ".join(f"l{i} double" for i in range(k))
+    kind = classes.schema["embedding"].dataType.simpleString()
 
     def project(batches):
         for batch in batches:
             if not len(batch):
                 continue
             lead = _vectors(batch["embedding"], dim) @ axes
-            out = pd.DataFrame(lead, columns=[f"l{i}" for i in range(k)])
+            # the length of what the axes leave over is one more axis: it differs by no more than the vectors do
+            rest = np.sqrt(np.maximum(0, 1 - (lead * lead).sum(axis=1, keepdims=True)))
+            out = pd.DataFrame(np.concatenate([lead, rest], axis=1), columns=[f"l{i}" for i in range(k)])
             out.insert(0, "cell_id", batch["cell_id"].to_numpy())
             out["embedding"] = batch["embedding"].to_numpy()
             out["copies"] = batch["copies"].to_numpy()
             yield out
 
-    projected = classes.select("cell_id", "embedding", "copies").mapInPandas(lean(project), f"cell_id long, {lead_type}, embedding array<float>, copies long")
+    projected = classes.select("cell_id", "embedding", "copies").mapInPandas(lean(project), f"cell_id long, {lead_type}, embedding {kind}, copies long")
     order = [F.floor(F.col(f"l{i}") / eps) for i in range(min(ORDERED, k))] + [F.col("l0"), F.col("cell_id")]
     ranked = range_prefix(projected.withColumn("one", F.lit(1)), order, {"rank": "one"})
     ranked = materialize(ranked.withColumn("interval", F.expr(f"(rank - 1) div {interval_rows}")), "ranked")
     boxes = ranked.groupBy("interval").agg(*[f(f"l{i}").alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))])
-    boxes = materialize(boxes, "boxes")
-    cells = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo0") / eps), F.floor(F.col("hi0") / eps) + 1)))
-    left = cells.select("cell", F.struct(*boxes.columns).alias("a"))
-    right = cells.select("cell", F.struct(*boxes.columns).alias("b"))
-    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"a.lo{i}") - F.col(f"b.hi{i}"), F.col(f"b.lo{i}") - F.col(f"a.hi{i}")), 2) for i in range(k)), F.lit(0.0))
-    pairs = left.join(right, "cell").where((F.col("a.interval") <= F.col("b.interval")) & (gap <= eps * eps + 1e-9))
-    pairs = materialize(pairs.select(F.col("a.interval").alias("i"), F.col("b.interval").alias("j")).distinct(), "pairs")
-    sides = pairs.select("i", "j", F.col("i").alias("interval")).union(pairs.where("i <> j").select("i", "j", F.col("j").alias("interval")))
+    # the rest's square root loses digits near zero, so boxes may be off by its rounding
+    pairs = close_intervals(materialize(boxes, "boxes"), k, (eps + SLACK) ** 2)
+    # a task joins up to SIDE intervals with as many others: each is shipped once for all of them that are near
+    meets = pairs.select("i", "j", F.expr(f"i div {SIDE}").alias("p"), F.expr(f"j div {SIDE}").alias("q"))
+    sides = meets.select("p", "q", F.explode(F.array("i", "j")).alias("interval")).distinct()
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("rank", kind="stable")
         x, lead = _vectors(df["embedding"], dim), df[[f"l{i}" for i in range(k)]].to_numpy()
-        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
-        split = int((df["interval"] == i).sum())
+        p, q = int(df["p"].iloc[0]), int(df["q"].iloc[0])
+        split = int((df["interval"] // SIDE == p).sum())
         rank, weight = df["rank"].to_numpy(np.int64), df["copies"].to_numpy(np.int64)
-        counts, child, root = join_intervals(x, lead, weight, split, i == j, least)
+        counts, child, root = join_intervals(x, lead, weight, split, p == q, least)
         full = np.flatnonzero(counts)
         return pd.concat([
             pd.DataFrame({"u": rank[full], "v": -1, "n": counts[full]}),
@@ -174,7 +201,7 @@ def _joined_classes(classes: DataFrame, dim: int, least: float, interval_rows: i
         ])
 
     rows = ranked.select("rank", "interval", "embedding", "copies", *[f"l{i}" for i in range(k)]).join(sides, "interval")
-    out = materialize(rows.groupBy("i", "j").applyInPandas(compare, "u long, v long, n long"), "links")
+    out = materialize(rows.groupBy("p", "q").applyInPandas(compare, "u long, v long, n long"), "links")
     links = out.where("v < 0").groupBy("u").agg(F.sum("n").alias("n"))
     label = ranked.select("rank", "cell_id")
     links = links.join(label, F.col("u") == F.col("rank")).select("cell_id", "n")
@@ -188,11 +215,14 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, interval_row
     reachable by links), kept (vec_id = component_id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors of different
-    lengths don't link. Equal vectors are held once with their number, so copies cost nothing. Null vec_id: a row, never
+    lengths don't link. Components of type float stay floats, any other number is a double; cosines are doubles. Equal
+    vectors are held once with their number, so copies cost nothing. Null vec_id: a row, never
     kept. Repeated vec_id: each row is a vector of its own. No rows: no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    clean = F.transform("embedding", lambda v: v.cast("float") + F.lit(0.0).cast("float"))
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    vectors = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    clean = F.transform("embedding", lambda v: v + F.lit(0.0).cast(kind))
     good = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(good, clean).alias("embedding"))
     rows = rows.withColumn("h", F.xxhash64("embedding"))
@@ -200,7 +230,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.95, interval_row
     classes = materialize(grouped.withColumn("cell_id", F.monotonically_increasing_id()), "classes")
     links, edges = spark.createDataFrame([], "cell_id long, n long"), spark.createDataFrame([], "u long, v long")
     for r in classes.select(F.size("embedding").alias("dim")).distinct().orderBy("dim").collect():
-        one = _joined_classes(classes.where(F.size("embedding") == r["dim"]), r["dim"], least, interval_rows)
+        # long vectors come in shorter intervals, so that a task's matrices keep their size
+        rows_each = min(interval_rows, max(128, (1 << 21) // r["dim"]))
+        one = _joined_classes(classes.where(F.size("embedding") == r["dim"]), r["dim"], least, rows_each)
         links, edges = links.unionByName(one[0]), edges.unionByName(one[1])
     labels = connected_components(edges).withColumnRenamed("node", "cell_id")
     known = classes.join(labels, "cell_id", "left").withColumn("component", F.coalesce("component", "cell_id"))

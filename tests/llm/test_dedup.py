@@ -259,3 +259,41 @@ def test_vectors(spark):
     g = x @ x.T >= 0.8
     np.fill_diagonal(g, False)
     assert (counts == g.sum(axis=1)).all()
+
+
+def test_vectors_keep_double_precision(spark):
+    at = lambda c, sign: [c, sign * (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, at(0.95 + 1e-11, 1)), (3, at(0.95 - 1e-11, -1))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in epsjoin.near_duplicate_vectors(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_only_near_intervals_meet(spark):
+    rng = np.random.default_rng(4)
+    lo = rng.uniform(0, 3, (90, 2))
+    hi = lo + rng.uniform(0, 0.2, (90, 2))
+    boxes = spark.createDataFrame([(i, *map(float, (a[0], b[0], a[1], b[1]))) for i, (a, b) in enumerate(zip(lo, hi))], "interval long, lo0 double, hi0 double, lo1 double, hi1 double")
+    gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
+    near = (gap**2).sum(axis=2) <= 0.04
+    want = {(i, j) for i in range(90) for j in range(i, 90) if near[i, j]}
+    got = [tuple(r) for r in epsjoin.close_intervals(boxes, 2, 0.04).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < 90 * 91 / 4
+    assert epsjoin.close_intervals(boxes.limit(0), 2, 0.04).count() == 0
+    assert [tuple(r) for r in epsjoin.close_intervals(boxes.where("interval = 0"), 2, 0.04).collect()] == [(0, 0)]
+
+
+def test_clusters_are_shipped_in_proportion(spark):
+    """Vectors of separate tight clusters: an interval meets its neighbours in order, whatever the number of intervals."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(160, 6))
+    x = np.repeat(centres, 20, axis=0) + rng.normal(scale=0.01, size=(3200, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs = []
+    whole = epsjoin.close_intervals
+    try:
+        epsjoin.close_intervals = lambda *a: pairs.append(whole(*a)) or pairs[-1]
+        got = sorted(tuple(r) for r in epsjoin.near_duplicate_vectors(df, interval_rows=20).collect())
+    finally:
+        epsjoin.close_intervals = whole
+    assert got == brute_vectors([(i, v.tolist()) for i, v in enumerate(x)])
+    assert pairs[0].count() < 160 * 161 / 2 / 4
