@@ -1,20 +1,53 @@
-"""Resampling intervals. Each group is one series; groups run side by side, random draws come from a seeded generator."""
+"""Resampling intervals. Each group is one series. Its resamples are dealt to tasks, more of them the longer the series is; a
+task holds one series, and draws what a single seeded generator would have drawn for its share, so the shares don't show."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-INTERVAL = "point double, low double, high double, n long"
+from ..sources.shared import written
+
+SHARE = "point double, found array<double>, n long"
 CHUNK = 1 << 20  # values drawn at a time, which bounds memory
+DRAWS = 1 << 27  # draws of a task; a series that needs more is shared
+
+
+def _quantile(values: Column, q: float) -> Column:
+    """Quantile of a sorted array, between the two values next to its place; null if there is none."""
+    place = (F.size(values) - 1) * F.lit(q)
+    low = F.floor(place).cast("int")
+    return F.get(values, low) + (F.coalesce(F.get(values, low + 1), F.get(values, low)) - F.get(values, low)) * (place - low)
+
+
+#: What a share gives: the point (null if undefined) and the finite statistics of resamples first to last - 1.
+Share = Callable[[pd.DataFrame, int, int], tuple[float | None, np.ndarray]]
+
 
+def _intervals(df: DataFrame, by: list[str], order: list[str], share: Share, n_resamples: int, level: float) -> DataFrame:
+    """by, point, low, high, n: the resamples of each group in shares of at most DRAWS draws, and their percentiles."""
+    rows = written(df, "series")
+    parts = F.least(F.lit(n_resamples), F.ceil(F.count(F.lit(1)) * F.lit(n_resamples) / DRAWS)).cast("int")
+    sizes = rows.groupBy(*by).agg(parts.alias("_parts")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_parts")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    dealt = rows.join(sizes, same).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select(*by, "_parts", "_part", *[c for c in rows.columns if c not in by])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        group, (parts, part) = key[:-2], map(int, key[-2:])
+        first, last = part * n_resamples // parts, (part + 1) * n_resamples // parts
+        point, found = share(pdf.sort_values(order, kind="stable"), first, last)
+        return pd.DataFrame([(*group, point, found, len(pdf))], columns=[*by, "point", "found", "n"])
 
-def _schema(by: list[str], df: DataFrame) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join([f"{c} {types[c]}" for c in by] + [INTERVAL])
+    shares = dealt.groupBy(*by, "_parts", "_part").applyInPandas(run, ", ".join([f"{c} {types[c]}" for c in by] + [SHARE]))
+    whole = shares.groupBy(*by).agg(F.first("point", ignorenulls=True).alias("point"), F.array_sort(F.flatten(F.collect_list("found"))).alias("found"), F.max("n").alias("n"))
+    tail = (1 - level) / 2
+    return whole.select(*by, "point", _quantile(F.col("found"), tail).alias("low"), _quantile(F.col("found"), 1 - tail).alias("high"), "n")
 
 
 def _ends(values: np.ndarray, level: float) -> tuple[float, float]:
@@ -23,20 +56,26 @@ def _ends(values: np.ndarray, level: float) -> tuple[float, float]:
     return float(low), float(high)
 
 
-def stationary_interval(values: np.ndarray, seed: int, n_resamples: int = 10_000, block_length: float = 20.0, level: float = 0.95) -> tuple[float, float, float]:
-    """Mean and its percentile interval; blocks have geometric lengths and run over the end to the start."""
+def _chunks(n: int, first: int, last: int) -> list[int]:
+    rows = max(1, CHUNK // n)
+    return [min(rows, last - i) for i in range(first, last, rows)]
+
+
+def stationary_means(values: np.ndarray, seed: int, n_resamples: int, first: int, last: int, block_length: float) -> np.ndarray:
+    """Means of resamples first to last - 1 of n_resamples; blocks have geometric lengths and run over the end to the start."""
     n = len(values)
-    if n < 2:
-        raise ValueError("two values at least")
-    # draws come in one order, all places before all jumps, so results don't depend on the chunks: one generator
-    # passes over the places to get to the jumps, the other draws them again
+    # draws come in one order, all places before all jumps, so results don't depend on the shares: one generator passes
+    # over the places to get to the jumps, the other draws those of this share
     rng, later = np.random.default_rng(seed), np.random.default_rng(seed)
-    chunks = [min(rows, n_resamples - i) for rows in [max(1, CHUNK // n)] for i in range(0, n_resamples, rows)]
-    for m in chunks:
+    for m in _chunks(n, 0, n_resamples):
         later.integers(0, n, size=(m, n))
+    for m in _chunks(n, 0, first):
+        rng.integers(0, n, size=(m, n))
+    if first:
+        later.bit_generator.advance(first * n)  # a jump takes one number
     steps = np.arange(n)
     means = []
-    for m in chunks:
+    for m in _chunks(n, first, last):
         jump_to = rng.integers(0, n, size=(m, n))
         jumps = later.random((m, n)) < min(1.0, 1.0 / block_length)
         jumps[:, 0] = True
@@ -44,25 +83,35 @@ def stationary_interval(values: np.ndarray, seed: int, n_resamples: int = 10_000
         since = np.maximum.accumulate(np.where(jumps, steps, -1), axis=1)
         at = (np.take_along_axis(jump_to, since, axis=1) + steps - since) % n
         means.append(values[at].mean(axis=1))
-    return float(values.mean()), *_ends(np.concatenate(means), level)
+    return np.concatenate(means)
+
+
+def stationary_interval(values: np.ndarray, seed: int, n_resamples: int = 10_000, block_length: float = 20.0, level: float = 0.95) -> tuple[float, float, float]:
+    """Mean and its percentile interval."""
+    if len(values) < 2:
+        raise ValueError("two values at least")
+    return float(values.mean()), *_ends(stationary_means(values, seed, n_resamples, 0, n_resamples, block_length), level)
 
 
 def stationary_bootstrap(df: DataFrame, by: list[str], order: list[str], value: str, seed: int, n_resamples: int = 2000, block_length: float = 20.0, level: float = 0.95) -> DataFrame:
     """by, point, low, high, n. A series of fewer than two values gives zeros."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order, kind="stable")[value].to_numpy(float)
-        out = stationary_interval(x if len(x) > 1 else np.zeros(2), seed, n_resamples, block_length, level)
-        return pd.DataFrame([(*key, *out, len(x))])
+    def share(pdf: pd.DataFrame, first: int, last: int) -> tuple[float | None, np.ndarray]:
+        x = pdf[value].to_numpy(float)
+        if len(x) < 2:
+            return 0.0, np.zeros(last - first)
+        return float(x.mean()), stationary_means(x, seed, n_resamples, first, last, block_length)
 
-    return df.groupBy(*by).applyInPandas(run, _schema(by, df))
+    return _intervals(df.select(*dict.fromkeys([*by, *order, value])), by, order, share, n_resamples, level)
 
 
-def _draws(seed: int, n: int, n_resamples: int) -> Iterator[np.ndarray]:
-    """Resampled places of n rows, a chunk of resamples at a time; the same as drawn at once."""
-    rng, rows = np.random.default_rng(seed), max(1, CHUNK // n)
-    for i in range(0, n_resamples, rows):
-        yield rng.choice(n, size=(min(rows, n_resamples - i), n), replace=True)
+def _draws(seed: int, n: int, last: int, first: int = 0) -> Iterator[np.ndarray]:
+    """Places of resamples first to last - 1 of n rows, a chunk of them at a time; the same as drawn at once."""
+    rng = np.random.default_rng(seed)
+    for m in _chunks(n, 0, first):
+        rng.choice(n, size=(m, n), replace=True)
+    for m in _chunks(n, first, last):
+        yield rng.choice(n, size=(m, n), replace=True)
 
 
 def mean_ranks(x: np.ndarray) -> np.ndarray:
@@ -81,47 +130,42 @@ def rank_correlation(x: np.ndarray, y: np.ndarray) -> float:
 def pair_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """Rank correlation with the interval of resampled pairs; null ends for two rows or fewer."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def share(pdf: pd.DataFrame, first: int, last: int) -> tuple[float | None, np.ndarray]:
         a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        n = len(a)
-        if n <= 2:
-            return pd.DataFrame([(*key, None, None, None, n)])
-        rhos = np.array([rank_correlation(a[i], b[i]) for draws in _draws(seed, n, n_resamples) for i in draws])
-        rhos = rhos[np.isfinite(rhos)]
-        return pd.DataFrame([(*key, rank_correlation(a, b), *(_ends(rhos, level) if len(rhos) else (None, None)), n)])
+        if len(a) <= 2:
+            return None, np.zeros(0)
+        rhos = np.array([rank_correlation(a[i], b[i]) for draws in _draws(seed, len(a), last, first) for i in draws])
+        return rank_correlation(a, b), rhos[np.isfinite(rhos)]
 
-    return df.groupBy(*by).applyInPandas(run, _schema(by, df))
+    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y])), by, order, share, n_resamples, level)
 
 
 def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, cluster: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """The same with whole clusters resampled; null ends for fewer than two clusters."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def share(pdf: pd.DataFrame, first: int, last: int) -> tuple[float | None, np.ndarray]:
         a, b = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
         places = list(pdf.reset_index(drop=True).groupby(cluster, sort=True).indices.values())
-        if len(places) < 2:
-            return pd.DataFrame([(*key, None, None, None, len(a))])
-        rng, rhos = np.random.default_rng(seed), []
-        for _ in range(n_resamples):
-            i = np.concatenate([places[k] for k in rng.integers(0, len(places), size=len(places))])
-            rhos.append(rank_correlation(a[i], b[i]))
-        finite = np.array(rhos)[np.isfinite(rhos)]
-        return pd.DataFrame([(*key, rank_correlation(a, b), *(_ends(finite, level) if len(finite) else (None, None)), len(a))])
+        k = len(places)
+        if k < 2:
+            return None, np.zeros(0)
+        rng = np.random.default_rng(seed)
+        for _ in range(first):
+            rng.integers(0, k, size=k)
+        drawn = (np.concatenate([places[c] for c in rng.integers(0, k, size=k)]) for _ in range(first, last))
+        rhos = np.array([rank_correlation(a[i], b[i]) for i in drawn])
+        return rank_correlation(a, b), rhos[np.isfinite(rhos)]
 
-    return df.groupBy(*by).applyInPandas(run, _schema(by, df))
+    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y, cluster])), by, order, share, n_resamples, level)
 
 
 def mean_difference_bootstrap(df: DataFrame, by: list[str], order: list[str], a: str, b: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
     """Mean of a - b with the interval of resampled pairs; null ends for fewer than two rows."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def share(pdf: pd.DataFrame, first: int, last: int) -> tuple[float | None, np.ndarray]:
         d = (pdf[a] - pdf[b]).to_numpy(float)
         if len(d) < 2:
-            return pd.DataFrame([(*key, None, None, None, len(d))])
-        means = np.concatenate([d[i].mean(axis=1) for i in _draws(seed, len(d), n_resamples)])
-        return pd.DataFrame([(*key, float(d.mean()), *_ends(means, level), len(d))])
+            return None, np.zeros(0)
+        return float(d.mean()), np.concatenate([d[i].mean(axis=1) for i in _draws(seed, len(d), last, first)])
 
-    return df.groupBy(*by).applyInPandas(run, _schema(by, df))
+    return _intervals(df.select(*dict.fromkeys([*by, *order, a, b])), by, order, share, n_resamples, level)

@@ -4,6 +4,7 @@ import inspect
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oddsmith.operators import bootstrap
 from oddsmith.plans import catalogue
@@ -55,3 +56,24 @@ def test_drawn_chunks_do_not_show(monkeypatch):
     monkeypatch.setattr(bootstrap, "CHUNK", 100)
     parts = np.concatenate(list(bootstrap._draws(5, 7, 200)))
     assert (parts == np.random.default_rng(5).choice(7, size=(200, 7), replace=True)).all()
+
+
+def test_shares_of_one_series_do_not_show(monkeypatch, spark):
+    """One group's resamples in one task and in many give the same ends, to the last digit of their sums."""
+    rng = np.random.default_rng(2)
+    rows = [(1, i, f"c{i % 7}", float(rng.normal()), float(rng.normal())) for i in range(90)] + [(None, 0, "c", 1.0, 2.0), (2, 0, "c", 3.0, 1.0), (2, 1, "d", 3.0, 4.0)]
+    df = spark.createDataFrame(rows, "g int, i int, c string, x double, y double").withColumn("_other", F.lit(1))
+    runs = [
+        lambda: bootstrap.stationary_bootstrap(df, ["g"], ["i"], "x", 7, 300),
+        lambda: bootstrap.pair_bootstrap(df, ["g"], ["i"], "x", "y", 7, 300),
+        lambda: bootstrap.cluster_bootstrap(df, ["g"], ["i"], "x", "y", "c", 7, 300),
+        lambda: bootstrap.mean_difference_bootstrap(df, ["g"], ["i"], "x", "y", 7, 300),
+    ]
+    alone = [sorted(map(str, r().collect())) for r in runs]
+    assert all(len(a) == 3 for a in alone)
+    x = np.array([r[3] for r in rows[:90]])
+    first = next(r for r in runs[0]().collect() if r.g == 1)
+    assert (first.point, first.low, first.high) == pytest.approx(bootstrap.stationary_interval(x, 7, 300), abs=1e-12)
+    monkeypatch.setattr(bootstrap, "DRAWS", 2500)
+    assert [sorted(map(str, r().collect())) for r in runs] == alone
+    assert runs[0]().limit(0).count() == 0 and bootstrap.pair_bootstrap(df.limit(0), ["g"], ["i"], "x", "y", 7).count() == 0
