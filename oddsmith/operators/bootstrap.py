@@ -15,6 +15,7 @@ from ..sources.shared import written
 SHARE = "point double, found array<double>, n long"
 CHUNK = 1 << 20  # values drawn at a time, which bounds memory
 DRAWS = 1 << 27  # draws of a task; a series that needs more is shared
+RANKING = 20, 40_000  # what a row, and a resample beside its rows, take where values are ranked, counted in draws
 
 
 def _quantile(values: Column, q: float) -> Column:
@@ -28,14 +29,16 @@ def _quantile(values: Column, q: float) -> Column:
 Share = Callable[[pd.DataFrame, int, int], tuple[float | None, np.ndarray]]
 
 
-def _intervals(df: DataFrame, by: list[str], order: list[str], share: Share, n_resamples: int, level: float) -> DataFrame:
+def _intervals(df: DataFrame, by: list[str], order: list[str], share: Share, n_resamples: int, level: float, cost: tuple[int, int] = (1, 0)) -> DataFrame:
     """by, point, low, high, n: the resamples of each group in shares of at most DRAWS draws, and their percentiles."""
     rows = written(df, "series")
-    parts = F.least(F.lit(n_resamples), F.ceil(F.count(F.lit(1)) * F.lit(n_resamples) / DRAWS)).cast("int")
+    parts = F.least(F.lit(n_resamples), F.ceil((F.count(F.lit(1)) * cost[0] + cost[1]) * F.lit(n_resamples) / DRAWS)).cast("int")
     sizes = rows.groupBy(*by).agg(parts.alias("_parts")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "_parts")
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
     dealt = rows.join(sizes, same).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = dealt.select(*by, "_parts", "_part", *[c for c in rows.columns if c not in by])
+    # few bytes are much work here, so the number of partitions is stated, lest small ones be merged
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*by, "_parts", "_part", *[c for c in rows.columns if c not in by]).repartition(n_tasks, *by, "_part")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         group, (parts, part) = key[:-2], map(int, key[-2:])
@@ -137,7 +140,7 @@ def pair_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: st
         rhos = np.array([rank_correlation(a[i], b[i]) for draws in _draws(seed, len(a), last, first) for i in draws])
         return rank_correlation(a, b), rhos[np.isfinite(rhos)]
 
-    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y])), by, order, share, n_resamples, level)
+    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y])), by, order, share, n_resamples, level, RANKING)
 
 
 def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y: str, cluster: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
@@ -156,7 +159,7 @@ def cluster_bootstrap(df: DataFrame, by: list[str], order: list[str], x: str, y:
         rhos = np.array([rank_correlation(a[i], b[i]) for i in drawn])
         return rank_correlation(a, b), rhos[np.isfinite(rhos)]
 
-    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y, cluster])), by, order, share, n_resamples, level)
+    return _intervals(df.select(*dict.fromkeys([*by, *order, x, y, cluster])), by, order, share, n_resamples, level, RANKING)
 
 
 def mean_difference_bootstrap(df: DataFrame, by: list[str], order: list[str], a: str, b: str, seed: int, n_resamples: int = 10_000, level: float = 0.95) -> DataFrame:
