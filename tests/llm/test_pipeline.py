@@ -1,7 +1,10 @@
+import random
 import re
 from collections import Counter
 
 import corpus_pipeline
+from helpers import documents, rows, words
+
 from oddsmith.llm import linededup, quality, simhash
 from oddsmith.llm.common import materialize
 
@@ -34,3 +37,23 @@ def test_stages(spark):
     assert abs(sum(size(r.text) for r in inputs[4].collect()) - total) <= 20
     packed = docs.collect()
     assert sum(r.piece == 0 for r in packed) == inputs[4].count() and max(r.offset + r.length for r in packed) <= 4096
+
+
+def test_run_bears_odd_rows(spark, tmp_path):
+    """Null, empty and long texts, repeated rows and ids, columns with clashing names, no labels: through the whole chain."""
+    rng = random.Random(9)
+    good = [(200 + i, words(rng, 60), "en", "a", 1) for i in range(4)]
+    documents(spark, rows() + good + [(200, words(rng, 50), "en", None, 1), (300, good[1][1] + " more", "en", "b", 1)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert ids >= {201, 202, 203} and not ids & {100, 101, 102, 106, 300}
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096
