@@ -16,29 +16,54 @@ RHO_BOX = (-0.20, 0.20)
 MAX_REFITS = 4
 MIN_TEAM_WEIGHT = 1.0
 PENALTY = 1e12
+ROUNDING = 64 * np.finfo(float).eps  # of a likelihood, by its size
 GRADIENT = 1e-5  # the largest slope at which a fit has settled; curvatures are in the tens
 
 
+SUMS = 7  # of a pair's matches: weights, weighted goals of either side, and the weights of 0:0, 0:1, 1:0 and 1:1
+
+
+def pair_sums(pairs: np.ndarray, n_pairs: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """SUMS rows of n_pairs sums, all that the likelihood needs of any number of matches; pairs: each match's place."""
+    features = [w, w * x, w * y, *[w * ((x == i) & (y == j)) for i in (0, 1) for j in (0, 1)]]
+    return np.stack([np.bincount(pairs, f, n_pairs) for f in features])
+
+
 class FitWindow:
-    """Encoded matches of one fit: indices into the sorted team names, goals, weights."""
+    """What one fit needs of its matches: a row for each pair of teams, see pair_sums, and indices into the sorted team names.
+
+    A pair's matches share their rates, so a fit takes as long for many of them as for one.
+    """
+
+    def __init__(self, home, away, hg, ag, w, minimum: float = MIN_TEAM_WEIGHT, n=None):
+        """n: how many matches each row stands for, by default one; w is then the sum of their weights."""
+        names, places = np.unique(np.concatenate([home, away]), return_inverse=True)
+        found, pairs = np.unique(places[: len(home)] * len(names) + places[len(home) :], return_inverse=True)
+        x, y, n = hg.astype(float), ag.astype(float), np.ones(len(w)) if n is None else n
+        self._keep(names[found // max(1, len(names))], names[found % max(1, len(names))], pair_sums(pairs, len(found), x, y, w), pair_sums(pairs, len(found), x, y, n), minimum)
+
+    @classmethod
+    def of_pairs(cls, home: np.ndarray, away: np.ndarray, sums: np.ndarray, counts: np.ndarray, minimum: float = MIN_TEAM_WEIGHT) -> FitWindow:
+        """From distinct pairs with their sums; counts are the same sums with weights of 1."""
+        out = cls.__new__(cls)
+        out._keep(home, away, sums, counts, minimum)
+        return out
 
-    def __init__(self, home, away, hg, ag, w, minimum: float = MIN_TEAM_WEIGHT):
+    def _keep(self, home, away, sums, counts, minimum: float) -> None:
+        there = counts[0] > 0
+        home, away, sums, counts = home[there], away[there], sums[:, there], counts[:, there]
         names, places = np.unique(np.concatenate([home, away]), return_inverse=True)
         h, a = places[: len(home)], places[len(home) :]
-        carried = np.bincount(np.concatenate([h, a]), np.concatenate([w, w]), len(names))
+        carried = np.bincount(np.concatenate([h, a]), np.concatenate([sums[0], sums[0]]), len(names))
         strong = carried >= minimum
         use = strong[h] & strong[a]
         if not use.any():
             raise ValueError("no matches between teams of enough weight")
         self.teams, places = np.unique(np.concatenate([home[use], away[use]]), return_inverse=True)
         self.h, self.a = places[: use.sum()], places[use.sum() :]
-        self.x, self.y, self.w = hg[use].astype(float), ag[use].astype(float), w[use]
+        (self.w, self.x, self.y), self.low = sums[:3, use], sums[3:, use]
+        self.n_matches, self.seen = int(round(counts[0, use].sum())), counts[3:, use] > 0
         self.n = len(self.teams)
-        # a low score's correction is 1 + rho * sign * lambda^p * mu^q; other scores have sign 0
-        low = (self.x < 2) & (self.y < 2)
-        self.p, self.q = low * (1 - self.x), low * (1 - self.y)
-        self.p, self.q = self.p * (self.x == 0), self.q * (self.y == 0)
-        self.sign = np.where(low, np.where(self.x == self.y, -1.0, 1.0), 0.0)
         # the strengths that each rate is made of: attacks first, then defences
         self.strengths = np.concatenate([self.h, self.n + self.a, self.a, self.n + self.h])
 
@@ -52,6 +77,10 @@ class FitWindow:
         defence = theta[self.n - 1 : 2 * self.n - 1]
         return np.exp(attack[self.h] + defence[self.a] + theta[-2]), np.exp(attack[self.a] + defence[self.h])
 
+    def _terms(self, lam: np.ndarray, mu: np.ndarray) -> np.ndarray:
+        """A low score's correction is 1 + rho * term; where a pair has no such score its term is 0."""
+        return np.where(self.seen, np.stack([-lam * mu, lam, mu, -np.ones_like(lam)]), 0.0)
+
     def objective(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
         """Negative weighted log-likelihood without factorials, and its gradient; outside the domain the penalty and zeros.
 
@@ -59,17 +88,17 @@ class FitWindow:
         """
         with np.errstate(over="ignore", invalid="ignore"):
             lam, mu = self.rates(theta)
-            term = self.sign * lam**self.p * mu**self.q
+            term = self._terms(lam, mu)
             factor = 1 + theta[-1] * term
         if not (np.isfinite(lam + mu).all() and (factor > 0).all()):
             return PENALTY, np.zeros_like(theta)
-        share = term / factor
-        gain = self.w @ (self.x * np.log(lam) + self.y * np.log(mu) + np.log(factor) - lam - mu)
-        by_home = self.w * (self.x - lam + theta[-1] * self.p * share)
-        by_away = self.w * (self.y - mu + theta[-1] * self.q * share)
+        share = self.low * term / factor
+        gain = self.x @ np.log(lam) + self.y @ np.log(mu) - self.w @ (lam + mu) + (self.low * np.log(factor)).sum()
+        by_home = self.x - self.w * lam + theta[-1] * (share[0] + share[1])
+        by_away = self.y - self.w * mu + theta[-1] * (share[0] + share[2])
         total = np.bincount(self.strengths, np.concatenate([by_home, by_home, by_away, by_away]), 2 * self.n)
         last = self.n - 1  # the last attack is minus the sum of the others
-        slope = np.concatenate([total[:last] - total[last], total[self.n :], [by_home.sum(), self.w @ share]])
+        slope = np.concatenate([total[:last] - total[last], total[self.n :], [by_home.sum(), share.sum()]])
         return -float(gain), -slope
 
     def information(self, theta: np.ndarray) -> np.ndarray:
@@ -81,8 +110,8 @@ class FitWindow:
         whole[:n, :n], whole[n : 2 * n, n : 2 * n] = np.diag(scored.sum(1)), np.diag(scored.sum(0))
         whole[:n, n : 2 * n], whole[:n, -2], whole[n : 2 * n, -2] = scored, at_home.sum(1), at_home.sum(0)
         whole = np.maximum(whole, whole.T)
-        term = self.sign * lam**self.p * mu**self.q
-        whole[-2, -2], whole[-1, -1] = at_home.sum(), self.w @ (term / (1 + theta[-1] * term)) ** 2
+        term = self._terms(lam, mu)
+        whole[-2, -2], whole[-1, -1] = at_home.sum(), (self.low * (term / (1 + theta[-1] * term)) ** 2).sum()
         kept = np.delete(whole, n - 1, axis=1)  # the last attack is minus the sum of the others
         kept[:, : n - 1] -= whole[:, [n - 1]]
         out = np.delete(kept, n - 1, axis=0)
@@ -119,7 +148,8 @@ def minimise(objective, start: np.ndarray, low: float, high: float, rounds: int
             y[free] += t * step
             y[-1] = min(max(y[-1], low), high)
             f2, g2 = objective(y)
-            if f2 <= f + 1e-4 * t * slope:
+            # near the minimum of many matches a gain is less than the rounding of f; there the slope along the step decides
+            if f2 <= f + 1e-4 * t * slope or (f2 <= f + ROUNDING * abs(f) and abs(g2[free] @ step) <= 0.9 * abs(slope)):
                 break
             t *= 0.5
         else:
@@ -156,6 +186,19 @@ def _strengths(window: FitWindow, theta: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.exp(np.append(theta[: n - 1], -theta[: n - 1].sum())), np.exp(theta[n - 1 : 2 * n - 1])
 
 
+MATCH = ["league", "home", "away", "home_goals", "away_goals"]
+
+
+def _age(later: Column, earlier: Column) -> Column:
+    """Days between two times."""
+    return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(86_400e6)
+
+
+def _weight(rate: float, age: Column) -> Column:
+    """The sum of weights of that age, in decimals: its order doesn't show."""
+    return F.sum(F.exp(-rate * age).cast("decimal(34,24)")).cast("double")
+
+
 _FIT = "league string, team string, attack double, defence double, gamma double, rho double, log_likelihood double, n_matches long, converged boolean"
 
 
@@ -172,23 +215,21 @@ def fit_strengths(matches: DataFrame, as_of: str | None = None, rate: float = 0.
         matches = guards.checked(matches, guards.match_checks(F.to_timestamp_ntz(F.lit(str(end))) if as_of else None), strict, seen)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["kickoff", "home", "away"], kind="stable")
-        if end is not None:
-            df = df[df["kickoff"] < end]
-        w = np.exp(-rate * (end - df["kickoff"]).dt.total_seconds().to_numpy() / 86400) if rate > 0 else np.ones(len(df))
+        df = df.sort_values(MATCH, kind="stable")
         columns = [c.split()[0] for c in _FIT.split(", ")]
         try:
-            window = FitWindow(df["home"].to_numpy(str), df["away"].to_numpy(str), df["home_goals"].to_numpy(), df["away_goals"].to_numpy(), w, minimum)
+            window = FitWindow(df["home"].to_numpy(str), df["away"].to_numpy(str), df["home_goals"].to_numpy(), df["away_goals"].to_numpy(), df["w"].to_numpy(float), minimum, df["n"].to_numpy(float))
         except ValueError:
             return pd.DataFrame(columns=columns)
         theta, value, done = fit_window(window)
         attack, defence = _strengths(window, theta)
-        return pd.DataFrame({"league": df["league"].iloc[0], "team": window.teams, "attack": attack, "defence": defence, "gamma": np.exp(theta[-2]), "rho": theta[-1], "log_likelihood": -value, "n_matches": len(window.x), "converged": done})[columns]
+        return pd.DataFrame({"league": df["league"].iloc[0], "team": window.teams, "attack": attack, "defence": defence, "gamma": np.exp(theta[-2]), "rho": theta[-1], "log_likelihood": -value, "n_matches": window.n_matches, "converged": done})[columns]
 
-    return matches.select("league", "kickoff", "home", "away", "home_goals", "away_goals").groupBy("league").applyInPandas(run, _FIT)
+    own = matches.where(F.col("kickoff") < F.to_timestamp_ntz(F.lit(str(end)))) if end is not None else matches
+    weight = _weight(rate, _age(F.to_timestamp_ntz(F.lit(str(end))), F.col("kickoff"))) if rate > 0 else F.count(F.lit(1)).cast("double")
+    return own.groupBy(*MATCH).agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).groupBy("league").applyInPandas(run, _FIT)
 
 
-MATCH = ["league", "home", "away", "home_goals", "away_goals"]
 
 
 def fit_inputs(matches: DataFrame, scored: DataFrame, rates: Sequence[float], chunks: int = 16, days_per_block: int | None = None) -> DataFrame:
@@ -212,11 +253,10 @@ def fit_inputs(matches: DataFrame, scored: DataFrame, rates: Sequence[float], ch
     blocks = blocks.withColumn("at", F.lead("first").over(Window.partitionBy("league").orderBy("block"))).withColumn("last", F.max("block").over(Window.partitionBy("league")))
     rows = own.join(days, ["league", "day"])
 
-    age = lambda later, earlier: F.expr(f"timestampdiff(MICROSECOND, {earlier}, {later}) / 86400000000D")
-    ended = rows.join(blocks.where("at is not null"), ["league", "block"]).withColumn("age", age("at", "kickoff"))
-    sums = [F.sum(F.exp(-rate * F.col("age")).cast("decimal(34,24)")).cast("double").alias(f"w{i}") for i, rate in enumerate(rates)]
+    ended = rows.join(blocks.where("at is not null"), ["league", "block"]).withColumn("age", _age(F.col("at"), F.col("kickoff")))
+    sums = [_weight(rate, F.col("age")).alias(f"w{i}") for i, rate in enumerate(rates)]
     cells = ended.groupBy(*MATCH, "block", "at", "last").agg(F.count(F.lit(1)).alias("n"), *sums)
-    since = age("at", "TIMESTAMP_NTZ '1970-01-01'")
+    since = _age(F.col("at"), F.to_timestamp_ntz(F.lit("1970-01-01")))
     cells = cells.select(*MATCH, "block", "at", "last", F.struct(since.alias("t"), "n", F.array(*[f"w{i}" for i in range(len(rates))]).alias("w")).alias("own"))
     same = Window.partitionBy(*MATCH).orderBy("block")
     states = cells.withColumn("all", F.collect_list("own").over(same.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("block").over(same))
@@ -255,30 +295,46 @@ def rated_fixtures(matches: DataFrame, scored: DataFrame, rates: Sequence[float]
             carried[:n_states] = np.stack(df["weights"].iloc[:n_states].to_list())
         teams, codes = np.unique(np.concatenate([df["home"].to_numpy(str), df["away"].to_numpy(str)]), return_inverse=True)
         home, away = codes[: len(df)], codes[len(df) :]
-        hg, ag, held = df["home_goals"].to_numpy(), df["away_goals"].to_numpy(), np.cumsum(df["n"].to_numpy())
-        places = {t: i for i, t in enumerate(teams)}
+        found, pairs = np.unique(home * len(teams) + away, return_inverse=True)
+        x, y, n_each = df["home_goals"].to_numpy(float), df["away_goals"].to_numpy(float), df["n"].to_numpy(float)
+        held = np.cumsum(df["n"].to_numpy())
+        # each pair's sums up to the last fitted day, for each rate; a match is added once and then falls with the others
+        sums, counts, upto, at = np.zeros((len(rates), SUMS, len(found))), np.zeros((SUMS, len(found))), 0, None
         out = []
-        for d, part in df[df["target"]].groupby(df["kickoff"].dt.normalize(), sort=True):
-            start = np.datetime64(d, "us")
+        targets = np.flatnonzero(df["target"].to_numpy(bool))
+        days = kick[targets].astype("datetime64[D]")
+        for start in np.unique(days):
+            start, rows = start.astype("datetime64[us]"), targets[days == start]
             k = n_states + int(np.searchsorted(kick[n_states:], start, "left"))
             n = int(held[k - 1]) if k else 0
             if n < min_fit_matches:
                 continue
-            age = (start - kick[:k]).astype(np.int64) / 86_400e6
+            new = slice(upto, k)
+            age = (start - kick[new]).astype(np.int64) / 86_400e6
+            passed = 0.0 if at is None else (start - at).astype(np.int64) / 86_400e6
+            counts += pair_sums(pairs[new], len(found), x[new], y[new], n_each[new])
+            upto, at = k, start
             for c, rate in enumerate(rates):
+                sums[c] *= np.exp(-rate * passed)
+                sums[c] += pair_sums(pairs[new], len(found), x[new], y[new], carried[new, c] * np.exp(-rate * age))
                 try:
-                    window = FitWindow(home[:k], away[:k], hg[:k], ag[:k], carried[:k, c] * np.exp(-rate * age))
+                    window = FitWindow.of_pairs(found // len(teams), found % len(teams), sums[c], counts)
                 except ValueError:
                     continue
                 theta, _, done = fit_window(window)
                 attack, defence = _strengths(window, theta if done else np.full_like(theta, np.nan))
                 factor, rho = (np.exp(theta[-2]), theta[-1]) if done else (np.nan, np.nan)
-                own = {t: i for i, t in enumerate(window.teams.tolist())}
-                for row in part.itertuples(index=False):
-                    h, a = own.get(places[row.home]), own.get(places[row.away])
-                    if h is not None and a is not None:
-                        out.append((*[getattr(row, x) for x in names], c, attack[h] * defence[a] * factor, attack[a] * defence[h], rho, n))
-        return pd.DataFrame(out, columns=[*names, "candidate", "lambda_home", "lambda_away", "rho", "n_fit_matches"])
+                own = np.full(len(teams), -1)
+                own[window.teams] = np.arange(window.n)
+                h, a = own[home[rows]], own[away[rows]]
+                ok = (h >= 0) & (a >= 0)
+                h, a = h[ok], a[ok]
+                out.append((rows[ok], np.full(len(h), c), attack[h] * defence[a] * factor, attack[a] * defence[h], np.full(len(h), rho), np.full(len(h), n)))
+        columns = ["candidate", "lambda_home", "lambda_away", "rho", "n_fit_matches"]
+        if not out:
+            return pd.DataFrame(columns=[*names, *columns])
+        rows, *values = (np.concatenate(v) for v in zip(*out))
+        return df[names].take(rows).reset_index(drop=True).assign(**dict(zip(columns, values)))
 
     # few bytes but long fits: partitions of a stated number aren't put together
     spark = matches.sparkSession

@@ -90,3 +90,40 @@ def test_information_is_the_curvature():
 def test_candidates_share_a_table(season):
     m, _ = season
     assert study.candidate_rates(m.where("season = '2223'"), (100.0, 400.0), 50).columns[-1] == "half_life_days"
+
+
+def counted_fit(window):
+    """fit_window's result and how often it asked for the objective."""
+    own, calls = window.objective, []
+    window.objective = lambda theta: (calls.append(1), own(theta))[1]
+    return fitting.fit_window(window), len(calls)
+
+
+def test_fits_of_many_matches_settle():
+    """The slope to reach is the same however many matches there are; it once lay below what line searches could tell."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 20, 5000)
+    rows = h, (h + 1 + rng.integers(0, 19, 5000)) % 20, rng.poisson(1.4, 5000), rng.poisson(1.1, 5000)
+    (one, _, _), _ = counted_fit(fitting.FitWindow(*rows, np.ones(5000)))
+    for times in (30.0, 3e3, 3e5):
+        window = fitting.FitWindow(*rows, np.full(5000, times), n=np.full(5000, times))
+        (theta, _, done), calls = counted_fit(window)
+        assert done and calls < 40 and np.allclose(theta, one, atol=1e-6)
+        assert window.n_matches == 5000 * times and np.abs(window.objective(theta)[1]).max() < fitting.GRADIENT
+
+
+def test_a_fit_holds_a_row_for_each_pair():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 4, 3000)
+    a, x, y, w = (h + 1 + rng.integers(0, 3, 3000)) % 4, rng.poisson(1.4, 3000), rng.poisson(1.1, 3000), rng.random(3000)
+    window = fitting.FitWindow(h, a, x, y, w)
+    assert len(window.w) == 12 and window.n_matches == 3000
+    theta = window.start() + rng.normal(0, 0.05, 9)
+    lam, mu = window_rates(theta, h, a)
+    tau = np.select([(x == 0) & (y == 0), (x == 0) & (y == 1), (x == 1) & (y == 0), (x == 1) & (y == 1)], [1 - theta[-1] * lam * mu, 1 + theta[-1] * lam, 1 + theta[-1] * mu, 1 - theta[-1]], 1.0)
+    assert window.objective(theta)[0] == pytest.approx(-(w * (x * np.log(lam) + y * np.log(mu) + np.log(tau) - lam - mu)).sum(), rel=1e-12)
+
+
+def window_rates(theta, h, a):
+    attack, defence = np.append(theta[:3], -theta[:3].sum()), theta[3:7]
+    return np.exp(attack[h] + defence[a] + theta[-2]), np.exp(attack[a] + defence[h])
