@@ -239,7 +239,7 @@ def rho_bounds(spark, sf):
 @query(f"select home, away, x::int as x, y::int as y, round(avg(p), {M}) as p from cells121 join matches using (seq) group by all")
 def scoreline_matrix(spark, sf):
     """The whole grid of every pairing."""
-    g = _grids(spark, sf).select("home", "away", F.posexplode("g").alias("i", "p"))
+    g = _grids(spark, sf).select("home", "away", F.posexplode_outer("g").alias("i", "p")).where("i is not null")  # see skellam_pmf
     return g.groupBy("home", "away", F.floor(F.col("i") / 11).cast("int").alias("x"), (F.col("i") % 11).cast("int").alias("y")).agg(r(F.avg("p"), "p"))
 
 
@@ -303,7 +303,8 @@ def _skellams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select home, away, k::int as k, {d('p')} from ({_SKELLAM})")
 def skellam_pmf(spark, sf):
-    return _skellams(spark, sf).select("home", "away", F.posexplode("s").alias("i", "p")).select("home", "away", (F.col("i") - 60).cast("int").alias("k"), r("p"))
+    # from an inner generator the optimiser infers that s isn't empty, and tests that on each match, below the distinct pairs
+    return _skellams(spark, sf).select("home", "away", F.posexplode_outer("s").alias("i", "p")).where("i is not null").select("home", "away", (F.col("i") - 60).cast("int").alias("k"), r("p"))
 
 
 @query("select home, away, " + ", ".join(f"round((sum(p) filter (k - 0.5 {o} 0) + coalesce(sum(p) filter (k {o} 0), 0)) / 2, {M}) as {n}" if o != "=" else f"round(coalesce(sum(p) filter (k = 0), 0) / 2, {M}) as {n}" for o, n in ((">", "win"), ("=", "push"), ("<", "lose"))) + f" from ({_SKELLAM}) group by all")

@@ -16,3 +16,12 @@ def test_against_the_sum_of_products(spark):
         for k in range(-60, 61):
             assert r.s[k + 60] == pytest.approx(math.fsum(law[0][j + k] * law[1][j] for j in range(max(0, -k), min(400, 400 - k))), abs=1e-12)
     assert spark.range(1).select(pricing.skellam(F.lit(0.0), F.lit(1.0)).alias("s")).first().s is None
+
+
+def test_laws_are_made_of_distinct_pairs(spark):
+    """No filter that the optimiser infers makes them of each match, below the distinct pairs."""
+    from oddsmith.plans import catalogue
+
+    plan = catalogue.skellam_pmf(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate ["):].split("+- ", 1)[1]
+    assert "aggregate(" in plan and "aggregate(" not in below and "array_prepend" not in below
