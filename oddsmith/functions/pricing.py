@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .special import let, log_factorial, total
@@ -67,6 +70,28 @@ def match_odds(grid: Column) -> Column:
     )
 
 
+def with_outcomes(df: DataFrame, home: str, away: str, rho: str) -> DataFrame:
+    """Add p_home, p_draw, p_away and p_over25, what match_odds and over give of the grid of these columns of rates.
+
+    The cells are products of two sides' laws but for the four lowest, so sums by side give them without a grid; plain
+    arithmetic, which is compiled, where a function over each cell of an array is interpreted.
+    """
+    lam, mu, r = F.col(home), F.col(away), F.col(rho)
+    side = lambda rate: F.array(*[F.exp(k * F.log(rate) - rate - math.log(math.factorial(k))) for k in range(GOALS)])
+    out = df.withColumns({"_h": side(lam), "_a": side(mu)})
+    h, a = ([F.get(c, F.lit(k)) for k in range(GOALS)] for c in ("_h", "_a"))
+    added = lambda terms: reduce(lambda x, y: x + y, terms)
+    low = {(x, y): low_score_factor(F.lit(x), F.lit(y), lam, mu, r) * h[x] * a[y] for x in (0, 1) for y in (0, 1)}
+    cell = lambda x, y: low.get((x, y), h[x] * a[y])
+    # the away side's law summed below each score, and the home side's
+    out = out.withColumn("_s", F.struct(
+        added([cell(1, 0), *[h[x] * added(a[:x]) for x in range(2, GOALS)]]).alias("home"), added([cell(k, k) for k in range(GOALS)]).alias("draw"),
+        added([cell(0, 1), *[a[y] * added(h[:y]) for y in range(2, GOALS)]]).alias("away"), added([cell(x, y) for x in range(3) for y in range(3 - x)]).alias("under")))
+    t = F.col("_s.home") + F.col("_s.draw") + F.col("_s.away")
+    out = out.withColumns({"p_home": F.col("_s.home") / t, "p_draw": F.col("_s.draw") / t, "p_away": F.col("_s.away") / t, "p_over25": (t - F.col("_s.under")) / t})
+    return out.drop("_h", "_a", "_s")
+
+
 def over(grid: Column, line: float) -> Column:
     """Probability of more goals than a half line; the under side is what is left to 1."""
     if line != line // 1 + 0.5:

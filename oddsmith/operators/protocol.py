@@ -44,11 +44,8 @@ def price_fixtures(rated: DataFrame) -> DataFrame:
     """Forecasts of rows with lambda_home, lambda_away, rho. Rates must lie strictly within (0.05, 6); rho may lie at its bounds."""
     lam, mu, rho = F.col("lambda_home"), F.col("lambda_away"), F.col("rho")
     ok = (lam > MIN_RATE) & (lam < MAX_RATE) & (mu > MIN_RATE) & (mu < MAX_RATE) & pricing.rho_admissible(lam, mu, rho)
-    grid = rated.where(ok).withColumn("_g", pricing.scoreline_grid(lam, mu, rho))
-    out = grid.withColumn("_m", pricing.match_odds(F.col("_g"))).withColumn("p_over25", pricing.over(F.col("_g"), 2.5))
-    return out.withColumns({
-        "outcome": outcome_of(F.col("home_goals"), F.col("away_goals")), "p_home": F.col("_m.home"), "p_draw": F.col("_m.draw"), "p_away": F.col("_m.away"), "p_under25": 1 - F.col("p_over25"),
-    }).drop("_g", "_m")
+    out = pricing.with_outcomes(rated.where(ok), "lambda_home", "lambda_away", "rho")
+    return out.withColumns({"outcome": outcome_of(F.col("home_goals"), F.col("away_goals")), "p_under25": 1 - F.col("p_over25")})
 
 
 def paired_calibration(scores: DataFrame, keys: list[str]) -> DataFrame:
