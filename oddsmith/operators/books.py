@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.margin import demargin_all
+from ..functions.margin import with_fair
 from ..schema import COMPOSITE_BOOKS, MATCH_KEYS, OUTCOMES
 
 CELL = ["league", "book", "market"]
@@ -89,4 +89,4 @@ def book_margins(books: DataFrame) -> DataFrame:
 
 def fair_books(books: DataFrame) -> DataFrame:
     """A row per book and method, with fair probabilities."""
-    return books.withColumn("d", F.explode(demargin_all(F.col("implied")))).select(*books.columns, F.col("d.method").alias("method"), F.col("d.fair").alias("fair"))
+    return with_fair(books, "implied")

@@ -117,3 +117,33 @@ def test_normal_cdf(spark):
     xs = [-9.0, -3.3, -1.0, -1e-9, 0.0, 0.5, 1.96, 4.0, 8.5]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select(special.normal_cdf(F.col("x")).alias("c")).collect()
     assert [r.c for r in got] == pytest.approx([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in xs], abs=1e-12)
+
+
+def test_solvers_of_batches_agree_with_those_of_columns(spark):
+    from oddsmith.operators import books
+
+    rows = [(i, [p * t / sum(ps) for p in ps]) for i, (t, ps) in enumerate((t, ps) for t in (1.0, 1.0 + 1e-13, 1.02, 1.3) for ps in ((1, 1, 1), (8, 1, 0.2), (1, 3), (30, 1), (5, 2, 1, 1)))]
+    df = spark.createDataFrame([(i, p) for i, p in rows if max(p) < 1] + [(99, None)], "i int, p array<double>")
+    both = df.withColumn("d", F.explode(margin.demargin_all(F.col("p")))).select("i", "d.method", F.col("d.fair").alias("want"))
+    found = margin.with_fair(df, "p").join(both, ["i", "method"])
+    assert found.count() == 4 * df.count()
+    off = F.exists(F.arrays_zip("fair", "want"), lambda z: F.abs(z["fair"] - z["want"]) > 1e-12)
+    assert found.where("i < 99").where(off | (F.size("fair") != F.size("want"))).count() == 0
+    # solvers no longer run inside the plan, row by row
+    plan = margin.with_fair(df, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+
+
+def test_outcomes_without_a_grid(spark):
+    df = spark.createDataFrame([(0.06, 5.9, 0.0), (1.4, 1.1, -0.1), (5.9, 5.9, 0.02), (2.0, 0.3, 0.2)], "l double, m double, r double")
+    found = pricing.with_outcomes(df, "l", "m", "r").withColumn("g", pricing.scoreline_grid(F.col("l"), F.col("m"), F.col("r"))).withColumn("o", pricing.match_odds(F.col("g")))
+    for r in found.select("p_home", "p_draw", "p_away", "p_over25", "o", pricing.over(F.col("g"), 2.5).alias("over")).collect():
+        assert (r.p_home, r.p_draw, r.p_away, r.p_over25) == pytest.approx((r.o.home, r.o.draw, r.o.away, r.over), abs=1e-13)
+    plan = pricing.with_outcomes(df, "l", "m", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
+def test_matches_of_one_file_go_to_all_tasks(spark):
+    from oddsmith.plans import surrogate
+
+    assert surrogate.matches(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
