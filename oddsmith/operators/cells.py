@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, staking
 from ..functions.margin import METHODS
-from ..functions.special import total
-from ..schema import MATCH_KEYS
+from ..schema import MATCH_KEYS, OUTCOMES
 from ..sources.shared import written
 from . import guards
 from .books import CELL, fair_books, margined
@@ -67,11 +66,16 @@ def settlements(chosen: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def flat_bets(scored_books: DataFrame) -> DataFrame:
-    """Add n_bets and profit of unit stakes on a book's value selections, summed within the row's arrays."""
-    zipped = F.transform(F.arrays_zip("model", "fair", "prices"), lambda s, i: F.when(
-        staking.selected(s["model"], s["fair"]), staking.profit(F.lit(1.0), s["prices"], i == F.col("realised"))))
-    made = F.filter(zipped, lambda x: x.isNotNull())
-    return scored_books.withColumn("n_bets", F.size(made).cast("long")).withColumn("profit", total(made))
+    """Add n_bets and profit of unit stakes on a book's value selections. The outcomes are spelled out, as a market has few and
+    plain arithmetic is compiled."""
+
+    def bet(i: int) -> Column:
+        model, fair, price = (F.get(c, F.lit(i)) for c in ("model", "fair", "prices"))
+        return F.when(staking.selected(model, fair), staking.profit(F.lit(1.0), price, F.col("realised") == i))
+
+    bets = [bet(i) for i in range(max(map(len, OUTCOMES.values())))]
+    n_bets = reduce(lambda x, y: x + y, [b.isNotNull().cast("long") for b in bets])
+    return scored_books.withColumns({"n_bets": n_bets, "profit": reduce(lambda x, y: x + y, [F.coalesce(b, F.lit(0.0)) for b in bets])})
 
 
 def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int = 1, order: str = "seq", strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
@@ -82,6 +86,7 @@ def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int =
     written to the shared folder as the means and the test both read it.
     """
     group = [*CELL, "method"]
+    books = written(books, "books")  # for the scores and for those that carry no margin
     rows = flat_bets(scored(forecasts, books, strict, seen)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
     rows = written(rows, "cell-rows")
     means = rows.groupBy(*group).agg(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.special import normal_cdf
 from ..sources.shared import written
@@ -18,6 +21,21 @@ def default_lag(n: Column) -> Column:
 BLOCK = 4096  # places of a series that one row of newey_west holds
 
 
+@F.arrow_udf(T.DoubleType())
+def _block_sum(values: pa.Array, lags: pa.Array, owns: pa.Array) -> pa.Array:
+    """A block's part of the weighted autocovariances: its own values' products with themselves and the next ones up to the lag."""
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(values.value_lengths().to_numpy())
+    out = []
+    for end, size, lag, own in zip(ends, values.value_lengths().to_numpy(), lags.to_numpy(), owns.to_numpy()):
+        c = flat[end - size : end]
+        found = c[:own] @ c[:own]
+        for k in range(1, lag + 1):
+            later = c[k : own + k]
+            found += 2 * (1 - k / (lag + 1.0)) * (c[: len(later)] @ later)
+        out.append(found)
+    return pa.array(out, pa.float64())
+
+
 def newey_west(series: DataFrame, by: list[str], order: str | list[str], value: str, lag: int | None = None) -> DataFrame:
     """by, n, lag, mean, variance: long-run variance with falling weights; autocovariances are divided by n, not below 0.
 
@@ -37,11 +55,7 @@ def newey_west(series: DataFrame, by: list[str], order: str | list[str], value:
     held = rows.groupBy(*by, "_block").agg(F.first("lag").alias("lag"), F.first("_b").alias("_b"), F.array_sort(F.collect_list("_x")).alias("_x"))
     values = F.transform("_x", lambda x: x["_c"])
     held = held.select(*by, "lag", values.alias("_c"), F.size(F.filter("_x", lambda x: x["_t"] < (F.col("_block") + 1) * F.col("_b"))).alias("_own"))
-    ahead = lambda i: F.slice("_c", i + 2, F.col("lag"))
-    weighted = lambda i: F.aggregate(
-        F.transform(ahead(i), lambda c, k: c * (1 - (k + 1) / (F.col("lag") + 1.0))), F.lit(0.0), lambda a, x: a + x)
-    terms = F.transform(F.slice("_c", 1, F.col("_own")), lambda c, i: c * c + F.when(F.col("lag") > 0, 2 * c * weighted(i)).otherwise(0.0))
-    total = held.groupBy(*by).agg(F.sum(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).alias("_s"))
+    total = held.groupBy(*by).agg(F.sum(_block_sum("_c", "lag", "_own")).alias("_s"))
     return ranged.join_same(size, total, by).select(*by, "n", "lag", "mean", F.greatest(F.lit(0.0), F.col("_s") / F.col("n")).alias("variance"))
 
 
