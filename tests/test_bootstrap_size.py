@@ -78,3 +78,20 @@ def test_shares_of_one_series_do_not_show(monkeypatch, spark):
     monkeypatch.setattr(bootstrap, "RANKING", (1, 0))
     assert [sorted(map(str, r().collect())) for r in runs] == alone
     assert runs[0]().limit(0).count() == 0 and bootstrap.pair_bootstrap(df.limit(0), ["g"], ["i"], "x", "y", 7).count() == 0
+
+
+def test_rows_shipped_do_not_grow_with_the_square(monkeypatch, spark):
+    """However many draws a series takes, its rows go to two tasks' worth of shares at most, and one pass tells where they begin."""
+    passed = []
+    real = bootstrap.stationary_starts
+    monkeypatch.setattr(bootstrap, "stationary_starts", lambda n, firsts, *rest: (passed.append(n), real(n, firsts, *rest))[1])
+    starts = bootstrap.stationary_starts(50, [0, 3, 7], 11, 10)
+    x = np.random.default_rng(1).normal(size=50)
+    whole = bootstrap.stationary_means(x, starts[0], 0, 10, 5.0)
+    assert (np.concatenate([bootstrap.stationary_means(x, s, a, b, 5.0) for s, a, b in zip(starts, (0, 3, 7), (3, 7, 10))]) == whole).all() and passed == [50]
+    monkeypatch.setattr(bootstrap, "DRAWS", 1)
+    df = spark.createDataFrame([(i, float(i)) for i in range(40)], "i int, x double").withColumn("g", F.lit(1))
+    shares = bootstrap.stationary_bootstrap(df, ["g"], ["i"], "x", 7, 300)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    plan = spark.read.parquet(next(f.split("/part-")[0] for f in shares.inputFiles() if "/shares-" in f))
+    assert plan.first()["_parts"] == 2 * tasks
