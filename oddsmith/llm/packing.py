@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, materialize
-from .tokens import encoder, public_path
+from .tokens import CHUNK, MOST, encoder, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -53,12 +53,12 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document; only longer documents are cut."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path or public_path(VOCABULARY))
+        encode = encoder(path or public_path(VOCABULARY), most, chunk)
         for batch in batches:
             rows = []
             for doc, ids in zip(batch["doc_id"], encode(batch["text"])):
@@ -73,7 +73,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | No
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(cut), PIECES)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 65_536) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 65_536, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
     """Pack all documents (doc_id, text; other columns are ignored) into as few sequences as the method finds.
 
     Returns one row per piece: doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32,
@@ -85,8 +85,10 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path:
     Pieces are dealt by hash to groups of about group_rows; each group is packed on its own in one task, so memory
     and time of a task stay bounded while the number of groups follows the input. A group leaves at most a few
     sequences partly filled, which is less than one in ten thousand of its sequences.
+
+    most and chunk bound the encoder's memory, see WordCachedEncoder: less of either takes more time and gives the same rows.
     """
-    pieces = materialize(tokenised_pieces(docs, capacity, end_id, path), "pieces")
+    pieces = materialize(tokenised_pieces(docs, capacity, end_id, path, most, chunk), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
 

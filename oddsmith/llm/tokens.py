@@ -11,6 +11,7 @@ import numpy as np
 
 _ENCODERS: dict = {}
 CHUNK = 12_000_000  # characters that are worked on at a time; a longer text is a chunk of its own
+MOST = 600_000  # pieces of a generation of the cache
 MARKS = ".,!?;:*%&#$|"
 _CUT = "\x00"
 
@@ -69,14 +70,15 @@ class WordCachedEncoder:
     there, each different piece is encoded once, and the ids are joined. Marks that end a piece of letters are a pre-token
     of their own and are cut off. A word of letters alone is one pre-token, so the library's merges are applied to it
     without the vocabulary's patterns and normalisation; where the vocabulary lowers case, texts are lowered first. Texts
-    with other runs of white space are encoded whole where it isn't dropped. The cache holds at most 2 * `most` pieces,
-    which bounds memory and changes no result.
+    with other runs of white space are encoded whole where it isn't dropped. The cache holds two generations of `most` pieces,
+    each with those of the `chunk` of characters that fills it; both bound memory and change no result.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = MOST, chunk: int = CHUNK):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.chunk = chunk
         self.tokenizer = Tokenizer.from_file(path)
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_spaces = ids(" a") == ids("a")
@@ -150,7 +152,7 @@ class WordCachedEncoder:
             for t in texts:
                 held.append(t or "")
                 size += len(held[-1])
-                if size >= CHUNK:
+                if size >= self.chunk:
                     out += self._ids(held)
                     held, size = [], 0
             return out + self._ids(held) if held else out
@@ -210,11 +212,12 @@ class WordCachedEncoder:
         return out
 
 
-def encoder(path: str) -> WordCachedEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCachedEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = MOST, chunk: int = CHUNK) -> WordCachedEncoder:
+    """One encoder for each vocabulary, size and Python worker."""
+    key = path, most, chunk
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordCachedEncoder(*key)
+    return _ENCODERS[key]
 
 
 def public_path(name: str) -> str:

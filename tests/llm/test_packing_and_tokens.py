@@ -25,6 +25,14 @@ def test_cached_encoding_is_that_of_the_library(name):
             assert ids == np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_the_cache_is_bounded_by_chunks():
+    """The pieces of all texts of a call were held, however few the cache should hold."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(200)]
+    small, plain = WordCachedEncoder(public_path("word_bpe_49k.json"), most=100, chunk=500), encoder(public_path("word_bpe_49k.json"))
+    assert small(texts) == plain(texts)
+    assert len(small.cache) + len(small.cache.old) <= 2 * (100 + 500)
+
+
 def test_place():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 101, 3000)
