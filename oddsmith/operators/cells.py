@@ -78,25 +78,40 @@ def flat_bets(scored_books: DataFrame) -> DataFrame:
     return scored_books.withColumns({"n_bets": n_bets, "profit": reduce(lambda x, y: x + y, [F.coalesce(b, F.lit(0.0)) for b in bets])})
 
 
+def cell_rows(forecasts: DataFrame, books: DataFrame, order: str = "seq", strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
+    """A narrow row per book and method: losses of the model (a) and the benchmark (b), n_bets and profit. strict and seen: as for scored."""
+    rows = flat_bets(scored(forecasts, books, strict, seen))
+    return rows.select(*CELL, "method", "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
+
+
+def cell_means(rows: DataFrame, minimum_matches: int = 1) -> DataFrame:
+    """One row per cell and method of cell_rows: n_matches, model_rps, bench_rps, n_bets, roi. What needs no test reads these only,
+    as one aggregation makes them."""
+    return rows.groupBy(*CELL, "method").agg(
+        F.count(F.lit(1)).alias("n_matches"), F.avg("a").alias("model_rps"), F.avg("b").alias("bench_rps"), F.sum("n_bets").alias("n_bets"),
+        F.try_divide(F.sum("profit"), F.nullif(F.sum("n_bets"), F.lit(0))).alias("roi"),
+    ).where(F.col("n_matches") >= minimum_matches)
+
+
+def cell_tests(rows: DataFrame, minimum_matches: int = 1, order: str = "seq") -> DataFrame:
+    """cell_means with rps_diff, dm_stat and dm_p. The rows are read twice, so they should be a written table."""
+    group = [*CELL, "method"]
+    dm = diebold_mariano(rows, group, list(dict.fromkeys(["kickoff", order]))).select(*group, F.col("mean_difference").alias("rps_diff"), F.col("statistic").alias("dm_stat"), F.col("p_value").alias("dm_p"))
+    return cell_means(rows, minimum_matches).join(dm, group, "left")
+
+
 def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int = 1, order: str = "seq", strict: bool | None = None, seen: Observation | None = None) -> DataFrame:
-    """One row per cell and method: n_matches, model_rps, bench_rps, rps_diff, dm_stat, dm_p, n_bets, roi, n_arbitrage.
+    """One row per cell and method: n_matches, model_rps, bench_rps, n_bets, roi, rps_diff, dm_stat, dm_p, n_arbitrage.
     strict and seen: as for scored.
 
     All cells are evaluated together: one join, one explode by method, then a narrow row per book and method, which is
     written to the shared folder as the means and the test both read it.
     """
-    group = [*CELL, "method"]
     books = written(books, "books")  # for the scores and for those that carry no margin
-    rows = flat_bets(scored(forecasts, books, strict, seen)).select(*group, "kickoff", order, F.col("model_rps").alias("a"), F.col("bench_rps").alias("b"), "n_bets", "profit")
-    rows = written(rows, "cell-rows")
-    means = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_matches"), F.avg("a").alias("model_rps"), F.avg("b").alias("bench_rps"), F.sum("n_bets").alias("n_bets"),
-        F.try_divide(F.sum("profit"), F.nullif(F.sum("n_bets"), F.lit(0))).alias("roi"),
-    ).where(F.col("n_matches") >= minimum_matches)
-    dm = diebold_mariano(rows, group, list(dict.fromkeys(["kickoff", order]))).select(*group, F.col("mean_difference").alias("rps_diff"), F.col("statistic").alias("dm_stat"), F.col("p_value").alias("dm_p"))
+    rows = written(cell_rows(forecasts, books, order, strict, seen), "cell-rows")
     keys = [k for k in ["seq", *MATCH_KEYS] if k in forecasts.columns and k in books.columns]
     lost = books.where(F.col("book_sum") <= 1 + 1e-9).join(forecasts.select(*keys), keys).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_arbitrage"))
-    out = means.join(dm, group, "left").join(lost, CELL, "left")
+    out = cell_tests(rows, minimum_matches, order).join(lost, CELL, "left")
     return out.withColumn("n_arbitrage", F.coalesce("n_arbitrage", F.lit(0)))
 
 

@@ -57,6 +57,21 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     return cells.cell_results(surrogate.forecasts(spark, sf), _books(spark, sf))
 
 
+def _rows(spark: SparkSession, sf: str) -> DataFrame:
+    return cells.cell_rows(surrogate.forecasts(spark, sf), _books(spark, sf))
+
+
+def _means(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells' results without tests and counts of arbitrage, where these aren't wanted."""
+    return cells.cell_means(_rows(spark, sf))
+
+
+def _spreads_and_margins(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """per_cell and book_margins from books that are made once."""
+    b = written(_books(spark, sf), "books")
+    return cells.per_cell(cells.cell_means(cells.cell_rows(surrogate.forecasts(spark, sf), b))), books.book_margins(b)
+
+
 @query(f"select seq, book, market, period, outcome, {d('decimal')} from odds")
 def ingest_unpivot_odds(spark, sf):
     """Wide price columns unpivoted through the registry: the header names decide book, market, outcome and period."""
@@ -399,7 +414,7 @@ def spearman(spark, sf):
 
 @query(f"select league, book, market, round(rps_spread / nullif(gap, 0), 4) as share from percell join (select league, book, market, max(model_rps) - avg(bench_rps) as gap from results group by all) using (league, book, market)")
 def spread_share(spark, sf):
-    res = _results(spark, sf)
+    res = written(_means(spark, sf), "means")  # it is read twice
     gap = res.groupBy(*CELL).agg((F.max("model_rps") - F.avg("bench_rps")).alias("gap"))
     return cells.per_cell(res).join(gap, CELL).select(*CELL, F.round(inference.spread_share(F.col("rps_spread"), F.col("gap")), 4).alias("share"))
 
@@ -408,7 +423,7 @@ def spread_share(spark, sf):
 def equivalent_n(spark, sf):
     rows = cells.scored(surrogate.forecasts(spark, sf), _books(spark, sf)).where("method = 'shin'")
     sd = rows.groupBy(*CELL).agg(F.stddev_samp("model_rps").alias("sd"))
-    return cells.per_cell(_results(spark, sf)).join(sd, CELL).select(*CELL, F.round(inference.equivalent_sample_size(F.col("sd"), F.col("rps_spread")), 1).alias("n_equivalent"))
+    return cells.per_cell(_means(spark, sf)).join(sd, CELL).select(*CELL, F.round(inference.equivalent_sample_size(F.col("sd"), F.col("rps_spread")), 1).alias("n_equivalent"))
 
 
 # time and likelihood --------------------------------------------------------------------------------------------------
@@ -564,7 +579,7 @@ _SHOWN = ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in ("roi_spread", "rps_sp
 
 @query(f"select league, book, market, n_matches, {_SHOWN}, n_bets_spread, sign_flip, sign_flip_prop_shin from percell")
 def per_cell_spread(spark, sf):
-    c = cells.per_cell(_results(spark, sf))
+    c = cells.per_cell(_means(spark, sf))
     return c.select(*CELL, "n_matches", *[(F.round(x, 6) + 0.0).alias(x) for x in ("roi_spread", "rps_spread", "roi_min", "roi_max", "roi_proportional", "roi_shin")], "n_bets_spread", "sign_flip", "sign_flip_prop_shin")
 
 
@@ -572,7 +587,7 @@ _BYBOOK = "select book, count(*) as n_cells, avg(mean_book_sum) as margin, avg(r
 
 
 def _by_book(spark: SparkSession, sf: str) -> DataFrame:
-    return report.margin_spread_by_book(cells.per_cell(_results(spark, sf)), books.book_margins(_books(spark, sf)))
+    return report.margin_spread_by_book(*_spreads_and_margins(spark, sf))
 
 
 @query(f"select book, n_cells, round(margin, 7) as margin, round(roi_spread, 6) as roi_spread, round(rps_spread, 7) as rps_spread from ({_BYBOOK})")
@@ -590,19 +605,19 @@ _P2 = "select '{v}' as quantity, count(*) as n_pairs, round(avg(a), 6) as one_x_
 
 @query(_P2.format(v="roi_spread") + " union all " + _P2.format(v="rps_spread"))
 def p2_pairs(spark, sf):
-    t = report.market_comparison(cells.per_cell(_results(spark, sf)))
+    t = report.market_comparison(cells.per_cell(written(_means(spark, sf), "means")))  # it is read twice
     return t.select("quantity", "n_pairs", *[(F.round(c, 6) + 0.0).alias(c) for c in ("one_x_two", "over_under", "difference", "share_larger")])
 
 
 @query("select league, book, market, n_matches, round(roi_proportional, 6) + 0.0 as roi_proportional, round(roi_shin, 6) + 0.0 as roi_shin, round(roi_spread, 6) as roi_spread from percell where sign_flip_prop_shin order by percell.roi_spread desc, league, book, market limit 20")
 def p3_sign_flips(spark, sf):
-    t = report.sign_flips(cells.per_cell(_results(spark, sf)))
+    t = report.sign_flips(cells.per_cell(_means(spark, sf)))
     return t.select(*CELL, "n_matches", *[(F.round(c, 6) + 0.0).alias(c) for c in ("roi_proportional", "roi_shin")], F.round("roi_spread", 6).alias("roi_spread"))
 
 
 @query("select count(*) filter (sign_flip_prop_shin) as n_prop_shin, count(*) filter (sign_flip) as n_any, round(avg(sign_flip_prop_shin::int), 6) as share_prop_shin, count(*) as n_cells from percell")
 def p3_shares(spark, sf):
-    return report.sign_flip_shares(cells.per_cell(_results(spark, sf))).withColumn("share_prop_shin", F.round("share_prop_shin", 6))
+    return report.sign_flip_shares(cells.per_cell(_means(spark, sf))).withColumn("share_prop_shin", F.round("share_prop_shin", 6))
 
 
 @query("select method, count(*) as n_cells, round(avg(model_rps), 6) as model_rps, round(avg(bench_rps), 6) as bench_rps, round(avg(rps_diff), 6) + 0.0 as rps_diff, round(avg((rps_diff < 0)::int), 6) as favours_model, "
@@ -610,18 +625,18 @@ def p3_shares(spark, sf):
        "select *, least(1.0::double, min(p * n / rk) over (order by rk desc rows unbounded preceding)) as q from ("
        "select *, row_number() over (order by p) as rk, count(p) over () as n from (select *, " + two_sided("dm_stat") + " as p from results))) group by method")
 def dm_table(spark, sf):
-    t = report.method_table(_results(spark, sf))
+    t = report.method_table(cells.cell_tests(written(_rows(spark, sf), "cell-rows")))
     return t.select("method", "n_cells", *[(F.round(c, 6) + 0.0).alias(c) for c in ("model_rps", "bench_rps", "rps_diff", "favours_model", "significant")], "place")
 
 
 @query("select league, count(*) as n_cells, sum(n_matches)::bigint as n_matches from (select distinct league, book, market, n_matches from results) group by league")
 def coverage_table(spark, sf):
-    return report.coverage_table(_results(spark, sf))
+    return report.coverage_table(_means(spark, sf))
 
 
 @query("select count(distinct (league, book, market)) as n_cells, count(distinct league) as n_leagues, count(distinct book) as n_books from results")
 def summary_counts(spark, sf):
-    return report.summary(_results(spark, sf))
+    return report.summary(_means(spark, sf))
 
 
 @query(f"select arg_min(half_life_days, mean_rps_paired) as best_half_life, round(min(mean_rps_paired), {M}) as best, round(max(mean_rps_paired) - min(mean_rps_paired), {M}) as \"range\", round(arg_max(mean_rps_paired, half_life_days), {M}) as no_decay, round(arg_min(mean_rps_paired, half_life_days), {M}) as fastest from ({_PAIRED})")
@@ -631,7 +646,7 @@ def calibration_curve(spark, sf):
 
 @query("select league, book, market, round(roi_spread, 6) as roi_spread from percell order by percell.roi_spread desc nulls last, league, book, market limit 1")
 def divergence_target(spark, sf):
-    return report.divergence_target(cells.per_cell(_results(spark, sf))).withColumn("roi_spread", F.round("roi_spread", 6))
+    return report.divergence_target(cells.per_cell(_means(spark, sf))).withColumn("roi_spread", F.round("roi_spread", 6))
 
 
 @query("select seq, book, market, (list_position(implied, list_min(implied)) - 1)::int as longshot from books")
@@ -641,12 +656,12 @@ def longshot_index(spark, sf):
 
 @query("select method, least(16, 1 + floor((roi + 0.5) * 16))::int as bin, count(*) as n from results where roi between -0.5 and 0.5 group by all")
 def roi_histogram(spark, sf):
-    return report.roi_histogram(_results(spark, sf), -0.5, 0.5)
+    return report.roi_histogram(_means(spark, sf), -0.5, 0.5)
 
 
 @query("select round(avg((model_rps > bench_rps)::int), 6) as share_above, count(*) as n from results where method = 'proportional'")
 def share_above_diagonal(spark, sf):
-    return report.share_above_diagonal(_results(spark, sf)).withColumn("share_above", F.round("share_above", 6))
+    return report.share_above_diagonal(_means(spark, sf)).withColumn("share_above", F.round("share_above", 6))
 
 
 @query(f"select league, book, market, method, round(avg(bench_rps), 7) as bench_rps, round(avg(model_rps), 7) as model_rps, count(*) as n_matches from scored where method in ('proportional', 'shin') group by all")
@@ -781,7 +796,7 @@ def stationary_bootstrap(spark, sf):
 
 
 def _margin_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return report.margin_pairs(cells.per_cell(_results(spark, sf)), books.book_margins(_books(spark, sf))).withColumn("one", F.lit(1))
+    return report.margin_pairs(*_spreads_and_margins(spark, sf)).withColumn("one", F.lit(1))
 
 
 @query()
@@ -796,7 +811,7 @@ def cluster_bootstrap_correlation(spark, sf):
 
 @query()
 def bootstrap_mean_difference(spark, sf):
-    pairs = report.market_pairs(cells.per_cell(_results(spark, sf)), "roi_spread").withColumn("one", F.lit(1))
+    pairs = report.market_pairs(cells.per_cell(_means(spark, sf)), "roi_spread").withColumn("one", F.lit(1))
     return _interval(bootstrap.mean_difference_bootstrap(pairs, ["one"], ["league", "book"], "one_x_two", "over_under", 3), ["one"])
 
 
