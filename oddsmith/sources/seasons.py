@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .registry import ALIAS_GROUPS, registry
+from .shared import written
 
 # Spellings that stand for a missing text.
 MISSING = ("nan", "NaN", "NAN", "None", "NaT", "<NA>", "null", "NULL")
@@ -73,11 +74,18 @@ def _fields(line: Column) -> Column:
 
 
 def parsed_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, rows): per file its header array and width; per record its fields with its number."""
-    lines = files.withColumn("lines", records(F.col("text")))
-    headers = lines.select("path", "season", "league", _fields(F.coalesce(F.get("lines", F.lit(0)), F.lit(""))).alias("header"), (F.trim("text") == "").alias("empty"))
-    rows = lines.select("path", "season", "league", F.posexplode("lines").alias("line", "raw")).where("line > 0 and trim(raw) <> ''")
-    return headers, rows.select("path", "season", "league", "line", _fields(F.col("raw")).alias("fields"))
+    """(headers, rows): per file its header array and width; per record its fields with its number.
+
+    A file is split into records in one task and once. Its records are dealt to all tasks, which take them apart and write them to
+    the shared folder, as the checks and the tidy tables all read them.
+    """
+    lines = files.select("path", "season", "league", (F.trim("text") == "").alias("empty"), F.posexplode_outer(records(F.col("text"))).alias("line", "raw"))
+    lines = lines.where("coalesce(line, 0) = 0 or trim(raw) <> ''")
+    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.sparkSession.sparkContext.defaultParallelism)
+    # the number is stated, lest records be merged for being few bytes: they are much work
+    parsed = written(lines.repartition(n, "path", "line").withColumn("fields", _fields(F.coalesce("raw", F.lit("")))).drop("raw"), "records")
+    headers = written(parsed.where("coalesce(line, 0) = 0").select("path", "season", "league", F.col("fields").alias("header"), "empty"), "headers")
+    return headers, parsed.where("line > 0").select("path", "season", "league", "line", "fields")
 
 
 def header_problems(headers: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -87,17 +95,18 @@ def header_problems(headers: DataFrame, rows: DataFrame, known: DataFrame) -> Da
     repeated = names.groupBy("path", "name").count().where("count > 1").groupBy("path").agg(F.concat(F.lit("repeated columns: "), F.array_join(F.sort_array(F.collect_list("name")), ", ")).alias("reason"))
     widths = headers.select("path", F.size("header").alias("width"), "header")
     joined = rows.join(widths, "path")
-    wide = F.max(F.size("fields") > F.col("width")).over(Window.partitionBy("path"))
     beyond = F.exists(F.slice("fields", F.col("width") + 1, F.greatest(F.size("fields") - F.col("width"), F.lit(0))), lambda x: clean_text(x) != "")
     unnamed = F.exists(F.arrays_zip("header", "fields"), lambda z: (z["header"] == "") & (clean_text(z["fields"]) != ""))
-    padded = joined.withColumn("wide", wide).where(beyond | (F.col("wide") & unnamed)).select("path", F.lit("data in unnamed columns").alias("reason")).distinct()
+    div = _cell("Div")
+    flags = {"wide": F.size("fields") > F.col("width"), "beyond": beyond, "unnamed": unnamed, "other": (div != "") & (div != F.col("league"))}
+    seen = joined.groupBy("path").agg(*[F.bool_or(c).alias(k) for k, c in flags.items()])
+    reasons = F.array(F.when(F.expr("beyond or (wide and unnamed)"), "data in unnamed columns"), F.when(F.col("other"), "another league's rows"))
+    found = seen.select("path", F.explode(reasons).alias("reason")).where("reason is not null")
     empty = headers.where("empty").select("path", F.lit("empty file").alias("reason"))
     undated = headers.where(~F.array_contains("header", "Date") & ~F.col("empty")).select("path", F.lit("no Date column").alias("reason"))
     goals = headers.where("not empty and not (arrays_overlap(header, array('FTHG', 'HG')) and arrays_overlap(header, array('FTAG', 'AG')))").select("path", F.lit("no goal columns").alias("reason"))
     teams = headers.where("not empty and not (arrays_overlap(header, array('HomeTeam', 'HT')) and arrays_overlap(header, array('AwayTeam', 'AT')))").select("path", F.lit("no team columns").alias("reason"))
-    div = _cell("Div")
-    other = joined.select("path", "league", div.alias("div")).where((F.col("div") != "") & (F.col("div") != F.col("league"))).select("path", F.lit("another league's rows").alias("reason")).distinct()
-    return reduce(DataFrame.unionByName, [repeated, padded, empty, undated, goals, teams, other], unknown)
+    return reduce(DataFrame.unionByName, [repeated, found, empty, undated, goals, teams], unknown)
 
 
 def _cell(*names: str) -> Column:
@@ -132,15 +141,23 @@ def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = Non
     problems = header_problems(headers, rows, known)
     if untold is not None:
         problems = problems.unionByName(untold)
-    good = rows.join(headers.select("path", "header"), "path").join(problems.select("path").distinct(), "path", "left_anti")
+    own = headers.join(price_columns(headers, known), "path", "left").join(problems.select("path").distinct(), "path", "left_anti")
+    good = rows.join(written(own.select("path", "header", "priced"), "usable"), "path")
     number = lambda c: c.try_cast("double")
     tidy = good.select(
-        "path", "line", "header", "fields", "league", "season", parse_kickoff(_cell("Date"), _cell("Time")).alias("kickoff"),
+        "path", "line", "priced", "fields", "league", "season", parse_kickoff(_cell("Date"), _cell("Time")).alias("kickoff"),
         _cell("HomeTeam", "HT").alias("home"), _cell("AwayTeam", "AT").alias("away"), number(_cell("FTHG", "HG")).alias("hg"), number(_cell("FTAG", "AG")).alias("ag"),
     ).where("kickoff is not null and home <> '' and away <> '' and hg >= 0 and ag >= 0")
     matches = tidy.select("league", "season", "kickoff", "home", "away", F.col("hg").cast("long").alias("home_goals"), F.col("ag").cast("long").alias("away_goals"))
-    cells = tidy.select("league", "season", "kickoff", "home", "away", "header", F.explode(F.arrays_zip("header", "fields")).alias("z"))
-    return matches, price_rows(cells.withColumns({"name": F.col("z.header"), "value": F.col("z.fields")}), known), problems
+    cells = tidy.select("league", "season", "kickoff", "home", "away", "fields", F.explode("priced").alias("z"))
+    return matches, _payable(cells.select("*", "z.*", clean_text(F.get("fields", F.col("z.at"))).try_cast("double").alias("decimal"))), problems
+
+
+def price_columns(headers: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, priced): the price columns of each file that has some, told once a file and not for each of its fields."""
+    names = headers.select("path", "header", F.posexplode("header").alias("at", "name")).where(~suppressed(F.col("header"), F.col("name")))
+    names = names.join(F.broadcast(known.where("kind = 'odds'")), "name")
+    return names.groupBy("path").agg(F.collect_list(F.struct("at", "book", "market", "period", "outcome")).alias("priced"))
 
 
 def suppressed(header: Column, name: Column) -> Column:
@@ -156,8 +173,12 @@ def price_rows(cells: DataFrame, known: DataFrame, keep: tuple[str, ...] = ()) -
     priced = known.where("kind = 'odds'").drop("kind")
     decimal = clean_text(F.col("value")).try_cast("double")
     out = cells.where(~suppressed(F.col("header"), F.col("name"))).join(F.broadcast(priced), "name").withColumn("decimal", decimal)
+    return _payable(out, keep)
+
+
+def _payable(prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     payable = (F.col("decimal") > 1) & (F.col("decimal") < float("inf")) & ~F.isnan("decimal")
-    return out.where(payable).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal", *keep)
+    return prices.where(payable).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal", *keep)
 
 
 def digests(files: DataFrame) -> DataFrame:
