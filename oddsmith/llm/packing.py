@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize
+from .common import arrow_batches, give_back, lean, materialize
 from .tokens import CHUNK, MOST, encoder, public_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,8 +53,9 @@ def place(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every piece of every document; only longer documents are cut."""
+def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None, most: int = MOST, chunk: int = CHUNK, trim: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every piece of every document; only longer documents are cut.
+    trim: freed memory goes back to the system after each batch, not only at a partition's end."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,11 +70,14 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | No
                     rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
+            if trim:
+                del batch, rows, out
+                give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(cut), PIECES)
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 65_536, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path: str | None = None, group_rows: int = 65_536, most: int = MOST, chunk: int = CHUNK, batch_rows: int | None = None) -> DataFrame:
     """Pack all documents (doc_id, text; other columns are ignored) into as few sequences as the method finds.
 
     Returns one row per piece: doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32,
@@ -86,9 +90,11 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, path:
     and time of a task stay bounded while the number of groups follows the input. A group leaves at most a few
     sequences partly filled, which is less than one in ten thousand of its sequences.
 
-    most and chunk bound the encoder's memory, see WordCachedEncoder: less of either takes more time and gives the same rows.
+    most and chunk bound the encoder's memory, see WordCachedEncoder, and batch_rows that of the texts a worker is sent at a
+    time (None: the session's setting): less of any takes more time and gives the same rows.
     """
-    pieces = materialize(tokenised_pieces(docs, capacity, end_id, path, most, chunk), "pieces")
+    with arrow_batches(docs.sparkSession, batch_rows):
+        pieces = materialize(tokenised_pieces(docs, capacity, end_id, path, most, chunk, bool(batch_rows)), "pieces")
     groups = max(1, -(-pieces.count() // group_rows))
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
 

@@ -76,7 +76,7 @@ class WordCachedEncoder:
 
     def __init__(self, path: str, most: int = MOST, chunk: int = CHUNK):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.chunk = chunk
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,8 +85,7 @@ class WordCachedEncoder:
         self.lowers = ids("A") == ids("a")
         self.cache, self.tails = _Seen(most), {}
         self.simple = re.compile(_SIMPLE)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.bare = Tokenizer(self.tokenizer.model)  # one model in memory; words of letters hold no added token
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = _byte_letters()
         self.letters = {b: c for b, c in letters.items() if b != 10}

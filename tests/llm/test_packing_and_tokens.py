@@ -2,6 +2,7 @@ import bisect
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import documents, empty, rows
@@ -75,6 +76,22 @@ def test_pack_documents(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_packing_in_the_pipeline_sends_few_texts_at_a_time(spark, monkeypatch):
+    """Workers were sent 10,000 whole texts at a time, whatever the encoder's own bounds."""
+    setting, sent = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, written = spark.conf.get(setting), packing.materialize
+
+    def noted(df, name):
+        sent.append((name, int(spark.conf.get(setting))))
+        return written(df, name)
+
+    monkeypatch.setattr(packing, "materialize", noted)
+    got = corpus_pipeline.pack(spark, documents(spark), "").collect()
+    assert sent == [("pieces", 500)] and spark.conf.get(setting) == before
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, packing.pack_documents(documents(spark), batch_rows=7).collect()))
+
+
 def test_range_coder():
     rng = np.random.default_rng(2)
     ids = [rng.zipf(1.3, n).astype(np.int64) % 50257 for n in (0, 1, 700, 5000, 3)] + [np.full(900, 65535), np.tile([5, 9, 11], 400)]
