@@ -1,19 +1,20 @@
-"""Token ids as compact binary segments: an adaptive context-mixing range coder in independently reset blocks.
+"""Token ids as compact binary segments: an adaptive context-mixing range coder in groups of blocks that are reset independently.
 
 Format of a segment (all integers little-endian):
 
-    magic "OSRC", version u16, block ids u16, blocks u32, documents u32, crc32 of the tables u32,
+    magic "OSRC", version u16, block ids u16, blocks u32, documents u32, crc32 of the group and the tables u32, group u16,
     block table: per block ids u32, payload bytes u32, crc32 of its ids (u32 each) u32,
     document table: per document doc_id i64 (the least number for null), ids u32,
     payloads in order.
 
 A block codes its ids one by one. Order-2 and order-1 tables, indexed by a hash of the ids before, name the id that came
-last after that context, with a count of its hits. The more trusted of the two is the candidate. Three estimates that it
-is next - the hit rates of the order-2 and order-1 counts, and the candidate's standing in the block's order-0
-statistics - are mixed in the logistic domain with weights that learn; the mix drives a binary range coder. On a miss
-the id is coded by the order-0 statistics of its high and its low byte. All state starts anew in each block, so blocks
-are independent: they are coded side by side, a lane each, in integer vector arithmetic, which gives the same bytes on
-any machine.
+last after that context, with a trust that its hits raise. The more trusted of the two is the candidate. Three estimates that it
+is next - the hit rates of the order-2 and order-1 trusts, and the candidate's standing in the order-0 statistics - are mixed in
+the logistic domain with weights that learn; the mix drives a binary range coder. On a miss the id is coded by the order-0
+statistics of its high and its low byte. `group` consecutive blocks have tables and statistics in common and go through them
+in step, an id of each at a time; rates and order-0 statistics are counted up between refreshes. Weights are each block's own.
+All state starts anew in each group, so groups are independent: they are coded side by side, a lane for each block, in
+arithmetic that gives the same bytes on any machine.
 """
 
 from __future__ import annotations
@@ -24,42 +25,60 @@ import zlib
 import numpy as np
 
 MAGIC = b"OSRC"
-HEADER = struct.Struct("<4sHHIII")
+HEADER = struct.Struct("<4sHHIIIH")
 NO_ID = -(1 << 63)
 BLOCK = 1024
-TABLE_BITS = 8
-TABLE = 1 << TABLE_BITS  # contexts of an order
+TABLE_BITS = 11
+TABLE = 1 << TABLE_BITS  # contexts of an order and group
 TOP, BITS = 1 << 24, 12
-REFRESH = 128  # ids between two rebuilds of the order-0 intervals
+REFRESH = 64  # ids of a lane between two rebuilds of the order-0 statistics
+EARLY = {1, 2, 4, 8, 16, 32}  # and steps with one before
+GROUP = 64  # blocks that learn together
 ONE = 1 << BITS
 
 _x = np.arange(4096)
 _p = (_x + 0.5) / 4096
 STRETCH = np.clip(np.rint(np.log(_p / (1 - _p)) * 256), -2047, 2047).astype(np.int32)
 SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-(_x - 2048) / 256))), 1, 4095).astype(np.int32)
+#: Trust after a miss and, from 8 on, after a hit.
+TRUST = np.array([max(x >> 1, 1) for x in range(8)] + [min(x + 1, 7) for x in range(8)], np.int32)
 
 
 class _Model:
-    """The state of all lanes, in flat arrays."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.base = np.arange(lanes, dtype=np.int32) * TABLE
-        self.base8 = np.arange(lanes, dtype=np.int32) * 8
-        self.base256 = np.arange(lanes, dtype=np.int32) * 256
-        self.id2, self.id1 = np.zeros(lanes * TABLE, np.uint16), np.zeros(lanes * TABLE, np.uint16)
-        self.sure2, self.sure1 = np.zeros(lanes * TABLE, np.int8), np.zeros(lanes * TABLE, np.int8)
-        self.rate2 = np.tile(np.arange(8, dtype=np.int32) * 450 + 200, lanes)
-        self.rate1 = np.tile(np.arange(8, dtype=np.int32) * 400 + 150, lanes)
+    """The state of all lanes, in flat arrays. Lanes of a group have tables and order-0 statistics in common; where two of them
+    write one entry in a step, the later lane's stays."""
+
+    def __init__(self, lanes: int, group: int):
+        self.n = -(-lanes // group)
+        self.of = np.arange(lanes) // group
+        self.base, self.base256, self.base16 = self.of * TABLE, self.of * 256, self.of * 16
+        self.table2, self.table1 = np.zeros(self.n * TABLE, np.int32), np.zeros(self.n * TABLE, np.int32)  # id << 3 | trust
+        # misses and hits by trust, 16 of each group: those of an order start at the rates that are usual
+        usual = [np.arange(8) * a + b for a, b in ((450, 200), (400, 150))]
+        self.tried2, self.tried1 = (np.tile(np.r_[4096 - u, u] >> 6, self.n) for u in usual)
         self.weights = [np.full(lanes, w, np.int32) for w in (22000, 16000, 6000)]
-        self.seen = np.zeros(lanes * 256, np.int32)  # order-0 standing by a hash of the id
-        self.high, self.low = np.ones(lanes * 256, np.int32), np.ones(lanes * 256, np.int32)
+        self.seen = np.zeros(self.n * 256, np.int64)  # ids so far by a hash of the id
+        self.standing = np.full(self.n * 256, STRETCH[64], np.int32)
+        self.high, self.low = np.ones(self.n * 256, np.int64), np.ones(self.n * 256, np.int64)
+        self.fresh: list[tuple[np.ndarray, ...]] = []  # ids and tries since the last refresh
         self.last1, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.step = 0
         self.refresh()
 
     def refresh(self) -> None:
-        """Cumulative intervals from the counts, scaled to 2**16 with at least 1 each; the same in coder and decoder."""
+        """Cumulative intervals from the counts, scaled to 2**16 with at least 1 each, and standings; the same in coder and decoder."""
+        if self.fresh:
+            ids, try2, try1 = (np.stack(x) for x in zip(*self.fresh))
+            self.fresh = []
+            for name, at, more in (("seen", self.slot(ids) + self.base256, 1), ("high", (ids >> 8) + self.base256, 24), ("low", (ids & 255) + self.base256, 24), ("tried2", try2, 1), ("tried1", try1, 1)):
+                counts = getattr(self, name)
+                counts += np.bincount(at.ravel(), minlength=len(counts)) * more
+            share = self.seen.reshape(self.n, 256) * 3072 // (self.seen.reshape(self.n, 256).sum(axis=1, keepdims=True) + 8)
+            self.standing = STRETCH.take(np.minimum(share + 64, 4095).ravel())
+        for order in (2, 1):
+            tried = getattr(self, f"tried{order}").reshape(self.n, 2, 8)
+            rate = STRETCH.take(tried[:, 1] * 4080 // tried.sum(axis=1) + 8)
+            setattr(self, f"rate{order}", np.concatenate([rate, rate], axis=1).ravel())  # 16 apart, as tries are
         for name in ("high", "low"):
             c = getattr(self, name).reshape(self.n, 256)
             # one rounding each of a quotient and a product: the same on any machine with IEEE doubles
@@ -73,19 +92,17 @@ class _Model:
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Candidate of each lane and its probability in 1/4096."""
         mixed = self.last1 * np.uint32(0x85EBCA6B)
-        self.at1 = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.int32) + self.base
-        self.at2 = ((mixed ^ self.last2 * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS)).astype(np.int32) + self.base
-        self.c1, self.c2 = self.id1.take(self.at1).astype(np.int32), self.id2.take(self.at2).astype(np.int32)
-        self.s1, self.s2 = self.sure1.take(self.at1), self.sure2.take(self.at2)
+        self.at1 = (mixed >> np.uint32(32 - TABLE_BITS)) + self.base
+        self.at2 = ((mixed ^ self.last2 * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS)) + self.base
+        e1, e2 = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.c1, self.c2, self.s1, self.s2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
         use2 = self.s2 > 0
         candidate = np.where(use2, self.c2, self.c1)
-        self.r1, self.r2 = self.base8 + self.s1, self.base8 + self.s2
-        self.v1, self.v2 = self.rate1.take(self.r1), self.rate2.take(self.r2)
-        in1 = STRETCH.take(self.v1)
+        self.r1, self.r2 = self.base16 + self.s1, self.base16 + self.s2
+        in1 = self.rate1.take(self.r1)
         self.in1 = np.where(self.c1 == candidate, in1, -in1 >> 1)
-        self.in2 = STRETCH.take(self.v2) * use2
-        standing = self.seen.take(self.base256 + self.slot(candidate)) * 3072 // (self.step + 8)
-        self.in0 = STRETCH.take(np.minimum(standing + 64, 4095))
+        self.in2 = self.rate2.take(self.r2) * use2
+        self.in0 = self.standing.take(self.base256 + self.slot(candidate))
         w = self.weights
         total = (w[0] * self.in2 >> 16) + (w[1] * self.in1 >> 16) + (w[2] * self.in0 >> 16)
         total += 2048
@@ -100,26 +117,25 @@ class _Model:
         error = (hit * np.int32(ONE) - self.p) >> 2
         for w, x in zip(self.weights, (self.in2, self.in1, self.in0)):
             w += x * error >> 8
-        for table, sure, rate, at, named, s, r, v in ((self.id2, self.sure2, self.rate2, self.at2, self.c2, self.s2, self.r2, self.v2), (self.id1, self.sure1, self.rate1, self.at1, self.c1, self.s1, self.r1, self.v1)):
-            right = named == ids
-            rate[r] = v + ((right * np.int32(4064) + 16 - v) >> 4)
-            sure[at] = np.where(right, np.minimum(s + 1, 7), np.maximum(s >> 1, 1))
-            table[at] = np.where(s > 1, named, ids)
-        for counts, at, more in ((self.seen, self.slot(ids), 1), (self.high, ids >> 8, 24), (self.low, ids & 255, 24)):
-            at = self.base256 + at
-            counts[at] = counts.take(at) + np.int32(more)
+        tries = []
+        for table, at, named, trust, r in ((self.table2, self.at2, self.c2, self.s2, self.r2), (self.table1, self.at1, self.c1, self.s1, self.r1)):
+            right = (named == ids).view(np.int8) << 3
+            table[at] = np.where(trust > 1, named, ids) << 3 | TRUST.take(trust + right)
+            tries.append(r + right)
+        self.fresh.append((ids, *tries))
         self.last2, self.last1 = self.last1, ids.astype(np.uint32)
         self.step += 1
-        if self.step % REFRESH == 0:
+        if self.step % REFRESH == 0 or self.step in EARLY:
             for w in self.weights:
                 np.clip(w, -(1 << 19), 1 << 19, out=w)
             self.refresh()
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Payloads of blocks; ids: lanes x block, of which row i holds sizes[i] ids. Sizes must fall or stay along the rows."""
+def encode_blocks(ids: np.ndarray, sizes: np.ndarray, group: int = 1) -> list[bytes]:
+    """Payloads of blocks; ids: lanes x block, of which row i holds sizes[i] ids. Sizes must fall or stay along the rows.
+    group: consecutive blocks that learn together; they are decoded together too."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
-    model = _Model(lanes)
+    model = _Model(lanes, group)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
     out = np.zeros((lanes, 4 * longest + 16), np.uint8)
     filled = np.zeros(lanes, np.int64)
@@ -155,9 +171,9 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         low[active], span[active] = v, x
         settle(active[v > 0xFFFFFFFF], active[x < TOP])
 
-    for t in range(longest):
+    steps = np.ascontiguousarray(ids[:, :longest].T, np.int32)
+    for t, own in enumerate(steps):
         live = int(np.searchsorted(-sizes, -t))
-        own = ids[:, t].astype(np.int32)
         candidate, p = model.predict()
         hit = candidate == own
         r = span[:live] >> BITS
@@ -168,7 +184,7 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         if len(miss):
             ids_missed = own.take(miss)
             for cum, symbol in ((model.high_cum, ids_missed >> 8), (model.low_cum, ids_missed & 255)):
-                at = miss * 257 + symbol
+                at = model.of.take(miss) * 257 + symbol
                 a = cum.ravel().take(at)
                 narrow(miss, a, cum.ravel().take(at + 1) - a, 16)
         model.update(own, hit)
@@ -179,10 +195,10 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [out[i, : filled[i]].tobytes() for i in range(lanes)]
 
 
-def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
+def decode_blocks(payloads: list[bytes], sizes: np.ndarray, group: int = 1) -> np.ndarray:
     """Inverse of encode_blocks; places beyond a block's size are zero."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
-    model = _Model(lanes)
+    model = _Model(lanes, group)
     wide = max(map(len, payloads), default=0) + 16
     data = np.zeros((lanes, wide), np.uint8)
     for i, p in enumerate(payloads):
@@ -212,8 +228,8 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
     def symbols(cum: np.ndarray, miss: np.ndarray) -> np.ndarray:
         r = span.take(miss) >> 16
-        want = np.minimum(code.take(miss) // r, 65535).astype(np.int32)
-        flat, place = cum.ravel(), miss * 257
+        want = np.minimum(code.take(miss) / r, 65535).astype(np.int32)  # exact: below 2**32 by below 2**16, in doubles
+        flat, place = cum.ravel(), model.of.take(miss) * 257
         first = place.copy()
         for step in (128, 64, 32, 16, 8, 4, 2, 1):  # the last interval that starts at or below want
             place += step * (flat.take(place + step) <= want)
@@ -248,7 +264,7 @@ _BLOCKS = np.dtype([("ids", "<u4"), ("size", "<u4"), ("crc", "<u4")])
 _DOCUMENTS = np.dtype([("doc_id", "<i8"), ("ids", "<u4")])
 
 
-def write_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK) -> bytes:
+def write_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK, group: int = GROUP) -> bytes:
     """One segment from documents' ids (little-endian unsigned 32-bit)."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     if len(flat) and flat.max() > 0xFFFF:
@@ -260,26 +276,26 @@ def write_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOC
         table["ids"][-1] = len(flat) - block * (n - 1)
         lanes = np.zeros((n, block), np.int32)
         lanes.ravel()[: len(flat)] = flat
-        payloads = encode_blocks(lanes, table["ids"].astype(np.int64))
+        payloads = encode_blocks(lanes, table["ids"].astype(np.int64), group)
         table["size"] = [len(p) for p in payloads]
         table["crc"] = [zlib.crc32(flat[i * block : (i + 1) * block].tobytes()) for i in range(n)]
     documents = np.zeros(len(ids), _DOCUMENTS)
     documents["doc_id"] = [NO_ID if d is None else d for d in doc_ids]
     documents["ids"] = [len(x) // 4 for x in ids]
     tables = table.tobytes() + documents.tobytes()
-    return b"".join([HEADER.pack(MAGIC, 1, block, n, len(ids), zlib.crc32(tables)), tables, *payloads])
+    return b"".join([HEADER.pack(MAGIC, 2, block, n, len(ids), zlib.crc32(tables, group), group), tables, *payloads])
 
 
 def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(documents, ids) of a segment; raises ValueError where a checksum or the form is wrong."""
     if len(image) < HEADER.size:
         raise ValueError("no segment")
-    magic, version, _, blocks, count, crc = HEADER.unpack_from(image)
-    if magic != MAGIC or version != 1:
+    magic, version, _, blocks, count, crc, group = HEADER.unpack_from(image)
+    if magic != MAGIC or version != 2:
         raise ValueError("no segment of this format")
     end = HEADER.size + blocks * _BLOCKS.itemsize
     stop = end + count * _DOCUMENTS.itemsize
-    if zlib.crc32(image[HEADER.size : stop]) != crc:
+    if zlib.crc32(image[HEADER.size : stop], group) != crc or not group:
         raise ValueError("the tables don't match their checksum")
     table = np.frombuffer(image, _BLOCKS, blocks, HEADER.size)
     documents = np.frombuffer(image, _DOCUMENTS, count, end)
@@ -287,7 +303,7 @@ def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     payloads = [image[e - s : e] for e, s in zip(ends.tolist(), table["size"].tolist())]
     if (ends[-1] if blocks else stop) != len(image) or table["ids"].sum() != documents["ids"].sum():
         raise ValueError("the segment isn't whole")
-    lanes = decode_blocks(payloads, table["ids"].astype(np.int64))
+    lanes = decode_blocks(payloads, table["ids"].astype(np.int64), group)
     parts = [row[:n].astype("<u4") for row, n in zip(lanes, table["ids"].tolist())]
     for i, (part, own) in enumerate(zip(parts, table["crc"].tolist())):
         if zlib.crc32(part.tobytes()) != own:

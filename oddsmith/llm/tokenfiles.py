@@ -39,8 +39,8 @@ def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, bl
             return pd.DataFrame({"part": [part], "place": [place], "n_docs": [len(held)], "n_ids": [size], "image": [image]})
 
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                rows = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 3000):
+                rows = batch.iloc[at : at + 3000]
                 for doc, ids in zip(rows["doc_id"], encode_ids(rows["text"])):
                     held_docs.append(None if pd.isna(doc) else int(doc))
                     held.append(ids + end)
