@@ -1,4 +1,6 @@
 import bisect
+import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -34,6 +36,25 @@ def test_the_cache_is_bounded_by_chunks():
     assert len(small.cache) + len(small.cache.old) <= 2 * (100 + 500)
 
 
+def test_known_pieces_are_held_in_arrays():
+    """Each piece and its ids were two Python objects, over 200 bytes, and each lookup of one went through both."""
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(20_000)]
+    texts = [" ".join(names[i : i + 100]) + " Éa ñu\nÀb." for i in range(0, len(names), 100)]
+    fast, plain = WordCachedEncoder(public_path("byte_bpe_50k.json")), Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    fast(texts[:1])
+    tracemalloc.start()
+    try:
+        first = fast(texts)
+        held = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, first))
+    finally:
+        tracemalloc.stop()
+    assert len(fast.cache) > 19_000 and held < 100 * len(fast.cache)
+    assert first == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    fast.cache.most = 10_000  # what is known moves to the old generation, and back as it is met again
+    again = len(fast.cache)
+    assert fast(texts[:50]) == first[:50] and len(fast.cache.old) == again and 4_000 < len(fast.cache) < 6_000
+
+
 def test_place():
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 101, 3000)
