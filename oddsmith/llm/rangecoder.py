@@ -11,7 +11,8 @@ A block codes its ids one by one. Order-2 and order-1 tables, indexed by a hash
 last after that context, with a trust that its hits raise. The more trusted of the two is the candidate. Three estimates that it
 is next - the hit rates of the order-2 and order-1 trusts, and the candidate's standing in the order-0 statistics - are mixed in
 the logistic domain with weights that learn; the mix drives a binary range coder. On a miss the id is coded by the order-0
-statistics of its high and its low byte. `group` consecutive blocks have tables and statistics in common and go through them
+statistics of its high and its low byte. The coder's numbers have 64 bits, so that an id narrows the span once, and 16 bits leave
+at a time; a payload is such words, high byte first, and zeros follow it. `group` consecutive blocks have tables and statistics in common and go through them
 in step, an id of each at a time; rates and order-0 statistics are counted up between refreshes. Weights are each block's own.
 All state starts anew in each group, so groups are independent: they are coded side by side, a lane for each block, in
 arithmetic that gives the same bytes on any machine.
@@ -30,11 +31,14 @@ NO_ID = -(1 << 63)
 BLOCK = 1024
 TABLE_BITS = 11
 TABLE = 1 << TABLE_BITS  # contexts of an order and group
-TOP, BITS = 1 << 24, 12
+BITS, UNITS = 12, 14  # of a hit's probability, and of the order-0 statistics of a byte
+WORD = 16  # bits that leave the coder at a time; a span below 2**48 is widened by so many
 REFRESH = 64  # ids of a lane between two rebuilds of the order-0 statistics
 EARLY = {1, 2, 4, 8, 16, 32}  # and steps with one before
 GROUP = 64  # blocks that learn together
 ONE = 1 << BITS
+_U = np.arange(ONE + 1, dtype=np.uint64)  # numbers of the coder's type
+_LEAST = _U[1] << _U[64 - WORD]
 
 _x = np.arange(4096)
 _p = (_x + 0.5) / 4096
@@ -49,64 +53,65 @@ class _Model:
     write one entry in a step, the later lane's stays."""
 
     def __init__(self, lanes: int, group: int):
-        self.n = -(-lanes // group)
+        n = self.n = -(-lanes // group)
         self.of = np.arange(lanes) // group
-        self.base, self.base256, self.base16 = self.of * TABLE, self.of * 256, self.of * 16
-        self.table2, self.table1 = np.zeros(self.n * TABLE, np.int32), np.zeros(self.n * TABLE, np.int32)  # id << 3 | trust
-        # misses and hits by trust, 16 of each group: those of an order start at the rates that are usual
+        self.base256 = self.of * 256
+        # order 2, then order 1
+        self.base, self.base16 = (np.stack([self.of * k, (self.of + n) * k]) for k in (TABLE, 16))
+        self.table = np.zeros(2 * n * TABLE, np.int32)  # id << 3 | trust
+        # misses and hits by trust, 16 of each order and group: those of an order start at the rates that are usual
         usual = [np.arange(8) * a + b for a, b in ((450, 200), (400, 150))]
-        self.tried2, self.tried1 = (np.tile(np.r_[4096 - u, u] >> 6, self.n) for u in usual)
-        self.weights = [np.full(lanes, w, np.int32) for w in (22000, 16000, 6000)]
-        self.seen = np.zeros(self.n * 256, np.int64)  # ids so far by a hash of the id
-        self.standing = np.full(self.n * 256, STRETCH[64], np.int32)
-        self.high, self.low = np.ones(self.n * 256, np.int64), np.ones(self.n * 256, np.int64)
-        self.fresh: list[tuple[np.ndarray, ...]] = []  # ids and tries since the last refresh
+        self.tried = np.concatenate([np.tile(np.r_[4096 - u, u] >> 6, n) for u in usual])
+        self.weights = np.repeat(np.array([[22000], [16000], [6000]], np.int32), lanes, axis=1)
+        self.inputs = np.empty((3, lanes), np.int32)
+        self.seen = np.zeros(n * 256, np.int64)  # ids so far by a hash of the id
+        self.standing = np.full(n * 256, STRETCH[64], np.int32)
+        self.high, self.low = np.ones(n * 256, np.int64), np.ones(n * 256, np.int64)
+        self.fresh, self.tries = np.empty((REFRESH, lanes), np.int64), np.empty((REFRESH, 2, lanes), np.int64)  # since the last refresh
+        self.count = 0
         self.last1, self.last2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.mixed = np.empty((2, lanes), np.uint32)
         self.step = 0
         self.refresh()
 
     def refresh(self) -> None:
-        """Cumulative intervals from the counts, scaled to 2**16 with at least 1 each, and standings; the same in coder and decoder."""
-        if self.fresh:
-            ids, try2, try1 = (np.stack(x) for x in zip(*self.fresh))
-            self.fresh = []
-            for name, at, more in (("seen", self.slot(ids) + self.base256, 1), ("high", (ids >> 8) + self.base256, 24), ("low", (ids & 255) + self.base256, 24), ("tried2", try2, 1), ("tried1", try1, 1)):
+        """Intervals from the counts, 2**UNITS in all with at least 1 each, and standings; the same in coder and decoder. The last
+        interval is the whole, for lanes that don't code a byte."""
+        if self.count:
+            ids, tries = self.fresh[: self.count], self.tries[: self.count]
+            self.count = 0
+            for name, at, more in (("seen", self.slot(ids) + self.base256, 1), ("high", (ids >> 8) + self.base256, 24), ("low", (ids & 255) + self.base256, 24), ("tried", tries, 1)):
                 counts = getattr(self, name)
                 counts += np.bincount(at.ravel(), minlength=len(counts)) * more
             share = self.seen.reshape(self.n, 256) * 3072 // (self.seen.reshape(self.n, 256).sum(axis=1, keepdims=True) + 8)
             self.standing = STRETCH.take(np.minimum(share + 64, 4095).ravel())
-        for order in (2, 1):
-            tried = getattr(self, f"tried{order}").reshape(self.n, 2, 8)
-            rate = STRETCH.take(tried[:, 1] * 4080 // tried.sum(axis=1) + 8)
-            setattr(self, f"rate{order}", np.concatenate([rate, rate], axis=1).ravel())  # 16 apart, as tries are
+        tried = self.tried.reshape(2 * self.n, 2, 8)
+        rate = STRETCH.take(tried[:, 1] * 4080 // tried.sum(axis=1) + 8)
+        rate[: self.n, 0] = 0  # without trust order 2 has no say
+        self.rate = np.concatenate([rate, rate], axis=1).ravel()  # 16 apart, as tries are
         for name in ("high", "low"):
-            c = getattr(self, name).reshape(self.n, 256)
-            # one rounding each of a quotient and a product: the same on any machine with IEEE doubles
-            f = (c * ((65536 - 256) / c.sum(axis=1, keepdims=True))).astype(np.int32)
-            f += 1
-            f[:, 0] += 65536 - f.sum(axis=1, dtype=np.int32)
-            cum = np.zeros((self.n, 257), np.int32)
-            np.cumsum(f, axis=1, out=cum[:, 1:])
-            setattr(self, f"{name}_cum", cum)
+            upto = np.zeros((self.n, 257), np.int64)
+            np.cumsum(getattr(self, name).reshape(self.n, 256), axis=1, out=upto[:, 1:])
+            upto = upto * ((1 << UNITS) - 256) // upto[:, 256:] + np.arange(257)
+            setattr(self, f"{name}_start", np.append(upto[:, :256], 0).astype(np.uint64))
+            setattr(self, f"{name}_width", np.append(np.diff(upto, axis=1), 1 << UNITS).astype(np.uint64))
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Candidate of each lane and its probability in 1/4096."""
-        mixed = self.last1 * np.uint32(0x85EBCA6B)
-        self.at1 = (mixed >> np.uint32(32 - TABLE_BITS)) + self.base
-        self.at2 = ((mixed ^ self.last2 * np.uint32(0xC2B2AE35)) * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS)) + self.base
-        e1, e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.c1, self.c2, self.s1, self.s2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7
-        use2 = self.s2 > 0
-        candidate = np.where(use2, self.c2, self.c1)
-        self.r1, self.r2 = self.base16 + self.s1, self.base16 + self.s2
-        in1 = self.rate1.take(self.r1)
-        self.in1 = np.where(self.c1 == candidate, in1, -in1 >> 1)
-        self.in2 = self.rate2.take(self.r2) * use2
-        self.in0 = self.standing.take(self.base256 + self.slot(candidate))
-        w = self.weights
-        total = (w[0] * self.in2 >> 16) + (w[1] * self.in1 >> 16) + (w[2] * self.in0 >> 16)
+        np.multiply(self.last1, np.uint32(0x85EBCA6B), out=self.mixed[1])
+        np.multiply(self.mixed[1] ^ self.last2 * np.uint32(0xC2B2AE35), np.uint32(0x9E3779B1), out=self.mixed[0])
+        self.at = (self.mixed >> np.uint32(32 - TABLE_BITS)) + self.base
+        entry = self.table.take(self.at)
+        self.named, self.trust = entry >> 3, entry & 7
+        candidate = np.where(self.trust[0] > 0, self.named[0], self.named[1])
+        self.r = self.base16 + self.trust
+        x = self.inputs
+        self.rate.take(self.r, out=x[:2], mode="clip")
+        x[1] = np.where(self.named[1] == candidate, x[1], -x[1] >> 1)
+        self.standing.take(self.base256 + self.slot(candidate), out=x[2], mode="clip")
+        total = (self.weights * x >> 16).sum(axis=0, dtype=np.int32)
         total += 2048
-        self.p = SQUASH.take(np.minimum(np.maximum(total, 0), 4095))
+        self.p = SQUASH.take(total, mode="clip")
         return candidate, self.p
 
     @staticmethod
@@ -115,19 +120,16 @@ class _Model:
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
         error = (hit * np.int32(ONE) - self.p) >> 2
-        for w, x in zip(self.weights, (self.in2, self.in1, self.in0)):
-            w += x * error >> 8
-        tries = []
-        for table, at, named, trust, r in ((self.table2, self.at2, self.c2, self.s2, self.r2), (self.table1, self.at1, self.c1, self.s1, self.r1)):
-            right = (named == ids).view(np.int8) << 3
-            table[at] = np.where(trust > 1, named, ids) << 3 | TRUST.take(trust + right)
-            tries.append(r + right)
-        self.fresh.append((ids, *tries))
+        self.weights += self.inputs * error >> 8
+        right = (self.named == ids).view(np.int8) << 3
+        self.table[self.at] = np.where(self.trust > 1, self.named, ids) << 3 | TRUST.take(self.trust + right)
+        np.add(self.r, right, out=self.tries[self.count])
+        self.fresh[self.count] = ids
+        self.count += 1
         self.last2, self.last1 = self.last1, ids.astype(np.uint32)
         self.step += 1
         if self.step % REFRESH == 0 or self.step in EARLY:
-            for w in self.weights:
-                np.clip(w, -(1 << 19), 1 << 19, out=w)
+            np.clip(self.weights, -(1 << 19), 1 << 19, out=self.weights)
             self.refresh()
 
 
@@ -136,128 +138,139 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, group: int = 1) -> list[by
     group: consecutive blocks that learn together; they are decoded together too."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     model = _Model(lanes, group)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, 0xFFFFFFFF, np.int64)
-    out = np.zeros((lanes, 4 * longest + 16), np.uint8)
-    filled = np.zeros(lanes, np.int64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out = np.zeros((3 * longest + 8, lanes), np.uint16)  # an id takes less than three words
+    flat, at = out.ravel(), np.arange(lanes)
 
     def carry(lane: np.ndarray) -> None:
-        k = filled[lane] - 1
-        while len(lane):
-            v = out[lane, k] + np.uint8(1)  # 255 wraps to 0 and carries on
-            out[lane, k] = v
-            on = v == 0
-            lane, k = lane[on], k[on] - 1
-
-    width_of_row = out.shape[1]
-    flat = out.ravel()
-
-    def settle(over: np.ndarray, small: np.ndarray) -> None:
-        """Carry for lanes whose low ran over, then write the settled bytes of lanes whose span is small."""
-        if len(over):
-            low[over] &= 0xFFFFFFFF
-            carry(over)
-        while len(small):
-            v, k = low.take(small), filled.take(small)
-            flat[small * width_of_row + k] = v >> 24
-            filled[small] = k + 1
-            low[small] = v << 8 & 0xFFFFFFFF
-            x = span.take(small) << 8
-            span[small] = x
-            small = small[x < TOP]
-
-    def narrow(active: np.ndarray, start: np.ndarray, width: np.ndarray, bits: int) -> None:
-        r = span.take(active) >> bits
-        v, x = low.take(active) + r * start, r * width
-        low[active], span[active] = v, x
-        settle(active[v > 0xFFFFFFFF], active[x < TOP])
+        k = at[lane] - lanes
+        while len(k):
+            v = flat[k] + np.uint16(1)  # 65535 wraps to 0 and carries on
+            flat[k] = v
+            k = k[v == 0] - lanes
 
+    whole = len(model.high_width) - 1
     steps = np.ascontiguousarray(ids[:, :longest].T, np.int32)
     for t, own in enumerate(steps):
         live = int(np.searchsorted(-sizes, -t))
         candidate, p = model.predict()
         hit = candidate == own
-        r = span[:live] >> BITS
-        low[:live] += r * np.where(hit, 0, p)[:live]
-        np.multiply(r, np.where(hit, p, ONE - p)[:live], out=span[:live])
-        settle(np.flatnonzero(low[:live] > 0xFFFFFFFF), np.flatnonzero(span[:live] < TOP))
-        miss = np.flatnonzero(~hit[:live])
-        if len(miss):
-            ids_missed = own.take(miss)
-            for cum, symbol in ((model.high_cum, ids_missed >> 8), (model.low_cum, ids_missed & 255)):
-                at = model.of.take(miss) * 257 + symbol
-                a = cum.ravel().take(at)
-                narrow(miss, a, cum.ravel().take(at + 1) - a, 16)
+        now, low_, span_, at_ = hit[:live], low[:live], span[:live], at[:live]
+        p = p[:live].astype(np.uint64)
+        # the hit or the miss
+        r = span_ >> _U[BITS]
+        bound = r * p
+        upper = np.where(now, _U[0], bound)
+        r = np.where(now, bound, r * (_U[ONE] - p))
+        # both bytes at once, which for a hit are the whole
+        high, low_byte = (np.where(now, whole, x[:live] + model.base256[:live]) for x in (own >> 8, own & 255))
+        width = model.high_width.take(high)
+        start = (model.high_start.take(high) << _U[UNITS]) + width * model.low_start.take(low_byte)
+        width *= model.low_width.take(low_byte)
+        r >>= _U[2 * UNITS]
+        upper += r * start
+        low_ += upper
+        np.multiply(r, width, out=span_)
+        over = np.flatnonzero(low_ < upper)
+        if len(over):
+            carry(over)
+        # a word is written in any case, and counts if the span is small
+        flat[at_] = low_ >> _U[64 - WORD]
+        small = span_ < _LEAST
+        at_ += small * lanes
+        shift = small.astype(np.uint64) << _U[4]
+        low_ <<= shift
+        span_ <<= shift
+        more = np.flatnonzero(span_ < _LEAST)
+        while len(more):
+            v, k = low.take(more), at.take(more)
+            flat[k] = v >> _U[64 - WORD]
+            at[more] = k + lanes
+            low[more] = v << _U[WORD]
+            x = span.take(more) << _U[WORD]
+            span[more] = x
+            more = more[x < _LEAST]
         model.update(own, hit)
-    for _ in range(4):
-        out[np.arange(lanes), filled] = low >> 24
-        filled += 1
-        low = low << 8 & 0xFFFFFFFF
-    return [out[i, : filled[i]].tobytes() for i in range(lanes)]
+    # one word says which value between low and low + span is meant: those that follow are zeros
+    last = low + (_LEAST - _U[1])
+    carry(np.flatnonzero(last < low))
+    flat[at] = last >> _U[64 - WORD]
+    words = at // lanes + 1
+    out = out[: words.max(initial=0)].T.astype(">u2", order="C")
+    return [out[i, :n].tobytes() for i, n in enumerate(words.tolist())]
 
 
 def decode_blocks(payloads: list[bytes], sizes: np.ndarray, group: int = 1) -> np.ndarray:
     """Inverse of encode_blocks; places beyond a block's size are zero."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
     model = _Model(lanes, group)
-    wide = max(map(len, payloads), default=0) + 16
-    data = np.zeros((lanes, wide), np.uint8)
+    wide = max(map(len, payloads), default=0) // 2 + 8  # zeros follow
+    data = np.zeros((lanes, wide), np.uint16)
     for i, p in enumerate(payloads):
-        data[i, : len(p)] = np.frombuffer(p, np.uint8)
-    first = data[:, :4].astype(np.int64)
-    code = first[:, 0] << 24 | first[:, 1] << 16 | first[:, 2] << 8 | first[:, 3]
-    span = np.full(lanes, 0xFFFFFFFF, np.int64)
-    at = np.full(lanes, 4, np.int64)
-    out = np.zeros((lanes, longest), np.int64)
-
-    flat_data = data.ravel()
-
-    def refill(small: np.ndarray) -> None:
-        while len(small):
-            k = at.take(small)
-            code[small] = code.take(small) << 8 | flat_data.take(small * wide + np.minimum(k, wide - 1)).astype(np.int64)
-            at[small] = k + 1
-            x = span.take(small) << 8
-            span[small] = x
-            small = small[x < TOP]
-
-    def narrow(active: np.ndarray, start: np.ndarray, width: np.ndarray, r: np.ndarray) -> None:
-        code[active] = code.take(active) - r * start
-        x = r * width
-        span[active] = x
-        refill(active[x < TOP])
-
-    def symbols(cum: np.ndarray, miss: np.ndarray) -> np.ndarray:
-        r = span.take(miss) >> 16
-        want = np.minimum(code.take(miss) / r, 65535).astype(np.int32)  # exact: below 2**32 by below 2**16, in doubles
-        flat, place = cum.ravel(), model.of.take(miss) * 257
-        first = place.copy()
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):  # the last interval that starts at or below want
-            place += step * (flat.take(place + step) <= want)
-        a = flat.take(place)
-        narrow(miss, a, flat.take(place + 1) - a, r)
-        return (place - first).astype(np.int32)
+        data[i, : len(p) // 2] = np.frombuffer(p, ">u2", len(p) // 2)
+    data = np.ascontiguousarray(data.T)
+    code = np.zeros(lanes, np.uint64)
+    for k in range(4):
+        code = code << _U[WORD] | data[k]
+    span = np.full(lanes, (1 << 64) - 1, np.uint64)
+    at = np.arange(4 * lanes, 5 * lanes)
+    most = np.arange(lanes) + (wide - 1) * lanes  # a damaged payload reads its last zero again
+    out = np.zeros((longest, lanes), np.int32)
+    flat = data.ravel()
+    held, names = None, np.arange(256 * model.n, dtype=np.uint16 if model.n <= 256 else np.int64)
+
+    def byte(name: str, value: np.ndarray, unit: np.ndarray, group_units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The byte whose interval holds a value in these units, what is left of the value, and the interval's width."""
+        starts, widths = getattr(model, f"{name}_start"), getattr(model, f"{name}_width")
+        want = np.minimum((value / unit).astype(np.int64), (1 << UNITS) - 1)
+        symbol = tables[name].take(group_units + want).astype(np.int64)
+        left, width = value - unit * starts.take(symbol), unit * widths.take(symbol)
+        wrong = np.flatnonzero(left >= width)  # below zero is beyond, too: the quotient was rounded, or a payload is damaged
+        if len(wrong):
+            own = symbol[wrong]
+            i = own & ~255
+            own = np.where(value[wrong] < unit[wrong] * starts[own], np.maximum(own - 1, i), np.minimum(own + 1, i + 255))
+            symbol[wrong] = own
+            left[wrong], width[wrong] = value[wrong] - unit[wrong] * starts[own], unit[wrong] * widths[own]
+        return symbol & 255, left, width
 
     for t in range(longest):
         live = int(np.searchsorted(-sizes, -t))
         candidate, p = model.predict()
-        r = span[:live] >> BITS
-        bound = r * p[:live]
+        if held is not model.high_width:
+            held = model.high_width
+            tables = {k: np.repeat(names, getattr(model, f"{k}_width")[:-1].astype(np.int64)) for k in ("high", "low")}
+        code_, span_ = code[:live], span[:live]
+        p = p[:live].astype(np.uint64)
+        r = span_ >> _U[BITS]
+        bound = r * p
         hit = np.zeros(lanes, bool)
-        hit[:live] = code[:live] < bound
-        code[:live] -= np.where(hit[:live], 0, bound)
-        span[:live] = np.where(hit[:live], bound, r * (ONE - p[:live]))
-        refill(np.flatnonzero(span[:live] < TOP))
+        now = np.less(code_, bound, out=hit[:live])
         own = np.where(hit, candidate, 0)
-        miss = np.flatnonzero(~hit[:live])
+        np.copyto(span_, bound)
+        miss = np.flatnonzero(~now)
         if len(miss):
-            own[miss] = symbols(model.high_cum, miss) << 8
-            own[miss] |= symbols(model.low_cum, miss)
+            of, b = model.of.take(miss) << UNITS, bound.take(miss)
+            unit = r.take(miss) * (_U[ONE] - p.take(miss)) >> _U[2 * UNITS]
+            high, left, width = byte("high", code.take(miss) - b, unit << _U[UNITS], of)
+            low, code[miss], span[miss] = byte("low", left, width >> _U[UNITS], of)
+            own[miss] = high << 8 | low
+        # the span of a hit is as the coder's, in whole units of both bytes
+        span_[now] = span_[now] >> _U[2 * UNITS] << _U[2 * UNITS]
+        small = np.flatnonzero(span_ < _LEAST)
+        while len(small):
+            k = at.take(small)
+            code[small] = code.take(small) << _U[WORD] | flat.take(k)
+            at[small] = np.minimum(k + lanes, most.take(small))
+            x = span.take(small) << _U[WORD]
+            span[small] = x
+            small = small[x < _LEAST]
         # a lane that has ended sees what the coder saw there: zeros
         hit[live:] = candidate[live:] == 0
-        out[:live, t] = own[:live]
         own[live:] = 0
+        out[t] = own
         model.update(own, hit)
-    return out
+    return np.ascontiguousarray(out.T)
 
 
 _BLOCKS = np.dtype([("ids", "<u4"), ("size", "<u4"), ("crc", "<u4")])
@@ -283,7 +296,7 @@ def write_segment(doc_ids: list[int | None], ids: list[bytes], block: int = BLOC
     documents["doc_id"] = [NO_ID if d is None else d for d in doc_ids]
     documents["ids"] = [len(x) // 4 for x in ids]
     tables = table.tobytes() + documents.tobytes()
-    return b"".join([HEADER.pack(MAGIC, 2, block, n, len(ids), zlib.crc32(tables, group), group), tables, *payloads])
+    return b"".join([HEADER.pack(MAGIC, 3, block, n, len(ids), zlib.crc32(tables, group), group), tables, *payloads])
 
 
 def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +304,7 @@ def read_segment(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(image) < HEADER.size:
         raise ValueError("no segment")
     magic, version, _, blocks, count, crc, group = HEADER.unpack_from(image)
-    if magic != MAGIC or version != 2:
+    if magic != MAGIC or version != 3:
         raise ValueError("no segment of this format")
     end = HEADER.size + blocks * _BLOCKS.itemsize
     stop = end + count * _DOCUMENTS.itemsize

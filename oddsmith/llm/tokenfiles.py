@@ -15,9 +15,23 @@ from .rangecoder import BLOCK, NO_ID, read_segment, write_segment
 from .tokens import encoder, public_path
 
 VOCABULARY = "byte_bpe_50k.json"
+AT_ONCE = 24_000_000  # characters that are encoded at a time; a longer text goes alone
 SEGMENTS = "part int, place int, n_docs long, n_ids long, image binary"
 
 
+def by_characters(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in order, in runs whose texts have at most so many characters together, or of one row."""
+    start = size = 0
+    for i, text in enumerate(batch["text"]):
+        own = len(text) if isinstance(text, str) else 0
+        if i > start and size + own > most:
+            yield batch.iloc[start:i]
+            start, size = i, 0
+        size += own
+    if start < len(batch):
+        yield batch.iloc[start:]
+
+
 def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, block: int = BLOCK, segment_ids: int = 3_000_000) -> DataFrame:
     """Segments of about segment_ids ids: part and place order them, image is the segment's bytes, as in a file.
 
@@ -29,7 +43,7 @@ def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, bl
         from pyspark import TaskContext
 
         part, place = TaskContext.get().partitionId(), 0
-        encode_ids, end = encoder(path or public_path(VOCABULARY)), np.array([end_id], "<u4").tobytes()
+        encode_ids, end = encoder(path or public_path(VOCABULARY), chunk=2 * AT_ONCE), np.array([end_id], "<u4").tobytes()
         held_docs: list[int | None] = []
         held: list[bytes] = []
         size = 0
@@ -39,8 +53,7 @@ def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, bl
             return pd.DataFrame({"part": [part], "place": [place], "n_docs": [len(held)], "n_ids": [size], "image": [image]})
 
         for batch in batches:
-            for at in range(0, len(batch), 3000):
-                rows = batch.iloc[at : at + 3000]
+            for rows in by_characters(batch, AT_ONCE):
                 for doc, ids in zip(rows["doc_id"], encode_ids(rows["text"])):
                     held_docs.append(None if pd.isna(doc) else int(doc))
                     held.append(ids + end)

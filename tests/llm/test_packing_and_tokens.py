@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, empty, rows
 from tokenizers import Tokenizer
@@ -155,6 +156,28 @@ def test_blocks_of_a_group_learn_together():
         rangecoder.read_segment(bytes(image))
 
 
+def test_an_id_is_narrowed_at_once():
+    """A missed id was narrowed three times, each with writes of single bytes, and four bytes ended a block: 6 and 2,144 here."""
+    ids, sizes = np.full((3, 1), 777, np.int32), np.ones(3, np.int64)
+    payloads = rangecoder.encode_blocks(ids, sizes)
+    assert max(map(len, payloads)) <= 4 and (rangecoder.decode_blocks(payloads, sizes) == ids).all()
+    rng = np.random.default_rng(5)
+    ids, sizes = rng.integers(0, 1 << 16, (9, 1024)).astype(np.int32), np.r_[np.full(8, 1024), 1]  # all miss: carries run far
+    ids[8, 1:] = 0
+    payloads = rangecoder.encode_blocks(ids, sizes, 4)
+    assert (rangecoder.decode_blocks(payloads, sizes, 4) == ids).all() and max(map(len, payloads)) < 2140
+    for n in (0, 1, 2, 7, 300):  # anything is decoded to its end, and told by its checksum
+        assert rangecoder.decode_blocks([rng.bytes(n)] * 9, sizes, 4).shape == (9, 1024)
+
+
+def test_texts_are_encoded_by_their_characters():
+    """3,000 texts were encoded at a time, however short or long."""
+    batch = pd.DataFrame({"doc_id": range(6), "text": ["ab", None, "abc", "a" * 9, "", "abcde"]})
+    assert [r["doc_id"].tolist() for r in tokenfiles.by_characters(batch, 5)] == [[0, 1, 2], [3], [4, 5]]
+    assert len(list(tokenfiles.by_characters(pd.DataFrame({"doc_id": range(4000), "text": ["a"] * 4000}), 5000))) == 1
+    assert list(tokenfiles.by_characters(batch[:0], 5)) == []
+
+
 def test_token_files(spark):
     plain = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     got = tokenfiles.token_file_index(documents(spark), block=128, segment_ids=900).collect()
