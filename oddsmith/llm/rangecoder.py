@@ -133,6 +133,11 @@ class _Model:
             self.refresh()
 
 
+def _live(sizes: np.ndarray) -> list[int]:
+    """How many lanes still have ids at each step."""
+    return np.searchsorted(-sizes, -np.arange(sizes.max(initial=0))).tolist()
+
+
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray, group: int = 1) -> list[bytes]:
     """Payloads of blocks; ids: lanes x block, of which row i holds sizes[i] ids. Sizes must fall or stay along the rows.
     group: consecutive blocks that learn together; they are decoded together too."""
@@ -151,8 +156,7 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, group: int = 1) -> list[by
 
     whole = len(model.high_width) - 1
     steps = np.ascontiguousarray(ids[:, :longest].T, np.int32)
-    for t, own in enumerate(steps):
-        live = int(np.searchsorted(-sizes, -t))
+    for own, live in zip(steps, _live(sizes)):
         candidate, p = model.predict()
         hit = candidate == own
         now, low_, span_, at_ = hit[:live], low[:live], span[:live], at[:live]
@@ -234,8 +238,7 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, group: int = 1) -> n
             left[wrong], width[wrong] = value[wrong] - unit[wrong] * starts[own], unit[wrong] * widths[own]
         return symbol & 255, left, width
 
-    for t in range(longest):
-        live = int(np.searchsorted(-sizes, -t))
+    for t, live in enumerate(_live(sizes)):
         candidate, p = model.predict()
         if held is not model.high_width:
             held = model.high_width
@@ -265,9 +268,9 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, group: int = 1) -> n
             x = span.take(small) << _U[WORD]
             span[small] = x
             small = small[x < _LEAST]
-        # a lane that has ended sees what the coder saw there: zeros
-        hit[live:] = candidate[live:] == 0
-        own[live:] = 0
+        if live < lanes:  # a lane that has ended sees what the coder saw there: zeros
+            hit[live:] = candidate[live:] == 0
+            own[live:] = 0
         out[t] = own
         model.update(own, hit)
     return np.ascontiguousarray(out.T)

@@ -32,6 +32,23 @@ def by_characters(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
         yield batch.iloc[start:]
 
 
+def by_ids(documents: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """Documents in order, in runs of about so many ids. A run ends when what follows it has half as many, else it takes that in: a
+    short segment costs nearly as much as a whole one."""
+    held: list[tuple[int | None, bytes]] = []
+    size = cut = upto = 0
+    for document in documents:
+        held.append(document)
+        size += len(document[1]) // 4
+        if cut and size - upto >= most // 2:
+            yield held[:cut]
+            held, size, cut = held[cut:], size - upto, 0
+        if not cut and size >= most:
+            cut, upto = len(held), size
+    if held:
+        yield held
+
+
 def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, block: int = BLOCK, segment_ids: int = 3_000_000) -> DataFrame:
     """Segments of about segment_ids ids: part and place order them, image is the segment's bytes, as in a file.
 
@@ -42,27 +59,19 @@ def token_segments(docs: DataFrame, end_id: int = 2, path: str | None = None, bl
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, place = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
         encode_ids, end = encoder(path or public_path(VOCABULARY), chunk=2 * AT_ONCE), np.array([end_id], "<u4").tobytes()
-        held_docs: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
 
-        def segment() -> pd.DataFrame:
-            image = write_segment(held_docs, held, block)
-            return pd.DataFrame({"part": [part], "place": [place], "n_docs": [len(held)], "n_ids": [size], "image": [image]})
+        def documents() -> Iterator[tuple[int | None, bytes]]:
+            for batch in batches:
+                for rows in by_characters(batch, AT_ONCE):
+                    for doc, ids in zip(rows["doc_id"], encode_ids(rows["text"])):
+                        yield None if pd.isna(doc) else int(doc), ids + end
 
-        for batch in batches:
-            for rows in by_characters(batch, AT_ONCE):
-                for doc, ids in zip(rows["doc_id"], encode_ids(rows["text"])):
-                    held_docs.append(None if pd.isna(doc) else int(doc))
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= segment_ids:
-                        yield segment()
-                        held_docs, held, size, place = [], [], 0, place + 1
-        if held:
-            yield segment()
+        for place, run in enumerate(by_ids(documents(), segment_ids)):
+            doc_ids, ids = map(list, zip(*run))
+            size = sum(map(len, ids)) // 4
+            yield pd.DataFrame({"part": [part], "place": [place], "n_docs": [len(ids)], "n_ids": [size], "image": [write_segment(doc_ids, ids, block)]})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = own.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))

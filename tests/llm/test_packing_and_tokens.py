@@ -178,6 +178,13 @@ def test_texts_are_encoded_by_their_characters():
     assert list(tokenfiles.by_characters(batch[:0], 5)) == []
 
 
+def test_no_segment_is_a_small_rest():
+    """6.7 million ids made segments of 3, 3 and 0.7 million; the last took twice the time of an id."""
+    run = lambda sizes, most: [[len(x) // 4 for _, x in r] for r in tokenfiles.by_ids(((1, b"abcd" * n) for n in sizes), most)]
+    assert list(map(sum, run([1] * 67, 30))) == [30, 37] and list(map(sum, run([1] * 76, 30))) == [30, 30, 16]
+    assert run([], 5) == [] and run([1, 1], 5) == [[1, 1]] and run([9, 1, 1, 40, 1, 9, 0], 4) == [[9], [1, 1, 40], [1, 9, 0]]
+
+
 def test_token_files(spark):
     plain = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     got = tokenfiles.token_file_index(documents(spark), block=128, segment_ids=900).collect()
