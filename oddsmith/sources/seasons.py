@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import let
 from .registry import ALIAS_GROUPS, registry
 from .shared import written
 
@@ -19,7 +20,7 @@ LARGE = 256 << 20
 # a quote that opens a field runs to the one that ends it, over commas and line ends, doubled ones inside; where no quote stands
 # at a field's end it is an ordinary character
 QUOTED = r'[ \t]*+"(?:[^"]++|"")*+"(?=[ \t]*(?:,|\n|\z))'
-FIELD = rf"(?:{QUOTED}[^,]*+|[^,]*+)(?:,|\z)"
+FIELD = rf"(?:{QUOTED}[^,]*+|[^,]*+),"
 RECORD = rf"(?:{QUOTED}[^,\n]*+|[^,\n]*+)(?:,(?:{QUOTED}[^,\n]*+|[^,\n]*+))*+(?:\n|\z)"
 
 
@@ -42,45 +43,52 @@ def text_lines(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    t = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(t.isin(*MISSING), "").otherwise(t)
+    return let(F.trim(F.coalesce(c, F.lit(""))), lambda t: F.when(t.isin(*MISSING), "").otherwise(t))
 
 
 def parse_kickoff(date: Column, time: Column) -> Column:
-    """Day-first dates with two- or four-digit years, or ISO dates, and an optional HH:MM[:SS]; a bad time counts as none."""
-    d, t = clean_text(date), clean_text(time)
-    d = F.regexp_replace(d, r"[-.]", "/")
-    two = F.regexp_extract(d, r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 3)
-    year = F.when(two.cast("int") >= 69, F.concat(F.lit("19"), two)).otherwise(F.concat(F.lit("20"), two))
-    full = F.when(two != "", F.concat(F.regexp_extract(d, r"^(\d{1,2}/\d{1,2}/)", 1), year)).otherwise(d)
-    day = F.coalesce(F.try_to_timestamp(full, F.lit("d/M/yyyy")), F.try_to_timestamp(full, F.lit("yyyy/M/d")))
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,3}):(\d{1,2})(?::(\d{1,2}))?$", i), F.lit("")).cast("int"), F.lit(0))
-    return (day + F.make_dt_interval(F.lit(0), part(1), part(2), part(3).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    """Day-first dates with two- or four-digit years, or ISO dates, and an optional HH:MM[:SS]; a bad time counts as none.
+
+    What is used twice is bound, or the expression grows beyond what a method of compiled code holds."""
+    two = lambda d: let(F.regexp_extract(d, r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 3), lambda y: F.when(y == "", d).otherwise(
+        F.concat(F.regexp_extract(d, r"^(\d{1,2}/\d{1,2}/)", 1), F.when(y.cast("int") >= 69, "19").otherwise("20"), y)))
+    read = lambda d: F.coalesce(F.try_to_timestamp(d, F.lit("d/M/yyyy")), F.try_to_timestamp(d, F.lit("yyyy/M/d")))
+    day = let(let(F.regexp_replace(clean_text(date), r"[-.]", "/"), two), read)
+    part = lambda t, i: F.coalesce(F.nullif(F.regexp_extract(t, r"^(\d{1,3}):(\d{1,2})(?::(\d{1,2}))?$", i), F.lit("")).cast("int"), F.lit(0))
+    after = let(clean_text(time), lambda t: F.make_dt_interval(F.lit(0), part(t, 1), part(t, 2), part(t, 3).cast("decimal(18,6)")))
+    return (day + after).cast("timestamp_ntz")
 
 
 def records(text: Column) -> Column:
     """The records of a file: its lines, but for line ends within quotes. Only files that hold a quote need the pattern."""
-    own = F.rtrim(F.regexp_replace(text, r"\r\n?", "\n"))
-    quoted = F.transform(F.regexp_extract_all(own, F.lit(RECORD), 0), lambda x: F.regexp_replace(x, r"\n\z", ""))
-    return F.when(F.contains(own, F.lit('"')), quoted).otherwise(F.split(own, "\n", -1))
+    quoted = lambda own: F.transform(F.regexp_extract_all(own, F.lit(RECORD), 0), lambda x: F.regexp_replace(x, r"\n\z", ""))
+    return let(F.rtrim(F.regexp_replace(text, r"\r\n?", "\n")), lambda own: F.when(F.contains(own, F.lit('"')), quoted(own)).otherwise(F.split(own, "\n", -1)))
 
 
 def _fields(line: Column) -> Column:
     """Fields of a record; only records that hold a quote need the pattern."""
     quoted = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(FIELD), 0), lambda x: F.regexp_replace(x, r",\z", ""))
-    quoted = F.slice(quoted, F.lit(1), F.size(quoted) - 1)  # the last match is the empty one at the end
     plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.regexp_replace(x, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(x)
     return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1)), lambda x: plain(F.trim(x)))
 
 
+def numbered_records(files: DataFrame) -> DataFrame:
+    """path, season, league, empty, line, raw: the records of files that aren't blank, the header is line 0.
+
+    A file is split in one task and once. What its whole text tells is told before, as each record else carries the text with it.
+    """
+    texts = files.select("path", "season", "league", (F.trim("text") == "").alias("empty"), records(F.col("text")).alias("records"))
+    lines = texts.select("path", "season", "league", "empty", F.posexplode_outer("records").alias("line", "raw"))
+    return lines.where("coalesce(line, 0) = 0 or trim(raw) <> ''")
+
+
 def parsed_rows(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(headers, rows): per file its header array and width; per record its fields with its number.
 
-    A file is split into records in one task and once. Its records are dealt to all tasks, which take them apart and write them to
-    the shared folder, as the checks and the tidy tables all read them.
+    The records of a file are dealt to all tasks, which take them apart and write them to the shared folder, as the checks and the
+    tidy tables all read them.
     """
-    lines = files.select("path", "season", "league", (F.trim("text") == "").alias("empty"), F.posexplode_outer(records(F.col("text"))).alias("line", "raw"))
-    lines = lines.where("coalesce(line, 0) = 0 or trim(raw) <> ''")
+    lines = numbered_records(files)
     n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.sparkSession.sparkContext.defaultParallelism)
     # the number is stated, lest records be merged for being few bytes: they are much work
     parsed = written(lines.repartition(n, "path", "line").withColumn("fields", _fields(F.coalesce("raw", F.lit("")))).drop("raw"), "records")
@@ -93,12 +101,12 @@ def header_problems(headers: DataFrame, rows: DataFrame, known: DataFrame) -> Da
     names = headers.select("path", F.explode("header").alias("name")).where("name <> '' and not name rlike '^Unnamed:\\\\s*[0-9]+$'")
     unknown = names.join(F.broadcast(known.select("name")), "name", "left_anti").groupBy("path").agg(F.concat(F.lit("unknown columns: "), F.array_join(F.sort_array(F.collect_set("name")), ", ")).alias("reason"))
     repeated = names.groupBy("path", "name").count().where("count > 1").groupBy("path").agg(F.concat(F.lit("repeated columns: "), F.array_join(F.sort_array(F.collect_list("name")), ", ")).alias("reason"))
-    widths = headers.select("path", F.size("header").alias("width"), "header")
-    joined = rows.join(widths, "path")
+    joined = rows.join(places(headers), "path")
     beyond = F.exists(F.slice("fields", F.col("width") + 1, F.greatest(F.size("fields") - F.col("width"), F.lit(0))), lambda x: clean_text(x) != "")
-    unnamed = F.exists(F.arrays_zip("header", "fields"), lambda z: (z["header"] == "") & (clean_text(z["fields"]) != ""))
-    div = _cell("Div")
-    flags = {"wide": F.size("fields") > F.col("width"), "beyond": beyond, "unnamed": unnamed, "other": (div != "") & (div != F.col("league"))}
+    unnamed = F.exists("blank", lambda i: clean_text(F.get("fields", i)) != "")
+    # most records are as wide as their header, so what is beyond it is looked at last
+    flags = {"wide": F.size("fields") > F.col("width"), "beyond": (F.size("fields") > F.col("width")) & beyond, "unnamed": (F.size("blank") > 0) & unnamed,
+             "other": let(_field("div"), lambda div: (div != "") & (div != F.col("league")))}
     seen = joined.groupBy("path").agg(*[F.bool_or(c).alias(k) for k, c in flags.items()])
     reasons = F.array(F.when(F.expr("beyond or (wide and unnamed)"), "data in unnamed columns"), F.when(F.col("other"), "another league's rows"))
     found = seen.select("path", F.explode(reasons).alias("reason")).where("reason is not null")
@@ -115,9 +123,26 @@ def _cell(*names: str) -> Column:
     return clean_text(F.get("fields", (first - 1).cast("int")))
 
 
+#: What a record tells, and the columns that may tell it, of which the first counts.
+NAMES = {"div": ("Div",), "date": ("Date",), "time": ("Time",), "home": ("HomeTeam", "HT"), "away": ("AwayTeam", "AT"), "hg": ("FTHG", "HG"), "ag": ("FTAG", "AG")}
+
+
+def places(headers: DataFrame) -> DataFrame:
+    """(path, width, blank, at_...): where a file's records hold what NAMES lists, from 0, null where it has no such column, and the
+    places without a name. Told once a file, not once a record."""
+    first = lambda names: (F.coalesce(*[F.nullif(F.array_position("header", n), F.lit(0)) for n in names]) - 1).cast("int")
+    blank = F.filter(F.transform("header", lambda x, i: F.when(x == "", i)), lambda i: i.isNotNull())
+    return headers.select("path", F.size("header").alias("width"), blank.alias("blank"), *[first(names).alias(f"at_{k}") for k, names in NAMES.items()])
+
+
+def _field(of: str) -> Column:
+    """The field of a record that tells this, see NAMES; '' where its file has none."""
+    return clean_text(F.get("fields", F.col(f"at_{of}")))
+
+
 def told_leagues(headers: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, league, reason): the one league that a file's own Div column names; where it names none or several, why there is none."""
-    named = rows.join(headers.select("path", "header"), "path").select("path", _cell("Div").alias("div")).where("div <> ''")
+    named = rows.join(places(headers), "path").select("path", _field("div").alias("div")).where("div <> ''")
     divs = headers.select("path").join(named.groupBy("path").agg(F.sort_array(F.collect_set("div")).alias("divs")), "path", "left")
     own, several = F.coalesce("divs", F.array().cast("array<string>")), F.concat(F.lit("expected one Div, got ["), F.array_join("divs", ", "), F.lit("]"))
     reason = F.when(F.size(own) == 0, "no Div to tell the league").when(F.size(own) > 1, several)
@@ -141,16 +166,22 @@ def load_seasons(spark: SparkSession, root: str, leagues: list[str] | None = Non
     problems = header_problems(headers, rows, known)
     if untold is not None:
         problems = problems.unionByName(untold)
-    own = headers.join(price_columns(headers, known), "path", "left").join(problems.select("path").distinct(), "path", "left_anti")
-    good = rows.join(written(own.select("path", "header", "priced"), "usable"), "path")
+    problems = written(problems, "problems")
+    own = places(headers).join(price_columns(headers, known), "path", "left").join(problems.select("path").distinct(), "path", "left_anti")
+    good = rows.join(written(own, "usable"), "path")
     number = lambda c: c.try_cast("double")
-    tidy = good.select(
-        "path", "line", "priced", "fields", "league", "season", parse_kickoff(_cell("Date"), _cell("Time")).alias("kickoff"),
-        _cell("HomeTeam", "HT").alias("home"), _cell("AwayTeam", "AT").alias("away"), number(_cell("FTHG", "HG")).alias("hg"), number(_cell("FTAG", "AG")).alias("ag"),
-    ).where("kickoff is not null and home <> '' and away <> '' and hg >= 0 and ag >= 0")
-    matches = tidy.select("league", "season", "kickoff", "home", "away", F.col("hg").cast("long").alias("home_goals"), F.col("ag").cast("long").alias("away_goals"))
-    cells = tidy.select("league", "season", "kickoff", "home", "away", "fields", F.explode("priced").alias("z"))
-    return matches, _payable(cells.select("*", "z.*", clean_text(F.get("fields", F.col("z.at"))).try_cast("double").alias("decimal"))), problems
+    whole = F.struct(
+        parse_kickoff(_field("date"), _field("time")).alias("kickoff"), _field("home").alias("home"), _field("away").alias("away"),
+        number(_field("hg")).alias("home_goals"), number(_field("ag")).alias("away_goals"),
+    )
+    # a match or price is made once, and judged as it stands; a condition on a column would make the column again
+    kept = F.filter(F.array(whole), lambda m: m["kickoff"].isNotNull() & (m["home"] != "") & (m["away"] != "") & (m["home_goals"] >= 0) & (m["away_goals"] >= 0))
+    tidy = good.select("league", "season", "priced", "fields", F.inline(kept))
+    matches = tidy.select("league", "season", "kickoff", "home", "away", F.col("home_goals").cast("long").alias("home_goals"), F.col("away_goals").cast("long").alias("away_goals"))
+    decimal = lambda z: clean_text(F.get("fields", z["at"])).try_cast("double")
+    prices = F.transform("priced", lambda z: F.struct(*[z[c].alias(c) for c in ("book", "market", "period", "outcome")], decimal(z).alias("decimal")))
+    odds = tidy.select("league", "season", "kickoff", "home", "away", F.inline(F.filter(prices, lambda z: _payable(z["decimal"]))))
+    return matches, odds, problems
 
 
 def price_columns(headers: DataFrame, known: DataFrame) -> DataFrame:
@@ -173,12 +204,11 @@ def price_rows(cells: DataFrame, known: DataFrame, keep: tuple[str, ...] = ()) -
     priced = known.where("kind = 'odds'").drop("kind")
     decimal = clean_text(F.col("value")).try_cast("double")
     out = cells.where(~suppressed(F.col("header"), F.col("name"))).join(F.broadcast(priced), "name").withColumn("decimal", decimal)
-    return _payable(out, keep)
+    return out.where(_payable(F.col("decimal"))).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal", *keep)
 
 
-def _payable(prices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    payable = (F.col("decimal") > 1) & (F.col("decimal") < float("inf")) & ~F.isnan("decimal")
-    return prices.where(payable).select("league", "season", "kickoff", "home", "away", "book", "market", "period", "outcome", "decimal", *keep)
+def _payable(decimal: Column) -> Column:
+    return (decimal > 1) & (decimal < float("inf")) & ~F.isnan(decimal)
 
 
 def digests(files: DataFrame) -> DataFrame:
