@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from jobs.common import log, session, settings
 from oddsmith.operators import books, cells, inference
 from oddsmith.plans import surrogate
-from oddsmith.sources.shared import read_or_empty
+from oddsmith.sources.shared import passing, read_or_empty, settled, written
 
 NAME = "league_reports"
 REPORT = (
@@ -31,8 +31,10 @@ REPORT = (
 
 def reports(matches: DataFrame, odds: DataFrame, forecasts: DataFrame, least_matches: int = 1, discovery_rate: float = 0.1) -> DataFrame:
     """The rows of REPORT. A cell is left out if fewer than least_matches books of it carry a margin."""
-    closing = books.closing_books(odds)
-    results = cells.cell_results(forecasts, closing, minimum_matches=least_matches)
+    spark = odds.sparkSession
+    closing = written(books.closing_books(odds), "books")
+    # ranking reads the results twice, and their rows would else lie there till the job ends
+    results = settled(spark, "cell-results", lambda: cells.cell_results(forecasts, closing, minimum_matches=least_matches))
     margins = books.book_margins(closing).select(*books.CELL, "mean_book_sum")
     seasons = books.eligible_cells(books.coverage_matrix(odds, matches)).groupBy(*books.CELL).agg(F.countDistinct("season").alias("n_seasons"))
     tested = inference.adjusted_p_values(results, "dm_p", ["method"])
@@ -48,8 +50,9 @@ def run(spark: SparkSession, tables: str, output: str, config: dict | None = Non
     if config["leagues"] is not None:
         matches, odds, forecasts = (d.where(F.col("league").isin(*config["leagues"])) for d in (matches, odds, forecasts))
     log.info("reading matches, prices and forecasts of %s from %s", config["leagues"] or "all leagues", tables)
-    rows = reports(matches, odds, forecasts, config["least_matches"], config["discovery_rate"])
-    rows.repartition("league").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league").parquet(output)
+    with passing(spark):
+        rows = reports(matches, odds, forecasts, config["least_matches"], config["discovery_rate"])
+        rows.repartition("league").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("league").parquet(output)
     held = read_back(spark, output)
     own = held if config["leagues"] is None else held.where(F.col("league").isin(*config["leagues"]))
     n, leagues = own.agg(F.count(F.lit(1)), F.countDistinct("league")).first()

@@ -30,7 +30,7 @@ def coverage_matrix(odds: DataFrame, matches: DataFrame) -> DataFrame:
     """
     group = ["league", "season", "book", "market"]
     periods = odds.groupBy(*group).agg(F.bool_or(F.col("period") == "open").alias("opening"), F.bool_or(F.col("period") == "close").alias("closing"))
-    per_match = odds.where("period = 'close'").groupBy(*group, "kickoff", "home", "away").agg(F.countDistinct("outcome").alias("k"))
+    per_match = odds.where("period = 'close'").groupBy(*group, "kickoff", "home", "away").agg(F.size(F.collect_set("outcome")).alias("k"))
     complete = per_match.where(F.col("k") >= _required()).groupBy(*group).agg(F.count(F.lit(1)).alias("n_with_closing"))
     size = matches.groupBy("league", "season").agg(F.count(F.lit(1)).alias("n_matches"))
     out = periods.join(complete, group, "left").join(size, ["league", "season"], "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, staking
 from ..functions.margin import METHODS
 from ..schema import MATCH_KEYS, OUTCOMES
-from ..sources.shared import written
+from ..sources.shared import release, written
 from . import guards
 from .books import CELL, fair_books, margined
 from .inference import diebold_mariano
@@ -109,6 +109,7 @@ def cell_results(forecasts: DataFrame, books: DataFrame, minimum_matches: int =
     """
     books = written(books, "books")  # for the scores and for those that carry no margin
     rows = written(cell_rows(forecasts, books, order, strict, seen), "cell-rows")
+    release(rows.sparkSession)  # the shuffles of the prices, before those of the test
     keys = [k for k in ["seq", *MATCH_KEYS] if k in forecasts.columns and k in books.columns]
     lost = books.where(F.col("book_sum") <= 1 + 1e-9).join(forecasts.select(*keys), keys).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_arbitrage"))
     out = cell_tests(rows, minimum_matches, order).join(lost, CELL, "left")

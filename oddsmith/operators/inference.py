@@ -47,6 +47,7 @@ def newey_west(series: DataFrame, by: list[str], order: str | list[str], value:
     parts = ranged.dealt(series.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v")), by, order)
     size = parts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean")).where("n >= 2")
     size = size.withColumn("lag", F.least(F.lit(lag), F.col("n").cast("int") - 1) if lag is not None else default_lag(F.col("n")))
+    size = written(size, "sizes")
     rows = ranged.join_same(ranged.numbered(parts, by, "_t").select(*by, "_t", "_v"), size, by)
     rows = rows.withColumns({"_t": F.col("_t") - 1, "_c": F.col("_v") - F.col("mean"), "_b": F.greatest(F.lit(BLOCK), F.col("lag"))})
     own = F.expr("_t div _b")

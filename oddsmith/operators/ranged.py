@@ -37,7 +37,8 @@ def numbered(parts: DataFrame, by: list[str], out: str) -> DataFrame:
     """Add each row's number within its group, from 1, to a dealt table. PART stays."""
     ends = parts.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n"), F.min(PLACE).alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ends.select(*by, PART, (before - F.col("_first") + 1).alias("_shift"))
+    # a written table's size is known, so rows aren't shuffled to meet a few
+    ends = written(ends.select(*by, PART, (before - F.col("_first") + 1).alias("_shift")), "ends")
     return join_same(parts, ends, [*by, PART]).withColumn(out, F.col(PLACE) + F.col("_shift")).drop(PLACE, "_shift")
 
 

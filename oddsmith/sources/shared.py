@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +28,56 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: The tables written since each `passing` that is still open.
+_open: list[list[str]] = []
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    """The file system and path of Hadoop's that a path means."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def written(df: DataFrame, name: str, scope: int = -1) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs nothing. It goes when the
-    application ends."""
+    application ends, or with the last `passing` that is open (scope: which one). A written table is given back as it is."""
+    if getattr(df, "_oddsmith_written", False):
+        return df
     spark = df.sparkSession
     path = new_folder(spark, name)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    files, jpath = _located(spark, path)
+    files.deleteOnExit(jpath)
+    if len(_open) >= -scope:
+        _open[scope].append(path)
     df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    out._oddsmith_written = True
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that have run, now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go when it ends, as do the shuffle files of what ran. Nothing may read them later."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            files, jpath = _located(spark, path)
+            files.delete(jpath, True)
+        release(spark)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives as a written table; the tables written on the way to it go."""
+    with passing(spark):
+        return written(make(), name, -2)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
