@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from helpers import SCHEMA, empty, words
+from helpers import SCHEMA, documents, empty, words
 from test_dedup import Union
 
 from oddsmith.llm import setjoin
@@ -72,3 +72,17 @@ def test_rows_with_one_id_are_judged_by_their_texts(spark):
     data = [(1, a, "en", "s", 1), (5, a + "more", "en", "s", 1), (5, b, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "en", "s", 1), (8, None, "en", "s", 0), (8, "", "en", "s", 0), (None, a, "en", "s", 1)]
     kept = setjoin.deduplicate(spark.createDataFrame(data, SCHEMA)).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept if r.doc_id is not None) == [(1, a), (5, b), (8, "")] and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_copies_under_one_id_or_none_are_one_document(spark):
+    """Rows with one id and text stayed all together, as did all near copies without an id."""
+    a, b, c = ("word%d " * 40 % tuple(range(x, x + 40)) for x in (0, 100, 200))
+    data = [(1, a, "en", "s", 1), (1, a, "de", "s", 1), (1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, None, "en", "s", 1), (2, None, "de", "s", 1)]
+    data += [(None, a, "en", "s", 1), (None, a, "en", "t", 1), (None, a + "more", "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1)]
+    docs = documents(spark, data)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    rows = kept.collect()
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text or "") for r in rows if r.doc_id is not None) == [(1, a), (2, ""), (2, b)]
+    assert sorted(r.text.removesuffix("more") for r in rows if r.doc_id is None) == [a, c]
+    again = corpus_pipeline.drop_near_copies(spark, docs.orderBy("source", "lang"), "").collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows)) and set(map(str, rows)) <= set(map(str, docs.collect()))
