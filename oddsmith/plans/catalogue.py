@@ -780,8 +780,8 @@ def calibrate_fits(spark, sf):
 @query()
 def cell_roi_intervals(spark, sf):
     """ROI of every cell and method with its bootstrap interval."""
-    results, f, b = _results(spark, sf), surrogate.forecasts(spark, sf), _books(spark, sf)
-    t = study.with_roi_intervals(results, f, b)
+    f, b = surrogate.forecasts(spark, sf), written(_books(spark, sf), "books")
+    t = study.with_roi_intervals(cells.cell_means(cells.cell_rows(f, b)), f, b)
     return t.select(*CELL, "method", "n_bets", *[(F.round(c, 6) + 0.0).alias(c) for c in ("roi", "roi_low", "roi_high")])
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from oddsmith.operators import bootstrap
+from oddsmith.operators import bootstrap, cells
 from oddsmith.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,33 @@ def test_rows_shipped_do_not_grow_with_the_square(monkeypatch, spark):
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     plan = spark.read.parquet(next(f.split("/part-")[0] for f in shares.inputFiles() if "/shares-" in f))
     assert plan.first()["_parts"] == 2 * tasks
+
+
+def test_pieces_of_a_resample_do_not_show(monkeypatch):
+    """All places and jumps of a chunk were drawn at once, in arrays beyond the processor's cache; pieces end within resamples."""
+    for n in (2, 3, 8, 53, 70_001):
+        assert (bootstrap._places(np.random.default_rng(n), n, 999) == np.random.default_rng(n).integers(0, n, size=999)).all()
+    x = np.random.default_rng(1).normal(size=53)
+    sizes = []
+    real = bootstrap._places
+    monkeypatch.setattr(bootstrap, "_places", lambda rng, n, size: (sizes.append(size), real(rng, n, size))[1])
+    starts = bootstrap.stationary_starts(53, [0, 3], 5, 9)
+    whole = bootstrap.stationary_means(x, starts[0], 0, 9, 4.0)
+    monkeypatch.setattr(bootstrap, "PIECE", 40)
+    del sizes[:]
+    assert bootstrap.stationary_starts(53, [0, 3], 5, 9) == starts
+    assert (np.concatenate([bootstrap.stationary_means(x, s, a, b, 4.0) for s, a, b in zip(starts, (0, 3), (3, 9))]) == whole).all() and max(sizes) == 40
+    rng = np.random.default_rng(5)
+    to, jumps = rng.integers(0, 53, size=(9, 53)), rng.random((9, 53)) < 0.25
+    for mean, s, j in zip(whole, to, jumps):
+        at = [s[0]]
+        for k in range(1, 53):
+            at.append(s[k] if j[k] else (at[-1] + 1) % 53)
+        assert mean == pytest.approx(x[at].mean())
+
+
+def test_roi_intervals_make_no_test(monkeypatch, spark):
+    """The test of every cell was made and dropped."""
+    monkeypatch.setattr(cells, "diebold_mariano", None)
+    t = catalogue.QUERIES["cell_roi_intervals"](spark, SF)
+    assert t.columns == ["league", "book", "market", "method", "n_bets", "roi", "roi_low", "roi_high"]
